@@ -63,7 +63,7 @@ def compare(df, con, sql):
         ]
         return f"(types {kinds})" if kinds else None
     diff = [(x, y) for x, y in zip(a, b) if x != y]
-    return f"{len(diff)} rows differ, of {len(a)}; {sorted(columns)}\n   spark {diff[0][0]}\n   duck  {diff[0][1]}"
+    return f"{len(diff)} rows differ, of {len(a)}; {sorted(columns)}\n   spark {str(diff[0][0])[:400]}\n   duck  {str(diff[0][1])[:400]}"
 
 
 def rel_types(con, sql):
