@@ -134,3 +134,27 @@ def with_views(*names: str, extra: str = "") -> str:
     if extra:
         parts.append(extra.strip())
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# one incoming listing per customer: exact, one digit more, full width, coordinates only, and unknown address nearby
+VIEWS["incoming"] = """
+SELECT c_custkey AS key, CASE c_custkey % 5 WHEN 3 THEN NULL ELSE concat(
+  CASE c_custkey % 6 WHEN 0 THEN '東京都新宿区西新宿' WHEN 1 THEN '大阪府大阪市北区梅田' WHEN 2 THEN '北海道札幌市中央区大通西' WHEN 3 THEN '長野県松本市中央' WHEN 4 THEN '京都府京都市中京区' ELSE '山形県山形市七日町' END,
+  CASE c_custkey % 5 WHEN 2 THEN '　' WHEN 4 THEN '字上野原九十番地' ELSE '' END,
+  CAST(c_custkey % 9 + 1 AS STRING), '-', CAST(c_custkey % 20 + 1 AS STRING), '-', CAST(c_custkey % 15 + 1 AS STRING),
+  CASE c_custkey % 5 WHEN 1 THEN '7' ELSE '' END) END AS address,
+ CASE c_custkey % 6 WHEN 0 THEN '新宿区' WHEN 1 THEN '大阪市' WHEN 2 THEN '札幌市' WHEN 3 THEN '松本市' WHEN 4 THEN '京都市' ELSE '山形市' END AS municipality,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(30 AS DOUBLE) + CAST(c_custkey * 7919 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) + CAST(0.0003 AS DOUBLE) END AS lat,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(130 AS DOUBLE) + CAST(c_custkey * 6007 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) + CAST(0.0001 AS DOUBLE) END AS lng
+FROM customer
+"""
+
+# point features with a risk class, one per part
+VIEWS["risk_points"] = """
+SELECT CAST(30 AS DOUBLE) + CAST(p_partkey * 7919 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat,
+ CAST(130 AS DOUBLE) + CAST(p_partkey * 6007 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) + CAST(0.004 AS DOUBLE) AS lng,
+ CASE p_partkey % 3 WHEN 0 THEN 'Steep Slope' WHEN 1 THEN 'landslide' ELSE '' END AS type,
+ CASE p_size % 4 WHEN 0 THEN '急傾斜地' WHEN 1 THEN '地すべり防止区域' ELSE '' END AS name,
+ CASE p_size % 6 WHEN 0 THEN NULL WHEN 5 THEN 'n/a' ELSE CAST(p_size % 6 AS STRING) END AS risk
+FROM part
+"""
