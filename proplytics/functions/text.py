@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from proplytics.sources.dimensions import PREFECTURE_NAMES, PREFECTURES
 
@@ -222,7 +223,7 @@ def normalize_width(c: Column) -> Column:
     return F.translate(c, FULL_WIDTH, HALF_WIDTH)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_nfkc(texts: pd.Series) -> pd.Series:
     """Full NFKC where compatibility forms beyond full-width ASCII matter."""
     return texts.str.normalize("NFKC")
@@ -241,11 +242,14 @@ def kanji_to_arabic(c: Column) -> Column:
             F.when(unit.isNull(), digit).otherwise(0).cast("bigint").alias("held"),
         )
 
+    def done(acc: Column) -> Column:
+        worth = acc["total"] + acc["held"]
+        return F.when(worth > 0, worth.cast("string"))
+
     def value(segment: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("held"))
-        number = F.aggregate(F.split(segment, ""), start, step, lambda acc: acc["total"] + acc["held"])
-        is_run = segment.rlike(f"^{run}$")
-        return F.when(is_run & (number > 0), number.cast("string")).otherwise(segment)
+        number = F.aggregate(F.split(segment, ""), start, step, done)
+        return F.coalesce(F.when(segment.rlike(f"^{run}$"), number), segment)
 
     segments = F.regexp_extract_all(c, F.lit(f"({run}|[^{KANJI_NUMERALS}]+)"), 1)
     # only the rows that hold a numeral pay for the array round trip
@@ -259,7 +263,8 @@ def normalize_address(c: Column) -> Column:
     text = F.regexp_replace(text, r"(\d+)丁目(\d+)番地?(\d+)号?", "$1-$2-$3")
     text = F.regexp_replace(text, r"(\d+)丁目(\d+)番地?", "$1-$2")
     text = F.translate(text, "ー‐−―", "----")
-    return F.when(text.rlike(r"\d[^\d\-]"), F.regexp_extract(text, r"^(.*\d)", 1)).otherwise(text)
+    # where a digit is followed by other text, cut after the last digit (one pass, so ``text`` is built once)
+    return F.regexp_replace(text, r"^(?=.*\d[^\d\-])(.*\d)\D*$", "$1")
 
 
 def simplify_address(c: Column) -> Column:
