@@ -12,6 +12,7 @@ from proplytics.plans import twins as D
 from proplytics.plans.registry import query
 from proplytics.plans.twins import over
 from proplytics.sources.dimensions import PREFECTURES
+from proplytics.sources.views import bind
 
 FEED = "SELECT source, source_id, l_partkey, l_suppkey, price_text"
 
@@ -58,7 +59,7 @@ _a = D.digits("area_text")
 FROM ({AREAS})""",
 )
 def _area(s):
-    rows = s.spark.sql(AREAS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=s.lineitem)
+    rows = bind(s.spark, AREAS, lineitem=s.lineitem)
     c = F.col("area_text")
     return rows.withColumns(
         {"portal": T.parse_area_portal(c), "akiya": T.parse_area_akiya(c), "auction": T.parse_area_auction(c)}
@@ -93,7 +94,7 @@ _FREE_ERA = r"(令和|平成|昭和|大正|明治)(\d+)年?"
 FROM ({YEARS})""",
 )
 def _year(s):
-    rows = s.spark.sql(YEARS.replace("FROM orders", "FROM {orders}"), orders=s.orders)
+    rows = bind(s.spark, YEARS, orders=s.orders)
     c = F.col("year_text")
     return rows.withColumns(
         {"portal": T.parse_year_portal(c), "akiya": T.parse_year_akiya(c), "auction": T.parse_year_auction(c)}
@@ -106,7 +107,7 @@ def _year(s):
  + {_g_int(_FREE_ERA, 2)} AS year FROM ({YEARS})""",
 )
 def _era(s):
-    rows = s.spark.sql(YEARS.replace("FROM orders", "FROM {orders}"), orders=s.orders)
+    rows = bind(s.spark, YEARS, orders=s.orders)
     return rows.withColumn("year", T.era_to_year(F.col("year_text")))
 
 
@@ -191,7 +192,7 @@ KANJI = f"SELECT o_orderkey, {_KANJI_TEXT} AS text FROM orders"
 
 @query("txt10_kanji_numerals", f"SELECT o_orderkey, text, {D.kanji('text')} AS folded FROM ({KANJI})")
 def _kanji(s):
-    rows = s.spark.sql(KANJI.replace("FROM orders", "FROM {orders}"), orders=s.orders)
+    rows = bind(s.spark, KANJI, orders=s.orders)
     return rows.withColumn("folded", T.kanji_to_arabic(F.col("text")))
 
 

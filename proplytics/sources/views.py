@@ -106,15 +106,19 @@ def _inputs(name: str) -> list[str]:
     return [n for n in [*BASE, *VIEWS] if n != name and n in words]
 
 
+def bind(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """Run ``sql`` with the tables it selects from bound to ``frames``; braces in it are plain text."""
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **frames)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view ``name`` (or landed table) over the files in ``sf_dir``."""
     if name not in VIEWS:
         return base_table(spark, sf_dir, name)
-    sql, frames = VIEWS[name], {}
-    for needed in _inputs(name):
-        sql = sql.replace(f"FROM {needed}", f"FROM {{{needed}}}")
-        frames[needed] = view(spark, sf_dir, needed)
-    return spark.sql(sql, **frames)
+    return bind(spark, VIEWS[name], **{n: view(spark, sf_dir, n) for n in _inputs(name)})
 
 
 def with_views(*names: str, extra: str = "") -> str:
@@ -158,3 +162,80 @@ SELECT CAST(30 AS DOUBLE) + CAST(p_partkey * 7919 % 150000 AS DOUBLE)/CAST(10000
  CASE p_size % 6 WHEN 0 THEN NULL WHEN 5 THEN 'n/a' ELSE CAST(p_size % 6 AS STRING) END AS risk
 FROM part
 """
+
+# landed API responses: three kinds per order, some failed (no body), some empty, some with other key names
+VIEWS["hazard_responses"] = """
+SELECT o_orderkey AS property_id, 'pshm' AS kind, CASE o_custkey % 7 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '{"type":"FeatureCollection","features":[]}'
+  WHEN 2 THEN concat('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"P_I45_T30":"0.', CAST(o_custkey % 90 + 10 AS STRING), '","T30_I50_P":"n/a"}}]}')
+  ELSE concat('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"T30_I45_P":"0.', CAST(o_custkey % 90 + 10 AS STRING), '","T30_I50_P":"0.125","T30_I55_P":"0.0625","T30_I65_P":"0.5"}}]}') END AS body FROM orders
+UNION ALL SELECT o_orderkey, 'avghazard', CASE o_orderkey % 6 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '{"type":"FeatureCollection","features":[]}'
+  WHEN 2 THEN concat('{"features":[{"properties":{"PGA_475":"bad","AVS":"', CAST(o_custkey % 500 + 100 AS STRING), '.126"}}]}')
+  WHEN 3 THEN concat('{"features":[{"properties":{"PGA_475":"1.', CAST(o_custkey % 900 + 100 AS STRING), '","VS30":"', CAST(o_custkey % 500 + 100 AS STRING), '"}}]}')
+  WHEN 4 THEN '{"features":[{"properties":{"ARV":"2.675","J_AVS":"x"}}]}'
+  ELSE concat('{"features":[{"properties":{"PGA":"0.', CAST(o_custkey % 90 + 10 AS STRING), '5","AVS":"","J_AVS":"180"}}]}') END FROM orders
+UNION ALL SELECT o_orderkey, 'landslide', CASE o_orderkey % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '{"features":[]}'
+  WHEN 2 THEN '{"features":[{"properties":{"type":"Steep Slope","risk":"2"}},{"properties":{"name":"地すべり防止区域","rank":"3"}}]}'
+  WHEN 3 THEN concat('{"features":[{"properties":{"type":"landslide","risk":"","R":"', CAST(o_custkey % 6 AS STRING), '"}}]}')
+  ELSE '{"features":[{"properties":{"risk":"n/a","name":"急傾斜地"}}]}' END FROM orders
+"""
+
+# tile files at zoom 15 around customers: one layer each, some empty
+VIEWS["tile_files"] = """
+SELECT concat('/landing/', layer, '/15/', CAST(x AS STRING), '/', CAST(y AS STRING), '.png') AS path, n AS length FROM (
+ SELECT CASE c_custkey % 6 WHEN 0 THEN 'flood' WHEN 1 THEN 'tsunami' WHEN 2 THEN 'disaster_zone' WHEN 3 THEN 'landslide_prevention' WHEN 4 THEN 'steep_slope_zone' ELSE 'storm_surge' END AS layer,
+  CAST(floor((lng + CAST(180 AS DOUBLE)) / CAST(360 AS DOUBLE) * CAST(32768 AS DOUBLE)) AS INT) AS x,
+  CAST(floor((CAST(1 AS DOUBLE) - ln(tan(radians(lat)) + CAST(1 AS DOUBLE) / cos(radians(lat))) / pi()) / CAST(2 AS DOUBLE) * CAST(32768 AS DOUBLE)) AS INT) AS y,
+  c_custkey % 4 AS n
+ FROM (SELECT c_custkey, CAST(30 AS DOUBLE) + CAST(c_custkey * 7919 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat,
+  CAST(130 AS DOUBLE) + CAST(c_custkey * 6007 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lng FROM customer) t) u
+"""
+
+# population by third-level grid cell, from part points
+VIEWS["mesh_population"] = """
+SELECT concat(lpad(CAST(p AS STRING),2,'0'), lpad(CAST(u AS STRING),2,'0'), CAST(q AS STRING), CAST(v AS STRING), CAST(r AS STRING), CAST(w AS STRING)) AS mesh_code,
+ CAST(sum(p_size) AS BIGINT) AS population_current, CAST(max(p_size) AS INT) AS elderly FROM (
+ SELECT p, u, q, v, CAST(floor((m - q * CAST(5 AS DOUBLE)) * CAST(60 AS DOUBLE) / CAST(30 AS DOUBLE)) AS INT) AS r,
+  CAST(floor((d - v * CAST(7.5 AS DOUBLE) / CAST(60 AS DOUBLE)) * CAST(3600 AS DOUBLE) / CAST(45 AS DOUBLE)) AS INT) AS w, p_size FROM (
+  SELECT p, u, m, d, CAST(floor(m / CAST(5 AS DOUBLE)) AS INT) AS q, CAST(floor(d * CAST(60 AS DOUBLE) / CAST(7.5 AS DOUBLE)) AS INT) AS v, p_size FROM (
+   SELECT p, u, lat * CAST(60 AS DOUBLE) - p * CAST(40 AS DOUBLE) AS m, lng - CAST(100 AS DOUBLE) - u AS d, p_size FROM (
+    SELECT lat, lng, p_size, CAST(floor(lat * CAST(60 AS DOUBLE) / CAST(40 AS DOUBLE)) AS INT) AS p, CAST(floor(lng - CAST(100 AS DOUBLE)) AS INT) AS u FROM (
+     SELECT p_size, CAST(30 AS DOUBLE) + CAST(p_partkey * 7919 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat,
+      CAST(130 AS DOUBLE) + CAST(p_partkey * 6007 % 150000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lng FROM part) a) b) c) e) f
+GROUP BY p, u, q, v, r, w
+"""
+
+# a batch of listings: every order twice, the second sighting a day later with some gaps
+VIEWS["feed_batch"] = """
+SELECT source, source_id, concat('https://portal.example/', source_id) AS source_url, concat('物件 ', source_id) AS title,
+ CASE WHEN seen = 1 AND k % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE price + seen * 10000 END AS price,
+ address, pref AS prefecture, CASE WHEN k % 2 = 0 THEN CAST(10000 + k % 47 AS STRING) ELSE '松本市' END AS municipality,
+ CASE WHEN seen = 1 AND k % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(50 + k % 200 AS DOUBLE) END AS land_area_sqm, CAST(NULL AS DOUBLE) AS building_area_sqm,
+ CASE WHEN seen = 1 THEN '' ELSE '3LDK' END AS floor_plan, CAST(1950 + k % 70 AS INT) AS year_built, '木造' AS structure, CAST(2 AS INT) AS floors,
+ CASE k % 3 WHEN 0 THEN CAST(4.5 AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END AS road_width_m, CAST(NULL AS DOUBLE) AS road_frontage_m,
+ CASE k % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS rebuild_possible, CAST(NULL AS STRING) AS city_planning_zone, '商業地域' AS use_zone,
+ CAST(60 AS DOUBLE) AS coverage_ratio, CAST(200 AS DOUBLE) AS floor_area_ratio,
+ CASE WHEN seen = 1 AND k % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(35 AS DOUBLE) + CAST(k % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS latitude,
+ CAST(139 AS DOUBLE) AS longitude, seen, k, ts AS scraped_at
+FROM (SELECT 0 AS seen, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source,
+  concat('F', CAST(o_orderkey AS STRING)) AS source_id, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderdate AS ts, lpad(CAST(o_custkey % 47 + 1 AS STRING),2,'0') AS pref,
+  CASE WHEN o_orderkey % 8 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 8 = 1 THEN 'Unknown' ELSE concat('長野県松本市中央', CAST(o_custkey AS STRING), '-', CAST(o_orderkey % 4 AS STRING)) END AS address FROM orders
+ UNION ALL SELECT 1, o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END,
+  concat('F', CAST(o_orderkey AS STRING)), CAST(floor(o_totalprice) AS BIGINT), o_orderdate + INTERVAL 1 DAY, lpad(CAST(o_custkey % 47 + 1 AS STRING),2,'0'),
+  CASE WHEN o_orderkey % 8 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 8 = 1 THEN 'Unknown' ELSE concat('長野県松本市中央', CAST(o_custkey AS STRING), '-', CAST(o_orderkey % 4 AS STRING)) END FROM orders) t
+"""
+
+# properties and listings stored before that batch: one property per customer, one listing for a share of the orders
+VIEWS["stored_properties"] = """
+SELECT concat('P', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_custkey % 9 = 0 THEN 'Unknown' ELSE concat('長野県松本市中央', CAST(c_custkey AS STRING), '-', CAST(c_custkey % 4 AS STRING)) END AS address_ja,
+ lpad(CAST(c_custkey % 47 + 1 AS STRING),2,'0') AS prefecture_code, '20202' AS municipality_code, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng,
+ CAST(floor(abs(c_acctbal) * CAST(1000 AS DOUBLE)) AS BIGINT) AS price_jpy, CAST(80 AS DOUBLE) AS land_area_sqm, CAST(90 AS DOUBLE) AS building_area_sqm, '2DK' AS floor_plan, CAST(1980 AS INT) AS year_built,
+ CAST(NULL AS STRING) AS structure, CAST(NULL AS INT) AS floors, CAST(3 AS DOUBLE) AS road_width_m, CAST(NULL AS BOOLEAN) AS rebuild_possible, CAST(NULL AS STRING) AS use_zone,
+ CAST(NULL AS DOUBLE) AS coverage_ratio, CAST(NULL AS DOUBLE) AS floor_area_ratio, CAST(1 AS DOUBLE) AS price_per_sqm, 'active' AS status
+FROM customer
+"""
+
+VIEWS["stored_listings"] = """
+SELECT concat('P', CAST(o_custkey AS STRING)) AS property_id, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source_id,
+ concat('F', CAST(o_orderkey AS STRING)) AS source_listing_id, 'https://portal.example/old' AS source_url, 'delisted' AS listing_status,
+ o_orderdate - INTERVAL 9 DAY AS first_scraped_at, o_orderdate - INTERVAL 9 DAY AS last_scraped_at FROM orders WHERE o_orderpriority = '1-URGENT'
+"""
