@@ -49,7 +49,8 @@ def _loaded(sql: str, extra: str = "") -> str:
     return with_views("feed_batch", "stored_properties", "stored_listings", extra=tables) + sql
 
 
-AS_OF = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+def as_of():
+    return F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def feed(s):
@@ -118,7 +119,7 @@ _PICK = ", ".join(
   u.attached, s.price_per_sqm, 'active' AS status FROM stored_properties s FULL JOIN updates u ON u.id = s.id)""", UPDATES),
 )
 def _properties(s):
-    return ingest.merge_properties(s.stored_properties, ingest.fold_updates(resolved(s)), AS_OF)
+    return ingest.merge_properties(s.stored_properties, ingest.fold_updates(resolved(s)), as_of())
 
 
 @query(
@@ -158,7 +159,7 @@ FROM resolved r JOIN updates u ON u.id = r.property_id WHERE r.is_new""", UPDATE
 )
 def _defaults(s):
     rows = resolved(s)
-    merged = ingest.merge_properties(s.stored_properties, ingest.fold_updates(rows), AS_OF)
+    merged = ingest.merge_properties(s.stored_properties, ingest.fold_updates(rows), as_of())
     fresh = rows.where("is_new").select(F.col("property_id").alias("id"))
     return merged.join(fresh, "id").select(F.col("id").alias("property_id"), "address_ja", "price_jpy", "status")
 

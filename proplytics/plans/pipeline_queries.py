@@ -14,7 +14,11 @@ from proplytics.sources.dimensions import dimension
 from proplytics.sources.views import with_views
 
 AS_OF = "2024-02-01 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 
 # a job completes when its event says so; started a minute per listing before
 JOBS = "jobs AS (SELECT *, CASE WHEN status IN ('completed', 'failed') THEN created_at END AS completed_at, created_at - INTERVAL 90 SECOND AS started_at FROM scrape_jobs)"
@@ -48,7 +52,7 @@ def _latest(s):
 FROM (SELECT *, {LAST.format(by='source_id, prefecture_code')} AS rn FROM jobs WHERE status = 'completed') WHERE rn = 1"""),
 )
 def _freshness(s):
-    return crawlops.freshness(jobs(s), NOW)
+    return crawlops.freshness(jobs(s), now())
 
 
 @query(
@@ -102,7 +106,7 @@ def _slots(s):
  AND NOT coalesce(epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(l.last) < 2592000, FALSE)) WHERE rn <= slots""", RECENT + ",\n" + dim("scrape_sources")),
 )
 def _due(s):
-    return crawlops.due_crawls(recent(s), NOW, interval_hours=720.0)
+    return crawlops.due_crawls(recent(s), now(), interval_hours=720.0)
 
 
 @query(
@@ -178,7 +182,7 @@ def _board(s):
 FROM (SELECT id, (epoch_us(coalesce(completed_at, TIMESTAMP '{AS_OF}')) - epoch_us(started_at))::DOUBLE / 1000000::DOUBLE AS s FROM jobs)"""),
 )
 def _duration(s):
-    return crawlops.with_duration(jobs(s), NOW).select("id", "seconds", "duration")
+    return crawlops.with_duration(jobs(s), now()).select("id", "seconds", "duration")
 
 
 _EVENTS = """events_by_job AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
@@ -279,7 +283,7 @@ def _progress(s):
 )
 def _new_deals(s):
     asked = s.properties.where("status = 'active'").select("id", F.col("id").alias("property_id"), F.col("price_jpy").alias("purchase_price"))
-    return deals.new_deals(asked, NOW).drop("updated_at")
+    return deals.new_deals(asked, now()).drop("updated_at")
 
 
 @query(
@@ -292,7 +296,7 @@ def _patch(s):
     patches = s.lineitem.select(
         key.alias("id"), F.when(key % 2 == 0, "sale").alias("stage"), F.when(key % 3 == 0, key * 10).alias("purchase_price")
     ).distinct()
-    return deals.patch_deals(s.deals, patches, NOW).select("id", "stage", "purchase_price", "renovation_budget")
+    return deals.patch_deals(s.deals, patches, now()).select("id", "stage", "purchase_price", "renovation_budget")
 
 
 @query(
@@ -308,7 +312,7 @@ def _toggle(s):
     toggles = s.lineitem.select(
         key.alias("deal_id"), F.lit("title_search").alias("item_name"), (key % 2 == 0).alias("is_completed"), F.lit(None).cast("string").alias("notes")
     ).distinct()
-    return deals.toggle_items(items, toggles, NOW).select("deal_id", "item_name", "is_completed", "completed_at")
+    return deals.toggle_items(items, toggles, now()).select("deal_id", "item_name", "is_completed", "completed_at")
 
 
 @query(

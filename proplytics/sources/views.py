@@ -239,3 +239,32 @@ SELECT concat('P', CAST(o_custkey AS STRING)) AS property_id, CASE o_orderkey %
  concat('F', CAST(o_orderkey AS STRING)) AS source_listing_id, 'https://portal.example/old' AS source_url, 'delisted' AS listing_status,
  o_orderdate - INTERVAL 9 DAY AS first_scraped_at, o_orderdate - INTERVAL 9 DAY AS last_scraped_at FROM orders WHERE o_orderpriority = '1-URGENT'
 """
+
+# search result pages: one per order with two cards, in the markup of its portal
+VIEWS["search_html"] = """
+SELECT o_orderkey AS page_id, source, 'https://portal.example/search' AS url, 'search' AS kind, concat('<html><body><div class="list">', CASE source
+ WHEN 'suumo' THEN concat('<div class="property_unit"><h2>中古一戸建て', k, '</h2><a href="/chukoikkodate/nc_', k, '/">x</a><div class="dottable-value">', man, '万円</div><div class="dottable-vm">長野県松本市', k, '</div><table><tr><th>土地面積</th><td>', area, '.5㎡</td></tr><tr><th>間取り</th><td>3LDK</td></tr><tr><th>築年月</th><td>1998年4月</td></tr></table></div><div class="property_unit"><a href="/chukoikkodate/none/">y</a></div>')
+ WHEN 'homes' THEN concat('<div class="mod-mergeBuilding"><h2>中古一戸建て', k, '</h2><a href="/kodate/chu/nagano/1', k, '00000/">x</a><span class="price">', man, '万円</span><p class="address">長野県松本市', k, '</p><dl><dt>土地</dt><dd>', area, '.5m²</dd><dt>間取り</dt><dd>3LDK</dd><dt>築年</dt><dd>1998年</dd></dl></div><div class="mod-mergeBuilding"><span>no link</span></div>')
+ WHEN 'athome' THEN concat('<div class="property-card"><h3>中古一戸建て', k, '</h3><a href="https://www.athome.co.jp/kodate/1', k, '00000/">x</a><span class="kakaku">', man, '万円</span><table><tr><th>所在地</th><td>長野県松本市', k, '</td></tr><tr><th>敷地</th><td>', area, '.5㎡</td></tr><tr><th>間取り</th><td>3LDK</td></tr><tr><th>築年月</th><td>平成10年</td></tr></table></div><div class="property-card"><a href="/kodate/list/">z</a></div>')
+ WHEN 'akiya' THEN concat('<section class="propety"><p class="propetyTitle"><a href="//muni.akiya-athome.jp/bukken/detail/buy/', k, '">中古一戸建て', k, '</a></p><dl class="price"><dt>価格</dt><dd><span>', man, '</span>万円</dd></dl><dl><dt>所在地</dt><dd>長野県松本市', k, '</dd><dt>土地面積</dt><dd>', area, '.5㎡</dd><dt>間取り</dt><dd>3LDK</dd><dt>築年月</dt><dd>平成10年</dd></dl><img data-src="/img/p', k, '.jpg"><img src="/icon.png"></section><section class="propety"><span>a</span></section>')
+ ELSE concat('<table class="result-table"><tbody><tr><td>長野地裁松本支部</td><td>令和6年(ケ)第', CAST(o_orderkey % 900 + 1 AS STRING), '号</td><td>', man, '0,000円</td><td>長野県松本市', k, '</td><td>令和7年3月1日</td><td><a href="/app/detail/pt001?id=B', k, '">詳細</a></td></tr><tr><th>x</th></tr></tbody></table>') END, '</div></body></html>') AS html,
+ o_orderkey, CAST(floor(o_totalprice / CAST(100 AS DOUBLE)) AS BIGINT) + 1 AS price_man, 30 + o_orderkey % 400 AS area_int
+FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source, CAST(o_orderkey AS STRING) AS k,
+ CAST(CAST(floor(o_totalprice / CAST(100 AS DOUBLE)) AS BIGINT) + 1 AS STRING) AS man, CAST(30 + o_orderkey % 400 AS STRING) AS area FROM orders) t
+"""
+
+
+# detail pages with what only some portals embed: linked data, script coordinates, carousels, court papers, area inputs
+VIEWS["rich_html"] = """
+SELECT o_orderkey AS page_id, source, CASE source WHEN 'homes' THEN concat('https://www.homes.co.jp/kodate/b/?bid=', k) WHEN 'bit' THEN concat('https://www.bit.courts.go.jp/app/detail/pt001/', k, '?x=1')
+  WHEN 'akiya' THEN concat('https://muni.akiya-athome.jp/bukken/detail/buy/', k) WHEN 'suumo' THEN concat('https://suumo.jp/chukoikkodate/__x/nc_9/ab', k, '/') ELSE concat('https://www.athome.co.jp/kodate/', CAST(o_orderkey + 100000 AS STRING), '/?a=b') END AS url, 'detail' AS kind,
+ concat('<html><head><title>物件ページ', k, '</title></head><body><h1>物件 ', k, '</h1>', CASE source
+ WHEN 'homes' THEN concat('<script type="application/ld+json">{"@type":"House","offers":{"price":"', man, '0000"},"address":{"addressRegion":"長野県","addressLocality":"松本市","streetAddress":"中央', k, '"},"geo":{"latitude":"36.', tail, '","longitude":137.5},"image":["https://x/', k, '.jpg"]}</script><dl><dt>階数</dt><dd>地上2階</dd><dt>その他制限事項</dt><dd>再建築不可</dd></dl>')
+ WHEN 'athome' THEN concat('<script>var m = {lat: 36.', tail, ', lng: 138.25};</script><table><tr><th>所在地</th><td>長野県松本市', k, '</td></tr><tr><th>階建</th><td>2階建 / 3 階</td></tr><tr><th>特記事項</th><td>再建築可</td></tr></table><img src="https://img.athome.co.jp/logo.png"><img data-src="https://img.athome.co.jp/', k, '.jpg"><div style="background-image: url(&quot;https://bg/', k, '.png&quot;)"></div>')
+ WHEN 'akiya' THEN concat('<script>image_tile_carousel_image_s = [{"image_url_fullsize": "//c/', k, '.jpg"}, {"image_url_thumbnail": "https://c/t.jpg"}];</script><iframe src="https://maps.google.com/maps?q=36.', tail, ',138.5"></iframe><dl><dt>所在地周辺情報を調べる</dt><dd>長野県松本市', k, '周辺情報を見る</dd><dt>希望価格</dt><dd>応相談</dd><dt>金額</dt><dd>', man, '万円</dd></dl><input name="gyosei_cd[]" value="20202"><input name="gyosei_cd[]" value="2', tail, '">')
+ WHEN 'bit' THEN concat('<p>令和6年(ケ)第', CAST(o_orderkey % 900 + 1 AS STRING), '号</p><dl><dt>裁判所名</dt><dd>長野地裁</dd><dt>売却基準価額</dt><dd>', man, '0,000円</dd><dt>所在地</dt><dd>長野県松本市', k, '</dd></dl><a href="/pdf/', k, '.pdf">物件明細書</a><script>latitude = 36.', tail, '; lng = 200.5;</script><img src="/img/btn_x.png"><img src="/img/', k, '.jpg">')
+ ELSE concat('<table><tr><th>価格</th><td>', man, '万円</td></tr><tr><th>住所</th><td>東京都新宿区西新宿', k, '</td></tr></table><img src="https://img.suumo.jp/a', k, '.jpg"><img src="https://img.suumo.jp/a', k, '.jpg">') END, '</body></html>') AS html,
+ k, man, tail
+FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source, CAST(o_orderkey AS STRING) AS k,
+ CAST(CAST(floor(o_totalprice / CAST(100 AS DOUBLE)) AS BIGINT) + 1 AS STRING) AS man, CAST(1000 + o_orderkey % 9000 AS STRING) AS tail FROM orders) t
+"""
