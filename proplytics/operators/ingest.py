@@ -349,13 +349,14 @@ def image_rows(resolved: DataFrame) -> DataFrame:
 def upsert(
     feed: DataFrame, listings: DataFrame, properties: DataFrame, as_of: Column, tiers: bool = False, order: list[str] = ("scraped_at",)
 ) -> Snapshots:
-    """Next snapshots after loading ``feed``.
+    """Next snapshots after loading ``feed``."""
+    return apply_batch(fold_listings(feed, order), listings, properties, as_of, tiers)
 
-    The resolved batch feeds six outputs, so it is written once to the shared folder.
-    """
+
+def apply_batch(batch: DataFrame, listings: DataFrame, properties: DataFrame, as_of: Column, tiers: bool = False) -> Snapshots:
+    """Snapshots from a folded batch. The resolved batch feeds six outputs, so it is written once."""
     from proplytics.session import materialise
 
-    batch = fold_listings(feed, order)
     resolved = materialise((resolve_by_tiers if tiers else resolve_by_address)(batch, listings, properties))
     fresh = resolved.where("is_new")
     scores = stub_scores(fresh).select(

@@ -19,8 +19,14 @@ def _rounded_avg(c: Column) -> Column:
     return F.nullif(F.bround(F.avg(c), 0), F.lit(0.0)).cast("bigint")
 
 
+def _score_mean(c: Column) -> Column:
+    """Mean of scores, summed in whole hundredths so that the order of rows cannot move a tie."""
+    hundredths = F.round(c * F.lit(100.0)).cast("bigint")
+    return F.try_divide(F.sum(hundredths).cast("double"), F.count(c)) / F.lit(100.0)
+
+
 def _score_avg(c: Column) -> Column:
-    return F.nullif(round_exact(F.avg(c), 1), F.lit(0.0))
+    return F.nullif(round_exact(_score_mean(c), 1), F.lit(0.0))
 
 
 def market_stats(properties: DataFrame) -> DataFrame:
@@ -115,12 +121,12 @@ def coverage_by_source(properties: DataFrame, listings: DataFrame) -> DataFrame:
 def page_averages(rows: DataFrame) -> DataFrame:
     """Averages over one page of records: scored rows and priced rows, rounded half up."""
 
-    def half_up(c: Column) -> Column:
-        return F.floor(F.avg(c) + F.lit(0.5)).cast("bigint")
+    def half_up(mean: Column) -> Column:
+        return F.floor(mean + F.lit(0.5)).cast("bigint")
 
     return rows.agg(
-        half_up(F.col("composite_score")).alias("avg_score"),
-        half_up(F.col("price_jpy")).alias("avg_price"),
+        half_up(_score_mean(F.col("composite_score"))).alias("avg_score"),
+        half_up(F.avg("price_jpy")).alias("avg_price"),
         F.count_if(_active()).alias("active_count"),
     )
 

@@ -217,7 +217,7 @@ def _batch(s):
     "agg01_market_stats",
     scored("""SELECT count(*) AS total_properties, count(*) FILTER (status = 'active') AS active_properties,
  CAST(round_even(avg(price_jpy) FILTER (status = 'active'), 0) AS BIGINT) AS avg_price,
- format('{:.1f}', avg(composite_score))::DOUBLE AS avg_score,
+ format('{:.1f}', (CAST(sum(round(composite_score * 100)) AS BIGINT)::DOUBLE / count(composite_score) / 100))::DOUBLE AS avg_score,
  count(*) FILTER (status = 'active' AND rebuild_possible) AS rebuild_ok,
  count(*) FILTER (status = 'active' AND NOT rebuild_possible) AS rebuild_ng,
  count(*) FILTER (status = 'active' AND rebuild_possible IS NULL) AS rebuild_unknown FROM scored"""),
@@ -249,7 +249,7 @@ def _bars(s):
     "agg05_municipality_stats",
     scored("""SELECT municipality_code, count(*) FILTER (status = 'active') AS property_count,
  CAST(round_even(coalesce(avg(price_jpy) FILTER (status = 'active'), 0), 0) AS BIGINT) AS avg_price,
- nullif(format('{:.1f}', avg(composite_score))::DOUBLE, 0) AS avg_score FROM scored GROUP BY municipality_code"""),
+ nullif(format('{:.1f}', (CAST(sum(round(composite_score * 100)) AS BIGINT)::DOUBLE / count(composite_score) / 100))::DOUBLE, 0) AS avg_score FROM scored GROUP BY municipality_code"""),
 )
 def _municipality(s):
     return market.municipality_stats(scored_properties(s))
@@ -287,7 +287,7 @@ def _shares(s):
 
 @query(
     "agg21_page_averages",
-    scored("""SELECT CAST(floor(avg(composite_score) + 0.5) AS BIGINT) AS avg_score,
+    scored("""SELECT CAST(floor((CAST(sum(round(composite_score * 100)) AS BIGINT)::DOUBLE / count(composite_score) / 100) + 0.5) AS BIGINT) AS avg_score,
  CAST(floor(avg(price_jpy) + 0.5) AS BIGINT) AS avg_price, count(*) FILTER (status = 'active') AS active_count
 FROM (SELECT * FROM scored ORDER BY created_at DESC NULLS FIRST, id LIMIT 200)"""),
 )
