@@ -146,8 +146,9 @@ def _tiered(s):
         F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").alias("first_seen"),
     )
     from proplytics.operators.match import with_normalized
+    from proplytics.session import materialise
 
-    stored = with_normalized(s.properties.select(F.col("id").cast("string").alias("id"), "address_ja", "lat", "lng"))
+    stored = materialise(with_normalized(s.properties.select(F.col("id").cast("string").alias("id"), "address_ja", "lat", "lng")))
     rows = ingest.resolve_by_tiers(incoming, stored_listings(s), stored)
     return rows.select("source", "source_id", "property_id", "is_new")
 
