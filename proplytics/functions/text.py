@@ -42,14 +42,19 @@ def _long(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _strip(c: Column, drop: str) -> Column:
-    return F.translate(ascii_digits(c), drop, "")
+    """ASCII digits, and the characters of ``drop`` gone, in one pass over the text."""
+    return F.translate(c, FULL_WIDTH_DIGITS + drop, "0123456789")
 
 
 def _scaled_price(text: Column, oku: str, man: str, *plain: str) -> Column:
     """Yen from 億/万 amounts, else the first plain pattern that matches."""
     oku_part = _long(text, oku, 1)
     oku_man = F.coalesce(_long(text, oku, 2), F.lit(0).cast("bigint"))
-    tries = [oku_part * 100_000_000 + oku_man * 10_000, _long(text, man) * 10_000]
+    # most prices hold neither unit, or only 万: look for the character before the pattern
+    tries = [
+        F.when(text.contains("億"), oku_part * 100_000_000 + oku_man * 10_000),
+        F.when(text.contains("万"), _long(text, man) * 10_000),
+    ]
     tries += [_long(text, p) for p in plain]
     return F.coalesce(*tries)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proplytics.functions.geo import TILE_ZOOM, mesh_code, tile_x, tile_y
 from proplytics.functions.numbers import round_exact
+from proplytics.session import spread
 from proplytics.sources.feeds import FEATURE_COLLECTION
 
 # JMA intensity levels and the property names that carry them
@@ -38,9 +39,17 @@ def probe(properties: Column, key: str) -> Column:
     return F.try_element_at(properties, F.lit(key))
 
 
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def to_number(text: Column) -> Column:
+    """Number of a text, null for anything else; the check first, since a failing cast is slow."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def first_number(properties: Column, keys: list[str]) -> Column:
     """First of the keys whose value is a number."""
-    return F.coalesce(*[probe(properties, k).try_cast("double") for k in keys])
+    return F.coalesce(*[to_number(probe(properties, k)) for k in keys])
 
 
 def intensity_probabilities(properties: Column) -> Column:
@@ -52,7 +61,7 @@ def intensity_probabilities(properties: Column) -> Column:
         ]
     )
     present = F.filter(entries, lambda e: e["value"].isNotNull())
-    numbers = F.transform(present, lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("double").alias("value")))
+    numbers = F.transform(present, lambda e: F.struct(e["key"].alias("key"), to_number(e["value"]).alias("value")))
     return F.map_from_entries(numbers)
 
 
@@ -67,7 +76,7 @@ def liquefaction(properties: Column) -> Column:
         text = probe(properties, key)
         return F.when((text != "") & ~text.rlike(r"^0(\.0*)?$"), text)
 
-    vs30 = F.coalesce(*[filled(k) for k in VS30_KEYS]).try_cast("double")
+    vs30 = to_number(F.coalesce(*[filled(k) for k in VS30_KEYS]))
     return F.when(vs30 < 150, "high").when(vs30 < 250, "medium").when(vs30 < 400, "low").when(vs30.isNotNull(), "very_low")
 
 
@@ -75,9 +84,13 @@ def risk_class(top: Column) -> Column:
     return F.when(top >= 4, "very_high").when(top >= 3, "high").when(top >= 2, "medium").otherwise("low")
 
 
+def whole_number(text: Column) -> Column:
+    return F.when(text.rlike(r"^\s*[-+]?\d+\s*$"), text.try_cast("int"))
+
+
 def _risk_value(properties: Column) -> Column:
     raw = F.coalesce(*[F.nullif(probe(properties, k), F.lit("")) for k in RISK_KEYS])
-    return raw.try_cast("int")
+    return whole_number(raw)
 
 
 def is_steep(kind: Column, name: Column) -> Column:
@@ -91,7 +104,7 @@ def is_landslide(kind: Column, name: Column) -> Column:
 def landslide_folds() -> list[Column]:
     """Aggregates over exploded features(type, name, risk): class and the two zone flags."""
     kind, name = F.col("type"), F.col("name")
-    top = F.greatest(F.max(F.col("risk").try_cast("int")), F.lit(1))
+    top = F.greatest(F.max(whole_number(F.col("risk"))), F.lit(1))
     return [
         risk_class(top).alias("landslide_risk"),
         F.bool_or(is_steep(kind, name)).alias("steep_slope_zone"),
@@ -104,20 +117,24 @@ def landslide_by_property(features: DataFrame) -> DataFrame:
     return features.groupBy("property_id").agg(*landslide_folds())
 
 
-def landslide_of(body: Column) -> Column:
-    """The same fold inside one response body: struct(risk, steep, prevention); null without a body.
+def feature_properties(body: Column) -> Column:
+    """Properties map of every feature of a response body; empty without features, null without a body."""
+    features = F.from_json(body, FEATURE_COLLECTION)["features"]
+    none = F.array().cast("array<map<string,string>>")
+    return F.when(body.isNotNull(), F.coalesce(F.transform(features, lambda f: f["properties"]), none))
+
+
+def landslide_of(props: Column) -> Column:
+    """The same fold inside one response: struct(risk, steep, prevention); null without a response.
 
-    No shuffle: the features of a response are one array of the row.
+    ``props`` is a column of feature_properties, computed once before the three folds read it. No
+    shuffle: the features of a response are one array of the row.
     """
-    features = F.coalesce(F.from_json(body, FEATURE_COLLECTION)["features"], F.array().cast("array<struct<type: string, properties: map<string,string>>>"))
-    props = F.transform(features, lambda f: f["properties"])
     top = F.array_max(F.transform(props, _risk_value))
     steep = F.exists(props, lambda p: is_steep(probe(p, "type"), probe(p, "name")))
     slide = F.exists(props, lambda p: is_landslide(probe(p, "type"), probe(p, "name")))
-    risk = F.when(F.size(features) == 0, "low").otherwise(risk_class(F.greatest(top, F.lit(1))))
-    return F.when(
-        body.isNotNull(), F.struct(risk.alias("risk"), steep.alias("steep"), slide.alias("prevention"))
-    )
+    risk = risk_class(F.greatest(top, F.lit(1)))
+    return F.when(props.isNotNull(), F.struct(risk.alias("risk"), steep.alias("steep"), slide.alias("prevention")))
 
 
 def tile_layers(tiles: DataFrame, zoom: int = TILE_ZOOM) -> DataFrame:
@@ -160,15 +177,15 @@ def unassessed(properties: DataFrame, assessments: DataFrame) -> DataFrame:
 def assess(properties: DataFrame, responses: DataFrame, tiles: DataFrame) -> DataFrame:
     """One assessment row per located property: two left joins, then column logic."""
     located = properties.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("id", "lat", "lng")
-    feeds = responses_by_property(responses).withColumnRenamed("property_id", "id")
-    rows = with_tiles(located, tiles).join(feeds, "id", "left")
+    feeds = responses_by_property(spread(responses)).withColumnRenamed("property_id", "id")
+    rows = with_tiles(spread(located), tiles).join(feeds, "id", "left")
     rows = rows.withColumns(
         {
             "_seismic": first_properties(F.col("pshm")),
             "_average": first_properties(F.col("avghazard")),
-            "_slide": landslide_of(F.col("landslide")),
+            "_props": feature_properties(F.col("landslide")),
         }
-    )
+    ).withColumn("_slide", landslide_of(F.col("_props")))
     c = F.col
     have = {
         "seismic": c("pshm").isNotNull(),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proplytics.functions import text as T
 from proplytics.functions.numbers import REFERENCE_YEAR, clamp, round_exact
+from proplytics.session import spread
 
 SCORING_VERSION = "1.0"
 
@@ -96,10 +98,14 @@ def score_hazard(assessed: Column, flood: Column, pga: Column, landslide: Column
     return F.when(assessed, clamp(total)).otherwise(F.lit(50.0))
 
 
-def score_infrastructure(lat: Column, lng: Column, zone: Column, floor_plan: Column) -> Column:
+def rooms(floor_plan: Column) -> Column:
+    """Rooms of a plan such as 3LDK. No match is made null before the cast: a failing cast is slow."""
+    return T.first_group(floor_plan, r"(?i)(\d+)\s*[SLDK]+").try_cast("int")
+
+
+def score_infrastructure(lat: Column, lng: Column, zone: Column, floor_plan: Column, room_count: Column) -> Column:
     zoning = F.when(zone.isin(COMMERCIAL_ZONES), 20.0).when(zone.isin(RESIDENTIAL_ZONES), 10.0).otherwise(0.0)
-    rooms = F.regexp_extract(F.coalesce(floor_plan, F.lit("")), r"(?i)(\d+)\s*[SLDK]+", 1).try_cast("int")
-    room_points = F.when(rooms >= 4, 15.0).when(rooms >= 3, 10.0).when(rooms >= 2, 5.0).otherwise(0.0)
+    room_points = F.when(room_count >= 4, 15.0).when(room_count >= 3, 10.0).when(room_count >= 2, 5.0).otherwise(0.0)
     ldk = F.when(F.lower(floor_plan).contains("ldk"), 5.0).otherwise(0.0)
     located = lat.isNotNull() & lng.isNotNull()
     return F.when(located, clamp(F.lit(50.0) + zoning + room_points + ldk)).otherwise(F.lit(50.0))
@@ -116,9 +122,8 @@ def score_value(price: Column, land_area: Column) -> Column:
     return F.when(known, points).otherwise(F.lit(50.0))
 
 
-def score_condition(year_built: Column, structure: Column, as_of_year: int = REFERENCE_YEAR) -> Column:
+def score_condition(year_built: Column, life: Column, as_of_year: int = REFERENCE_YEAR) -> Column:
     age = F.greatest(F.lit(0), F.lit(as_of_year) - year_built)
-    life = useful_life(structure)
     remaining = F.greatest(F.lit(0.0), (life - age).cast("double") / life)
     return F.when(year_built.isNull(), F.lit(40.0)).otherwise(clamp(remaining * F.lit(70.0) + F.lit(30.0)))
 
@@ -155,13 +160,15 @@ def score_properties(
             c("landslide_risk"),
             c("tsunami_depth_max_m"),
         ),
-        "infrastructure": score_infrastructure(c("lat"), c("lng"), c("use_zone"), c("floor_plan")),
+        "infrastructure": score_infrastructure(c("lat"), c("lng"), c("use_zone"), c("floor_plan"), c("_rooms")),
         "demographic": score_demographic(),
         "value": score_value(c("price_jpy"), c("land_area_sqm")),
-        "condition": score_condition(c("year_built"), c("structure"), as_of_year),
+        "condition": score_condition(c("year_built"), c("_life"), as_of_year),
     }
     scored = (
-        properties.join(h, "id", "left")
+        spread(properties).join(h, "id", "left")
+        # what several branches below read is computed once per row
+        .withColumns({"_rooms": rooms(c("floor_plan")), "_life": useful_life(c("structure"))})
         .select(F.col("id").alias("property_id"), *[e.alias(f"{n}_score") for n, e in dims.items()])
         .withColumn("composite_score", composite(weights))
     )

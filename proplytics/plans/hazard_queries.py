@@ -263,7 +263,8 @@ SLIDES = f"""slides AS (SELECT property_id, body, len(fs) AS n, list_max(list_tr
 )
 def _landslide(s):
     rows = s.hazard_responses.where("kind = 'landslide'")
-    return rows.select("property_id", hazard.landslide_of(F.col("body")).alias("l")).select("property_id", "l.*")
+    props = rows.select("property_id", hazard.feature_properties(F.col("body")).alias("props"))
+    return props.select("property_id", hazard.landslide_of(F.col("props")).alias("l")).select("property_id", "l.*")
 
 
 # --- joins and assessment ----------------------------------------------------

@@ -21,6 +21,8 @@ def local_session(cores: int = 8, app: str = "proplytics", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM does not compile methods beyond 8000 bytes; let wide projections split instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -55,3 +57,16 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/proplytics-work/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a small input; larger ones are left in their own splits.
+
+    For work that costs far more than moving its rows, on a file too small to be split. The size
+    is the planner's estimate, so nothing runs here, and what is moved stays under 256 MB.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proplytics.functions.text import first_group
+
 # Known raster and vector tile layers
 RASTER_LAYERS = ["flood", "tsunami", "landslide", "steep_slope", "storm_surge"]
 VECTOR_LAYERS = {"disaster_zone": "XKT016", "landslide_prevention": "XKT021", "steep_slope_zone": "XKT022",
@@ -48,7 +50,9 @@ def envelope_rows(responses: DataFrame, schema: str, body: str = "body") -> Data
 def transactions(responses: DataFrame) -> DataFrame:
     """Typed transaction rows from responses(year, city, body)."""
     rows = envelope_rows(responses, TRANSACTION_ENVELOPE)
-    price, area = F.col("TradePrice").try_cast("bigint"), F.col("Area").try_cast("double")
+    # texts that are no numbers become null before the cast; a failing cast is slow
+    price = first_group(F.col("TradePrice"), r"^(\d+)$").try_cast("bigint")
+    area = first_group(F.col("Area"), r"^(\d+(?:\.\d+)?)$").try_cast("double")
     return rows.select(
         "year",
         "city",
@@ -60,7 +64,7 @@ def transactions(responses: DataFrame) -> DataFrame:
             F.col("UnitPrice").try_cast("bigint"), F.floor(F.try_divide(price, F.nullif(area, F.lit(0.0)))).cast("bigint")
         ).alias("price_per_sqm"),
         area.alias("area_sqm"),
-        F.regexp_extract(F.col("BuildingYear"), r"(\d{4})", 1).try_cast("int").alias("building_year"),
+        first_group(F.col("BuildingYear"), r"(\d{4})").try_cast("int").alias("building_year"),
         F.col("Structure").alias("structure"),
         F.col("Period").alias("trade_quarter"),
     )
