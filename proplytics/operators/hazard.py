@@ -159,13 +159,37 @@ def with_tiles(properties: DataFrame, tiles: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
 
 
-def responses_by_property(responses: DataFrame) -> DataFrame:
-    """responses(property_id, kind, body) side by side: one row per property, a failed feed null."""
+def read_responses(responses: DataFrame) -> DataFrame:
+    """What the assessment needs of each response(property_id, kind, body), a failed feed null.
+
+    Bodies are read where they lie, before anything is shuffled: a few values travel, not the JSON.
+    """
+    c = F.col
+    body, kind = c("body"), c("kind")
+    parsed = spread(responses).select(
+        "property_id",
+        "kind",
+        body.isNotNull().alias("_ok"),
+        F.when(kind != "landslide", first_properties(body)).alias("_first"),
+        F.when(kind == "landslide", feature_properties(body)).alias("_props"),
+    )
+    no_levels = F.create_map().cast("map<string,double>")
+    seismic, average = kind == "pshm", kind == "avghazard"
+    return parsed.select(
+        "property_id",
+        F.when(seismic & c("_ok"), F.coalesce(intensity_probabilities(c("_first")), no_levels)).alias("seismic_intensity_prob"),
+        F.when(average, pga(c("_first"))).alias("pga_475yr"),
+        F.when(average, liquefaction(c("_first"))).alias("liquefaction_risk"),
+        F.when(average & c("_ok"), F.lit(True)).alias("has_average"),
+        landslide_of(c("_props")).alias("_slide"),
+    )
 
-    def body(kind: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.col("body"))).alias(kind)
 
-    return responses.groupBy("property_id").agg(body("pshm"), body("avghazard"), body("landslide"))
+def responses_by_property(responses: DataFrame) -> DataFrame:
+    """The values of all feeds of a property side by side."""
+    rows = read_responses(responses)
+    values = [c for c in rows.columns if c != "property_id"]
+    return rows.groupBy("property_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
 def unassessed(properties: DataFrame, assessments: DataFrame) -> DataFrame:
@@ -179,18 +203,11 @@ def assess(properties: DataFrame, responses: DataFrame, tiles: DataFrame) -> Dat
     located = properties.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("id", "lat", "lng")
     feeds = responses_by_property(spread(responses)).withColumnRenamed("property_id", "id")
     rows = with_tiles(spread(located), tiles).join(feeds, "id", "left")
-    rows = rows.withColumns(
-        {
-            "_seismic": first_properties(F.col("pshm")),
-            "_average": first_properties(F.col("avghazard")),
-            "_props": feature_properties(F.col("landslide")),
-        }
-    ).withColumn("_slide", landslide_of(F.col("_props")))
     c = F.col
     have = {
-        "seismic": c("pshm").isNotNull(),
-        "avg_hazard": c("avghazard").isNotNull(),
-        "landslide_jshis": c("landslide").isNotNull(),
+        "seismic": c("seismic_intensity_prob").isNotNull(),
+        "avg_hazard": c("has_average"),
+        "landslide_jshis": c("_slide").isNotNull(),
         "landslide_prevention_reinfolib": c("has_landslide_prevention"),
         "steep_slope_reinfolib": c("has_steep_slope_zone"),
         "flood": c("has_flood"),
@@ -205,9 +222,9 @@ def assess(properties: DataFrame, responses: DataFrame, tiles: DataFrame) -> Dat
     return rows.select(
         F.col("id").alias("property_id"),
         mesh_code(c("lat"), c("lng"), 3).alias("mesh_code"),
-        F.when(c("pshm").isNotNull(), F.coalesce(intensity_probabilities(c("_seismic")), F.create_map().cast("map<string,double>"))).alias("seismic_intensity_prob"),
-        pga(c("_average")).alias("pga_475yr"),
-        liquefaction(c("_average")).alias("liquefaction_risk"),
+        "seismic_intensity_prob",
+        "pga_475yr",
+        "liquefaction_risk",
         F.when(c("has_flood"), F.lit(0.5)).alias("flood_depth_max_m"),
         F.when(c("has_flood"), "flood_risk_area").when(c("has_disaster_zone"), "disaster_risk_zone").alias("flood_zone"),
         F.when(c("has_tsunami"), "medium").alias("tsunami_risk"),

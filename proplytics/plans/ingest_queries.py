@@ -119,7 +119,10 @@ _PICK = ", ".join(
   u.attached, s.price_per_sqm, 'active' AS status FROM stored_properties s FULL JOIN updates u ON u.id = s.id)""", UPDATES),
 )
 def _properties(s):
-    return ingest.merge_properties(s.stored_properties, ingest.fold_updates(resolved(s)), as_of())
+    from proplytics.session import materialise
+
+    updates = materialise(ingest.fold_updates(resolved(s)))
+    return ingest.merge_properties(s.stored_properties, updates, as_of())
 
 
 @query(

@@ -8,7 +8,7 @@ from proplytics.operators import match
 from proplytics.plans import twins as D
 from proplytics.plans.registry import query
 from proplytics.plans.twins import over
-from proplytics.session import materialise
+from proplytics.session import materialise, spread
 from proplytics.sources.views import with_views
 
 _BI = "list_distinct(list_transform(range(1, length({c})), lambda i: substring({c}, i, 2)))"
@@ -37,11 +37,11 @@ def _tiers(sql: str) -> str:
 
 def listings(s):
     """Listings with the normalised address stored, as the property table stores it."""
-    return materialise(match.with_normalized(s.incoming, "address"))
+    return materialise(match.with_normalized(spread(s.incoming), "address"))
 
 
 def properties(s):
-    return materialise(match.with_normalized(s.properties.select("id", "address_ja", "lat", "lng")))
+    return materialise(match.with_normalized(spread(s.properties.select("id", "address_ja", "lat", "lng"))))
 
 
 @query(
