@@ -340,3 +340,15 @@ def risk_label(c: Column) -> Column:
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def merge_pairs(first: Column, second: Column) -> Column:
+    """Union of two label → value maps: the second wins a shared label, blank values are dropped."""
+    blank = F.lit("")
+    both = F.map_zip_with(first, second, lambda _, a, b: F.coalesce(F.nullif(b, blank), F.nullif(a, blank)))
+    return F.map_filter(both, lambda _, v: v.isNotNull())
+
+
+def distinct_capped(values: Column, limit: int) -> Column:
+    """Distinct values in order of first appearance, at most ``limit`` of them."""
+    return F.slice(F.array_distinct(values), 1, limit)

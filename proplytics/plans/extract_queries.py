@@ -267,3 +267,51 @@ def _auction_price(s):
 def _area_codes(s):
     raw = raw_material(rich(s).where("source = 'akiya'"))
     return raw.select(F.explode("inputs").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HREFS = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"
+
+
+@query(
+    "srt06_capped_links",
+    f"""SELECT page_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 10), ' ') AS hrefs FROM (SELECT page_id, {_HREFS} AS l FROM pages)""",
+)
+def _capped(s):
+    from proplytics.functions.text import distinct_capped
+
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return s.pages.select("page_id", F.array_join(distinct_capped(found, 10), " ").alias("hrefs"))
+
+
+@query(
+    "set05_distinct_links",
+    f"""SELECT page_id, len(list_distinct(l)) AS n, len(l) AS total FROM (SELECT page_id, {_HREFS} AS l FROM pages)""",
+)
+def _distinct(s):
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return s.pages.select("page_id", F.size(F.array_distinct(found)).cast("bigint").alias("n"), F.size(found).cast("bigint").alias("total"))
+
+
+@query(
+    "set06_merged_pairs",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN nullif(o_orderpriority, '') ELSE nullif(o_orderstatus, '') END AS a, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS b, o_orderpriority AS c FROM orders""",
+)
+def _merged(s):
+    from proplytics.functions.text import merge_pairs
+
+    key = F.col("o_orderkey")
+    first = F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.when(key % 2 == 0, F.col("o_orderstatus")).otherwise(""))
+    second = F.create_map(F.lit("a"), F.when(key % 3 == 0, F.col("o_orderpriority")).otherwise(""), F.lit("c"), F.col("o_orderpriority"))
+    rows = s.orders.select("o_orderkey", merge_pairs(first, second).alias("m"))
+    return rows.select("o_orderkey", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("a", "b", "c")])
+
+
+@query(
+    "ext07_card_texts",
+    over("search_html", sql="""SELECT source, count(*) AS n, count(DISTINCT page_id) AS addresses, CAST(sum(price_man) AS BIGINT) AS man FROM search_html GROUP BY source"""),
+)
+def _texts(s):
+    rows = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"))
+    return rows.groupBy("source").agg(
+        F.count("title").alias("n"), F.countDistinct("address").alias("addresses"), F.sum((F.col("price") / 10_000).cast("bigint")).alias("man")
+    )

@@ -417,3 +417,21 @@ def _inner(s):
     p = s.properties.where("status = 'active'").select("id", "status")
     l = s.listing_feed.select("property_id", "source", "source_id", "price_text")
     return p.join(l, p["id"] == l["property_id"]).drop("property_id")
+
+
+@query(
+    "agg02_average_price",
+    over("properties", sql="SELECT CAST(round_even(avg(price_jpy), 0) AS BIGINT) AS avg_price FROM properties WHERE status = 'active' AND price_jpy IS NOT NULL"),
+)
+def _average(s):
+    return market.market_stats(s.properties.withColumn("composite_score", F.lit(None).cast("double"))).select("avg_price")
+
+
+@query(
+    "agg04_tri_state",
+    over("properties", sql="""SELECT count(*) FILTER (rebuild_possible) AS rebuild_ok, count(*) FILTER (NOT rebuild_possible) AS rebuild_ng,
+ count(*) FILTER (rebuild_possible IS NULL) AS rebuild_unknown FROM properties WHERE status = 'active'"""),
+)
+def _tri_state(s):
+    stats = market.market_stats(s.properties.withColumn("composite_score", F.lit(None).cast("double")))
+    return stats.select("rebuild_ok", "rebuild_ng", "rebuild_unknown")

@@ -101,3 +101,24 @@ def _haversine(s):
 
     meters = haversine_m(F.col("lat"), F.col("lng"), F.lit(35.6812), F.lit(139.7671))
     return s.properties.where("lat IS NOT NULL").select("id", F.round(meters, 3).alias("meters"))
+
+
+@query("win04_best_match", _tiers("SELECT key, match_id FROM t2 WHERE score < 1"))
+def _best(s):
+    """Best similar address of each listing that has no equal one."""
+    return match.match_similar(listings(s), properties(s)).where("score < 1").select("key", "match_id")
+
+
+@query(
+    "set03_bigram_sets",
+    f"""SELECT id, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) AS total FROM (
+ SELECT p_partkey AS id, {_BI.format(c='p_name')} AS x, {_BI.format(c='p_type')} AS y FROM part)""",
+)
+def _sets(s):
+    from proplytics.functions.text import bigrams
+
+    x, y = bigrams(F.col("p_name")), bigrams(F.col("p_type"))
+    return s.part.select(
+        F.col("p_partkey").alias("id"), F.size(F.array_intersect(x, y)).cast("bigint").alias("shared"),
+        F.size(F.array_union(x, y)).cast("bigint").alias("total"),
+    )

@@ -337,3 +337,24 @@ def _latest_score(s):
     return rows.groupBy("property_id").agg(
         F.max("version").alias("version"), F.max_by("composite", "version").alias("composite")
     )
+
+
+@query(
+    "jn09_hazard_left_join",
+    over("properties", "hazard_assessments", sql="""SELECT p.id, h.flood_depth_max_m, h.landslide_risk, h.property_id IS NOT NULL AS assessed
+FROM properties p LEFT JOIN hazard_assessments h ON h.property_id = p.id"""),
+)
+def _hazard_join(s):
+    h = s.hazard_assessments.select(F.col("property_id").alias("id"), "flood_depth_max_m", "landslide_risk", F.lit(True).alias("_a"))
+    return s.properties.select("id").join(h, "id", "left").select(
+        "id", "flood_depth_max_m", "landslide_risk", F.coalesce("_a", F.lit(False)).alias("assessed")
+    )
+
+
+@query("fin10_rate_table", over("properties", sql="""SELECT p.id, r.rate AS commission_rate FROM properties p JOIN (
+ VALUES (0, 2000000, 0.05::DOUBLE), (2000001, 4000000, 0.04::DOUBLE), (4000001, 9223372036854775807, 0.03::DOUBLE)) r(lo, hi, rate) ON p.price_jpy BETWEEN r.lo AND r.hi"""))
+def _rate_table(s):
+    """The published rates are a handful of brackets, so they fold into the row."""
+    p = F.col("price_jpy")
+    rate = F.when(p <= 2_000_000, F.lit(0.05)).when(p <= 4_000_000, F.lit(0.04)).otherwise(F.lit(0.03))
+    return s.properties.select("id", rate.alias("commission_rate"))
