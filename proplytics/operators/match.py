@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proplytics.functions.geo import haversine_m
 from proplytics.functions.text import bigrams, normalize_address
+from proplytics.session import materialise
 
 SIMILARITY = 0.85
 MATCH_METERS = 50.0
@@ -196,13 +197,20 @@ def first_within(
         .agg(F.min("id").alias("id"))
         .withColumns({"cy": _cell(F.col("b_lat"), box), "cx": _cell(F.col("b_lng"), box)})
     )
-    crowded = store.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_cell).drop("_n")
+    # both are read several times below: computed once, on shared storage
+    store = materialise(store)
+    crowded = materialise(store.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_cell).drop("_n"))
     asked = points.withColumn("_c", F.explode(_neighbours("a_lat", "a_lng", box, box))).select("a_lat", "a_lng", "_c.*")
-    plain = asked.join(store.join(crowded, ["cy", "cx"], "left_anti"), ["cy", "cx"]).where(
-        _near("a_", "b_", box, meters)
-    ).select("a_lat", "a_lng", "id")
-    dense = _first_in_crowd(asked.join(crowded, ["cy", "cx"]), store.join(crowded, ["cy", "cx"]), box, meters)
-    found = plain.unionByName(dense).groupBy("a_lat", "a_lng").agg(F.min("id").alias("match_id"))
+
+    def one_by_one(cells: DataFrame) -> DataFrame:
+        return asked.join(cells, ["cy", "cx"]).where(_near("a_", "b_", box, meters)).select("a_lat", "a_lng", "id")
+
+    if crowded.isEmpty():
+        candidates = one_by_one(store)
+    else:
+        dense = _first_in_crowd(asked.join(crowded, ["cy", "cx"]), store.join(crowded, ["cy", "cx"]), box, meters)
+        candidates = one_by_one(store.join(crowded, ["cy", "cx"], "left_anti")).unionByName(dense)
+    found = candidates.groupBy("a_lat", "a_lng").agg(F.min("id").alias("match_id"))
     return left.select("key", "lat", "lng").join(
         found, (F.col("lat") == F.col("a_lat")) & (F.col("lng") == F.col("a_lng"))
     ).select("key", "match_id")
@@ -286,14 +294,16 @@ def match_cascade(listings: DataFrame, properties: DataFrame) -> DataFrame:
     """(key, match_id, tier, score): the first tier that finds a property for each listing.
 
     listings(key, address_normalized, municipality, lat, lng); later tiers see only what the
-    earlier ones left over.
+    earlier ones left over. Each tier is written out: two later steps read it.
     """
     none = F.lit(None).cast("double")
-    t1 = match_normalized(listings.where(F.col("address_normalized") != ""), properties).select(
-        "key", "match_id", F.lit(1).alias("tier"), none.alias("score")
+    t1 = materialise(
+        match_normalized(listings.where(F.col("address_normalized") != ""), properties).select(
+            "key", "match_id", F.lit(1).alias("tier"), none.alias("score")
+        )
     )
-    rest = listings.join(t1.select("key"), "key", "left_anti")
-    t2 = match_similar(rest, properties).select("key", "match_id", F.lit(2).alias("tier"), "score")
+    rest = materialise(listings.select("key", "address_normalized", "municipality", "lat", "lng").join(t1.select("key"), "key", "left_anti"))
+    t2 = materialise(match_similar(rest, properties).select("key", "match_id", F.lit(2).alias("tier"), "score"))
     rest = rest.join(t2.select("key"), "key", "left_anti")
     t3 = first_within(rest, properties).select("key", "match_id", F.lit(3).alias("tier"), none.alias("score"))
     return t1.unionByName(t2).unionByName(t3)

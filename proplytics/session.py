@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return jsc.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="proplytics-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
