@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplytics.llm import mixing, quality, sharding
+from proplytics.llm import jaccard, mixing, quality, sharding
 from proplytics.llm.common import written
 
 
@@ -13,6 +13,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, 5, 80)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -23,7 +28,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard_documents(docs, 8)
 
 
-STAGES = [("quality", quality_stage), ("mix", mixing_stage), ("shard", sharding_stage)]
+STAGES = [("quality", quality_stage), ("jaccard", jaccard_stage), ("mix", mixing_stage), ("shard", sharding_stage)]
 
 #: The first stage fits a model, which SQL cannot say.
 ORACLE_SQL = None

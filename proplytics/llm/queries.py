@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import mixing, quality, sharding
+from proplytics.llm import jaccard, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,18 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document at 3-word shingles and a Jaccard similarity of 0.9."""
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = _table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op5_mix, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_shards, op5_mix, op7_jaccard, op9_quality)}
 
 #: SQL twins, where SQL can say the whole result.
 ORACLES: dict[str, str] = {}
