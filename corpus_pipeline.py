@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplytics.llm import jaccard, mixing, quality, sharding
+from proplytics.llm import decontaminate, jaccard, mixing, quality, sharding
 from proplytics.llm.common import written
 
 
@@ -18,6 +18,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard.one_of_each(docs, 5, 80)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -28,7 +33,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard_documents(docs, 8)
 
 
-STAGES = [("quality", quality_stage), ("jaccard", jaccard_stage), ("mix", mixing_stage), ("shard", sharding_stage)]
+STAGES = [("quality", quality_stage), ("jaccard", jaccard_stage), ("decontaminate", decontamination_stage), ("mix", mixing_stage), ("shard", sharding_stage)]
 
 #: The first stage fits a model, which SQL cannot say.
 ORACLE_SQL = None
