@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import decontaminate, jaccard, mixing, quality, sharding
+from proplytics.llm import decontaminate, jaccard, mixing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    return pii.digest(pii.sanitised(_table(spark, sf_dir, "documents")))
+
+
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item of whose 5-word shingles it contains 80 % or more."""
     found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -40,7 +45,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op4_leaks, op5_mix, op7_jaccard, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_shards, op3_pii, op4_leaks, op5_mix, op7_jaccard, op9_quality)}
 
 #: SQL twins, where SQL can say the whole result.
 ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL}
