@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import decontaminate, jaccard, mixing, pii, quality, sharding
+from proplytics.llm import decontaminate, jaccard, mixing, neighbours, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op3_pii, op4_leaks, op5_mix, op7_jaccard, op9_quality)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest to every fiftieth vector."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op3_pii, op4_leaks, op5_mix, op7_jaccard, op9_quality, op10_neighbours)}
 
 #: SQL twins, where SQL can say the whole result.
 ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL}
