@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import decontaminate, jaccard, mixing, neighbours, pii, quality, sharding
+from proplytics.llm import decontaminate, jaccard, licences, mixing, neighbours, packing, pii, quality, sharding, tokencount
+
+
+#: folder of public tokenizer files, and the pattern that belongs to its byte-level vocabularies
+TOKENIZERS = "/opt/tokenizers"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +22,11 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    return licences.licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the terms that give it away."""
     return pii.digest(pii.sanitised(_table(spark, sf_dir, "documents")))
@@ -34,11 +44,21 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """Unigram token counts of every document."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokencount.Vocabulary.read(vocabulary))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document at 3-word shingles and a Jaccard similarity of 0.9."""
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op8_packed(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """All documents as token ids, packed into rows of 2048."""
+    return packing.packed(_table(spark, sf_dir, "documents"), packing.Encoder.read(vocabulary, PATTERN), end=50256)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,7 +70,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op3_pii, op4_leaks, op5_mix, op7_jaccard, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_licences, op3_pii, op4_leaks, op5_mix, op6_token_counts, op7_jaccard, op8_packed, op9_quality, op10_neighbours)}
 
 #: SQL twins, where SQL can say the whole result.
 ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL}
