@@ -195,10 +195,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, confidence: float =
 
     kind = rows.schema["vec_id"].dataType.simpleString()
     placed = written(rows.mapInArrow(place, f"vec_id {kind}, cell string, vector binary, point binary"))
-    # of equal vectors the smallest ids; ranks below k + 2 are cut before the shuffle
-    equal = Window.partitionBy("cell", "same").orderBy("vec_id")
-    kept = placed.withColumn("same", F.sha2("vector", 256)).withColumn("r", F.rank().over(equal)).where(F.col("r") <= k + 1)
-    kept = kept.dropDuplicates(["vec_id", "same"])
+    # equal rows are one; of equal vectors the k + 1 smallest ids stay, cut before the shuffle as well as behind it
+    equal = Window.partitionBy("same").orderBy("vec_id")
+    kept = placed.withColumn("same", F.sha2("vector", 256)).dropDuplicates(["vec_id", "same"])
+    kept = kept.withColumn("r", F.row_number().over(equal)).where(F.col("r") <= k + 1)
     # rows of a cell are dealt over blocks of bounded size
     kept = written(kept.select("vec_id", "cell", "vector", "point"))
     extent = kept.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
