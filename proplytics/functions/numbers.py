@@ -24,7 +24,8 @@ def fixed(c: Column, places: int = 1) -> Column:
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """``c`` held within the bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def blank_zero(c: Column) -> Column:
@@ -116,7 +117,7 @@ def depreciation_remaining(year_built: Column, structure: Column, as_of_year: in
     life = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for p in USEFUL_LIFE.items() for x in p]), structure), F.lit(22)
     )
-    return F.greatest(F.lit(0), life - (F.lit(as_of_year) - year_built))
+    return F.when(year_built.isNotNull(), F.greatest(F.lit(0), life - (F.lit(as_of_year) - year_built)))
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:

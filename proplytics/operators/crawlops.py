@@ -135,7 +135,7 @@ def with_duration(jobs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def recent_jobs(jobs: DataFrame, source_id: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
+def recent_jobs(jobs: DataFrame, limit: int, source_id: str | None = None, status: str | None = None) -> DataFrame:
     if source_id:
         jobs = jobs.where(F.col("source_id") == source_id)
     if status:

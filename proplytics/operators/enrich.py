@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proplytics.functions.text import simplify_address, truncate
+from proplytics.functions.text import simplify_address
 
 API_BATCH = 128
+#: characters that one call takes
+CALL_CHARACTERS = 5000
 
 
 def needs_geocoding(properties: DataFrame) -> DataFrame:
     return properties.where(F.col("lat").isNull() & F.col("address_ja").isNotNull())
 
 
-def pending_geocoding(properties: DataFrame, limit: int = 50) -> DataFrame:
+def pending_geocoding(properties: DataFrame, limit: int) -> DataFrame:
     n = F.count(F.lit(1))
     return needs_geocoding(properties).agg(n.alias("pending"), F.least(F.lit(limit), n).alias("batch_size"))
 
 
-def geocoding_batch(properties: DataFrame, limit: int = 100) -> DataFrame:
+def geocoding_batch(properties: DataFrame, limit: int) -> DataFrame:
     """The next rows to geocode in id order (top-k)."""
     return needs_geocoding(properties).orderBy("id").limit(limit)
 
@@ -32,7 +34,7 @@ def address_quality(properties: DataFrame) -> DataFrame:
     )
 
 
-def ungeocoded_sample(properties: DataFrame, n: int = 5) -> DataFrame:
+def ungeocoded_sample(properties: DataFrame, n: int) -> DataFrame:
     return needs_geocoding(properties).where(F.col("address_ja") != "Unknown").orderBy("id").limit(n)
 
 
@@ -56,7 +58,11 @@ def geocode(properties: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Fill missing coordinates in one pass and name each row's outcome."""
     pending = F.col("lat").isNull() & F.col("address_ja").isNotNull() & (F.col("address_ja") != "")
     found = gazetteer_lookup(needs_geocoding(properties).where(F.col("address_ja") != ""), gazetteer)
-    joined = properties.join(found, "address_ja", "left")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("found_lat", "double"), ("found_lng", "double"))]
+    # only rows that need a lookup meet the gazetteer
+    open_rows = F.col("lat").isNull() & F.col("address_ja").isNotNull()
+    asked = properties.where(open_rows).join(found, "address_ja", "left").select(*properties.columns, "found_lat", "found_lng")
+    joined = asked.unionByName(properties.where(~open_rows).select("*", *nothing))
     outcome = (
         F.when(F.col("lat").isNotNull() | F.col("address_ja").isNull(), "none")
         .when(F.col("address_ja") == "", "skipped")
@@ -85,31 +91,44 @@ def outcome_stats(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
 def translate(rows: DataFrame, memory: DataFrame, text: str = "text") -> DataFrame:
     """Translation of each text from memory(text, translated); blanks and misses keep the text.
 
-    Only distinct non-blank texts are looked up, each truncated as it was sent.
+    Only distinct non-blank texts are looked up. A text longer than a call takes is sent in pieces, and its translation is that
+    of its pieces in order; a piece that the memory does not know stays as it is.
     """
     blank = F.col(text).isNull() | (F.trim(text) == "")
-    wanted = rows.where(~blank).select(F.col(text).alias("_t")).distinct().withColumn("sent", truncate(F.col("_t")))
+    key = F.sha2(F.col(text), 256)
+    wanted = rows.where(~blank).select(key.alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
+    sent = wanted.select("_k", F.posexplode(pieces(F.col("_t"))).alias("_no", "sent"))
     known = memory.select(F.col("text").alias("sent"), "translated")
-    hits = wanted.join(known, "sent").select("_t", "translated")
-    joined = rows.join(hits, rows[text] == hits["_t"], "left").drop("_t")
+    hits = sent.join(known, "sent", "left").select("_k", F.struct("_no", F.coalesce("translated", "sent").alias("t")).alias("_p"))
+    whole = hits.groupBy("_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["t"]), "").alias("translated"))
+    joined = rows.withColumn("_k", F.when(~blank, key)).join(whole, "_k", "left").drop("_k")
     return joined.withColumn("translated", F.coalesce("translated", F.col(text)))
 
 
+def pieces(text: Column, size: int = CALL_CHARACTERS) -> Column:
+    """The text in pieces of ``size`` characters; none of it is lost."""
+    last = F.greatest(F.ceil(F.length(text) / F.lit(size)).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
 BLOCK_BITS = (16, 32, 48)
 
 
-def dense_ordinals(rows: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
+def dense_ordinals(rows: DataFrame, key: str, name: str = "ordinal", weight: str | None = None) -> DataFrame:
     """Exact 0-based position of each row in the order of a unique 64-bit key, without a global sort.
 
+    With ``weight``, a row takes so many positions and gets the first of them.
+
     Keys fall into blocks of 2^16; a block holds at most 65536 rows, so it is ranked in one
     window, and its offset is the sum of the blocks before it. Offsets are summed the same way
     over blocks of blocks, so no window anywhere sees more than 65536 rows.
     """
     k = F.col(key)
     first = F.shiftright(k, BLOCK_BITS[0])
-    local = Window.partitionBy(first).orderBy(key)
-    ranked = rows.withColumns({"_b": first, "_pos": F.row_number().over(local).cast("bigint") - 1})
-    counts = rows.groupBy(first.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.col(weight) if weight else F.lit(1)
+    local = Window.partitionBy(first).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumns({"_b": first, "_pos": F.coalesce(F.sum(own).over(local), F.lit(0)).cast("bigint")})
+    counts = rows.groupBy(first.alias("_b")).agg(F.sum(own).cast("bigint").alias("_n"))
     return (
         ranked.join(_offsets(counts, len(BLOCK_BITS) - 1), "_b")
         .withColumn(name, F.col("_off") + F.col("_pos"))
@@ -133,10 +152,9 @@ def _offsets(counts: DataFrame, levels: int) -> DataFrame:
 
 
 def api_batches(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Number non-blank texts into calls of 128, in key order, with the position inside the call."""
-    wanted = rows.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(key, text)
-    numbered = dense_ordinals(wanted, key)
+    """Number the pieces of non-blank texts into calls of 128, in key order, with the position inside the call."""
+    wanted = rows.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(key, pieces(F.col(text)).alias("_pieces"))
+    numbered = dense_ordinals(wanted.withColumn("_n_pieces", F.size("_pieces")), key, weight="_n_pieces")
+    sent = numbered.select(key, "ordinal", F.posexplode("_pieces").alias("piece", text)).withColumn("ordinal", F.col("ordinal") + F.col("piece"))
     batch = F.floor(F.col("ordinal") / F.lit(API_BATCH)).cast("bigint")
-    return numbered.select(
-        key, batch.alias("batch"), (F.col("ordinal") - batch * API_BATCH).alias("position"), truncate(F.col(text)).alias(text)
-    )
+    return sent.select(key, "piece", batch.alias("batch"), (F.col("ordinal") - batch * API_BATCH).alias("position"), text)

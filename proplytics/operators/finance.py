@@ -71,8 +71,11 @@ def with_capital_gains(
         )
         .withColumns(
             {
-                "taxable_gain": F.greatest(F.lit(0).cast("bigint"), F.col("taxable_gain")),
-                "net_after_tax": F.col(sale) - F.col(sale_costs) - F.col("tax_amount"),
+                # without a price or a cost nothing is known
+                "tax_rate": F.when(gain.isNotNull(), F.col("tax_rate")),
+                "tax_amount": F.when(gain.isNotNull(), F.col("tax_amount")),
+                "taxable_gain": F.when(gain.isNotNull(), F.greatest(F.lit(0).cast("bigint"), gain)),
+                "net_after_tax": F.when(gain.isNotNull(), F.col(sale) - F.col(sale_costs) - F.col("tax_amount")),
             }
         )
     )
@@ -172,15 +175,10 @@ def with_roi(
     ).drop("_reno", "_target", "_months", "_gain")
 
 
-def scenario_grid(df: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Every property against every scenario row.
+def scenario_grid(df: DataFrame, scenarios: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """Every property against the scenarios the caller names: tuples in the order of ``columns`` (name → type).
 
-    The scenario table is a handful of parameter rows, carried as one array literal and
-    exploded, so each property row fans out in place without a join.
+    Scenarios are parameters, carried as one array literal and exploded, so each row fans out in place without a join.
     """
-    rows = [tuple(r) for r in scenarios.limit(1000).collect()]
-    if len(rows) == 1000:
-        raise ValueError("scenario grid holds parameter rows; 1000 or more is not a grid")
-    names = scenarios.columns
-    items = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, (_, t) in zip(r, names, scenarios.dtypes)]) for r in rows]
+    items = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, columns.items())]) for r in scenarios]
     return df.withColumn("_s", F.explode(F.array(*items))).select(*df.columns, "_s.*")

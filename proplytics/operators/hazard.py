@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proplytics.functions.geo import TILE_ZOOM, mesh_code, tile_x, tile_y
 from proplytics.functions.numbers import round_exact
-from proplytics.session import spread
 from proplytics.sources.feeds import FEATURE_COLLECTION
 
 # JMA intensity levels and the property names that carry them
@@ -166,7 +165,7 @@ def read_responses(responses: DataFrame) -> DataFrame:
     """
     c = F.col
     body, kind = c("body"), c("kind")
-    parsed = spread(responses).select(
+    parsed = responses.select(
         "property_id",
         "kind",
         body.isNotNull().alias("_ok"),
@@ -201,8 +200,8 @@ def unassessed(properties: DataFrame, assessments: DataFrame) -> DataFrame:
 def assess(properties: DataFrame, responses: DataFrame, tiles: DataFrame) -> DataFrame:
     """One assessment row per located property: two left joins, then column logic."""
     located = properties.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("id", "lat", "lng")
-    feeds = responses_by_property(spread(responses)).withColumnRenamed("property_id", "id")
-    rows = with_tiles(spread(located), tiles).join(feeds, "id", "left")
+    feeds = responses_by_property(responses).withColumnRenamed("property_id", "id")
+    rows = with_tiles(located, tiles).join(feeds, "id", "left")
     c = F.col
     have = {
         "seismic": c("seismic_intensity_prob").isNotNull(),

@@ -34,7 +34,7 @@ def digit_code(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]+$"), c)
 
 
-def price_gate(price: Column, low: int | None = None, high: int | None = 15_000_000) -> Column:
+def price_gate(price: Column, low: int | None = None, high: int | None = None) -> Column:
     """Unknown and free prices pass; others must lie inside the range asked for."""
     inside = F.lit(True)
     if low is not None:

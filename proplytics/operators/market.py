@@ -164,7 +164,7 @@ def map_clusters(properties: DataFrame, zoom: int) -> DataFrame:
 
 
 def recent_transactions(
-    transactions: DataFrame, municipality_code: str | None = None, property_type: str | None = None, limit: int = 100
+    transactions: DataFrame, limit: int, municipality_code: str | None = None, property_type: str | None = None
 ) -> DataFrame:
     """Newest transactions, filtered first, then a top-k."""
     if municipality_code:

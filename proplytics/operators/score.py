@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proplytics.functions import text as T
 from proplytics.functions.numbers import REFERENCE_YEAR, clamp, round_exact
-from proplytics.session import spread
 
 SCORING_VERSION = "1.0"
 
@@ -138,27 +137,33 @@ def composite(weights: dict[str, float] | None = None) -> Column:
     return round_exact(clamp(total), 2)
 
 
-def score_properties(
+def latest_scores(versions: DataFrame) -> DataFrame:
+    """(property_id, version, composite) of the last version; of equal versions the higher composite.
+
+    Two numbers of fixed width are folded, so rows combine by hash before they are shuffled.
+    """
+    last = versions.groupBy("property_id").agg(F.max("version").alias("version"))
+    return versions.join(last, ["property_id", "version"]).groupBy("property_id", "version").agg(F.max("composite").alias("composite"))
+
+
+def with_scores(
     properties: DataFrame, hazards: DataFrame, weights: dict[str, float] | None = None, as_of_year: int = REFERENCE_YEAR
 ) -> DataFrame:
-    """One score row per property: a single left join on the property id, then arithmetic."""
+    """``properties`` with the six scores and the composite: a single left join on the property id, then arithmetic."""
     h = hazards.select(
         F.col("property_id").alias("id"),
         F.lit(True).alias("_assessed"),
-        "flood_depth_max_m",
-        "pga_475yr",
-        "landslide_risk",
-        "tsunami_depth_max_m",
+        F.struct("flood_depth_max_m", "pga_475yr", "landslide_risk", "tsunami_depth_max_m").alias("_hazard"),
     )
     c = F.col
     dims = {
         "rebuild": score_rebuild(c("rebuild_possible"), c("road_width_m"), c("road_frontage_m"), c("use_zone")),
         "hazard": score_hazard(
             F.coalesce(c("_assessed"), F.lit(False)),
-            c("flood_depth_max_m"),
-            c("pga_475yr"),
-            c("landslide_risk"),
-            c("tsunami_depth_max_m"),
+            c("_hazard.flood_depth_max_m"),
+            c("_hazard.pga_475yr"),
+            c("_hazard.landslide_risk"),
+            c("_hazard.tsunami_depth_max_m"),
         ),
         "infrastructure": score_infrastructure(c("lat"), c("lng"), c("use_zone"), c("floor_plan"), c("_rooms")),
         "demographic": score_demographic(),
@@ -166,20 +171,29 @@ def score_properties(
         "condition": score_condition(c("year_built"), c("_life"), as_of_year),
     }
     scored = (
-        spread(properties).join(h, "id", "left")
+        properties.join(h, "id", "left")
         # what several branches below read is computed once per row
         .withColumns({"_rooms": rooms(c("floor_plan")), "_life": useful_life(c("structure"))})
-        .select(F.col("id").alias("property_id"), *[e.alias(f"{n}_score") for n, e in dims.items()])
+        .select(*properties.columns, *[e.alias(f"{n}_score") for n, e in dims.items()])
         .withColumn("composite_score", composite(weights))
     )
     return scored.select(
-        "property_id",
+        *properties.columns,
         *[round_exact(F.col(f"{n}_score"), 2).alias(f"{n}_score") for n in dims],
         "composite_score",
         F.lit(SCORING_VERSION).alias("scoring_version"),
     )
 
 
+def score_properties(
+    properties: DataFrame, hazards: DataFrame, weights: dict[str, float] | None = None, as_of_year: int = REFERENCE_YEAR
+) -> DataFrame:
+    """One score row per property."""
+    scored = with_scores(properties, hazards, weights, as_of_year)
+    names = [c for c in scored.columns if c not in properties.columns]
+    return scored.select(F.col("id").alias("property_id"), *names)
+
+
 def unscored(properties: DataFrame, scores: DataFrame, version: str = SCORING_VERSION) -> DataFrame:
     """Active properties without a score of this version."""
     done = scores.where(F.col("scoring_version") == version).select(F.col("property_id").alias("id"))

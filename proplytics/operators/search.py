@@ -138,7 +138,6 @@ def tri_state(c: Column) -> Column:
 
 
 CSV_NUMBERS = ["land_area_sqm", "building_area_sqm", "road_width_m", "composite_score", "year_built"]
-EXPORT_LIMIT = 5000
 
 
 def csv_rows(df: DataFrame) -> DataFrame:
@@ -166,9 +165,10 @@ def csv_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def export_properties(df: DataFrame, f: Filters, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """Newest matching properties as CSV rows, at most ``limit`` as in the report."""
-    return csv_rows(newest(find(df, f), limit))
+def export_properties(df: DataFrame, f: Filters, limit: int | None = None) -> DataFrame:
+    """Matching properties as CSV rows, newest first; all of them, or the caller's ``limit``."""
+    found = find(df, f)
+    return csv_rows(ordered(found) if limit is None else newest(found, limit))
 
 
 def export_deals(deals: DataFrame) -> DataFrame:

@@ -236,7 +236,7 @@ def _price_gate(s):
     from proplytics.functions.text import parse_price
 
     rows = s.listing_feed.select("source", "source_id", "l_partkey", "l_suppkey", parse_price(F.col("source"), F.col("price_text")).alias("price"))
-    return rows.where(ingest.price_gate(F.col("price"), 1_000_000))
+    return rows.where(ingest.price_gate(F.col("price"), 1_000_000, 15_000_000))
 
 
 @query(

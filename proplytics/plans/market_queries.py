@@ -14,10 +14,7 @@ from proplytics.sources.dimensions import dimension
 
 def scored_properties(s: Source):
     """Properties with their composite score."""
-    scores = score.score_properties(s.properties, s.hazard_assessments).select(
-        F.col("property_id").alias("id"), "composite_score"
-    )
-    return s.properties.join(scores, "id")
+    return score.with_scores(s.properties, s.hazard_assessments).select(*s.properties.columns, "composite_score")
 
 
 # --- scans and seeds --------------------------------------------------------
@@ -117,7 +114,7 @@ def _unknown(s):
 def _sample(s):
     from proplytics.operators.enrich import ungeocoded_sample
 
-    return ungeocoded_sample(s.properties).select("id", "address_ja")
+    return ungeocoded_sample(s.properties, 5).select("id", "address_ja")
 
 
 @query("flt10_control_space", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\n\\r\\t]')")
@@ -133,7 +130,7 @@ def _control(s):
 WHERE municipality_code = '02102' AND property_type = 'land' ORDER BY created_at DESC NULLS FIRST, id LIMIT 100"""),
 )
 def _transactions(s):
-    return market.recent_transactions(s.transactions, "02102", "land").select(
+    return market.recent_transactions(s.transactions, 100, "02102", "land").select(
         "id", "municipality_code", "property_type", "trade_price", "created_at"
     )
 
@@ -153,18 +150,18 @@ def _lookup(s):
 
 @query(
     "srt01_sort_by_column",
-    over("properties", sql="SELECT id, land_area_sqm FROM properties ORDER BY land_area_sqm DESC NULLS FIRST, id LIMIT 500"),
+    over("properties", sql="SELECT id, land_area_sqm FROM properties ORDER BY land_area_sqm DESC NULLS FIRST, id"),
 )
 def _sorted(s):
-    return search.ordered(s.properties, "land_area_sqm").select("id", "land_area_sqm").limit(500)
+    return search.ordered(s.properties, "land_area_sqm").select("id", "land_area_sqm")
 
 
 @query(
     "srt01_unknown_column",
-    over("properties", sql="SELECT id, created_at FROM properties ORDER BY created_at ASC NULLS LAST, id LIMIT 300"),
+    over("properties", sql="SELECT id, created_at FROM properties ORDER BY created_at ASC NULLS LAST, id"),
 )
 def _sorted_unknown(s):
-    return search.ordered(s.properties, "no_such", descending=False).select("id", "created_at").limit(300)
+    return search.ordered(s.properties, "no_such", descending=False).select("id", "created_at")
 
 
 @query(
@@ -333,7 +330,7 @@ def _csv(cols: list[tuple[str, str]]) -> str:
  '' AS building_area_sqm, coalesce(floor_plan, '') AS floor_plan, coalesce(structure, '') AS structure,
  CASE rebuild_possible WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' ELSE '' END AS rebuild_possible,
  '' AS city_planning_zone, coalesce(use_zone, '') AS use_zone, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at
-FROM (SELECT * FROM scored WHERE status = 'active' AND price_jpy >= 500000 ORDER BY created_at DESC NULLS FIRST, id LIMIT 5000)"""),
+FROM (SELECT * FROM scored WHERE status = 'active' AND price_jpy >= 500000 ORDER BY created_at DESC NULLS FIRST, id)"""),
 )
 def _csv_properties(s):
     return search.export_properties(scored_properties(s), Filters(price_min=500_000))

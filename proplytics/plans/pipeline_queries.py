@@ -163,7 +163,7 @@ def _enabled(s):
     over("scrape_jobs", sql="SELECT id, created_at FROM scrape_jobs WHERE source_id = 'homes' AND status = 'failed' ORDER BY created_at DESC, id LIMIT 50"),
 )
 def _job_filter(s):
-    return crawlops.recent_jobs(s.scrape_jobs, "homes", "failed").select("id", "created_at")
+    return crawlops.recent_jobs(s.scrape_jobs, 50, "homes", "failed").select("id", "created_at")
 
 
 @query(
@@ -375,13 +375,14 @@ def _outcomes(s):
 
 @query(
     "jn22_translation_memory",
-    """WITH memory AS (SELECT substring(text, 1, 5000) AS sent, min(concat(lang, ':', CAST(doc_id AS VARCHAR))) AS translated FROM documents WHERE lang <> 'en' AND trim(text) <> '' GROUP BY 1)
-SELECT doc_id, md5(CASE WHEN trim(text) = '' THEN text ELSE coalesce(m.translated, text) END) AS translated FROM documents d LEFT JOIN memory m ON m.sent = substring(d.text, 1, 5000)""",
+    """WITH pieces AS (SELECT doc_id, lang, text, i AS no, substring(text, i * 5000 + 1, 5000) AS piece FROM documents, unnest(range(0, greatest((length(text) + 4999) // 5000, 1))) AS t(i)),
+memory AS (SELECT piece, min(concat(lang, ':', CAST(doc_id AS VARCHAR))) AS translated FROM pieces WHERE lang <> 'en' AND trim(text) <> '' GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN trim(text) = '' THEN text ELSE string_agg(coalesce(m.translated, p.piece), '' ORDER BY no) END) AS translated
+FROM pieces p LEFT JOIN memory m ON m.piece = p.piece GROUP BY doc_id, text""",
 )
 def _translate(s):
-    known = s.documents.where("lang <> 'en' AND trim(text) <> ''").groupBy(F.substring("text", 1, 5000).alias("text")).agg(
-        F.min(F.concat("lang", F.lit(":"), F.col("doc_id").cast("string"))).alias("translated")
-    )
+    foreign = s.documents.where("lang <> 'en' AND trim(text) <> ''").select("lang", "doc_id", F.explode(enrich.pieces(F.col("text"))).alias("text"))
+    known = foreign.groupBy("text").agg(F.min(F.concat("lang", F.lit(":"), F.col("doc_id").cast("string"))).alias("translated"))
     rows = enrich.translate(s.documents.select("doc_id", "text"), known)
     return rows.select("doc_id", F.md5("translated").alias("translated"))
 

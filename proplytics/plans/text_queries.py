@@ -258,8 +258,8 @@ def _truncate(s):
 
 @query(
     "txt16_api_batches",
-    """SELECT doc_id, (rn - 1) // 128 AS batch, (rn - 1) % 128 AS position, substring(text, 1, 5000) AS text
-FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE trim(text) <> '')""",
+    """SELECT doc_id, no AS piece, (rn - 1) // 128 AS batch, (rn - 1) % 128 AS position, substring(text, no * 5000 + 1, 5000) AS text
+FROM (SELECT doc_id, text, i::INT AS no, row_number() OVER (ORDER BY doc_id, i) AS rn FROM documents, unnest(range(0, (length(text) + 4999) // 5000)) AS t(i) WHERE trim(text) <> '')""",
 )
 def _batches(s):
     return enrich.api_batches(s.documents, "doc_id")
@@ -315,11 +315,11 @@ _TSUBO = "format('{:.2f}', land_area_sqm / 3.30579::DOUBLE)::DOUBLE"
     "num02_tsubo",
     over("properties", sql=f"""SELECT id, {_TSUBO} AS tsubo, format('{{:.2f}}', {_TSUBO} * 3.30579::DOUBLE)::DOUBLE AS back,
  CAST(trunc(price_jpy / {_TSUBO}) AS BIGINT) AS per_tsubo,
- concat(format('{{:.1f}}', land_area_sqm), 'm² (', format('{{:.1f}}', {_TSUBO}), '坪)') AS label FROM properties WHERE land_area_sqm IS NOT NULL"""),
+ CASE WHEN land_area_sqm IS NOT NULL THEN concat(format('{{:.1f}}', land_area_sqm), 'm² (', format('{{:.1f}}', {_TSUBO}), '坪)') END AS label FROM properties"""),
 )
 def _tsubo(s):
     area = F.col("land_area_sqm")
-    return s.properties.where(area.isNotNull()).select(
+    return s.properties.select(
         "id", N.sqm_to_tsubo(area).alias("tsubo"), N.tsubo_to_sqm(N.sqm_to_tsubo(area)).alias("back"),
         N.price_per_tsubo(F.col("price_jpy"), area).alias("per_tsubo"), N.area_label(area).alias("label"),
     )
@@ -335,10 +335,10 @@ def _per_sqm(s):
 
 @query(
     "num04_clamp",
-    over("properties", sql="SELECT id, greatest(0::DOUBLE, least(100::DOUBLE, land_area_sqm - 100)) AS clamped FROM properties WHERE land_area_sqm IS NOT NULL"),
+    over("properties", sql="SELECT id, CASE WHEN land_area_sqm IS NOT NULL THEN greatest(0::DOUBLE, least(100::DOUBLE, land_area_sqm - 100)) END AS clamped FROM properties"),
 )
 def _clamp(s):
-    return s.properties.where("land_area_sqm IS NOT NULL").select("id", N.clamp(F.col("land_area_sqm") - 100).alias("clamped"))
+    return s.properties.select("id", N.clamp(F.col("land_area_sqm") - 100).alias("clamped"))
 
 
 @query(
@@ -404,12 +404,12 @@ _CODES = ["wood", "steel_frame", "rc", "src", "light_steel", "brick"]
 
 @query(
     "dt04_depreciation",
-    over("properties", sql="""SELECT id, greatest(0, CASE id % 6 WHEN 1 THEN 34 WHEN 2 THEN 47 WHEN 3 THEN 47 WHEN 4 THEN 27 ELSE 22 END - (2026 - year_built)) AS remaining
-FROM properties WHERE year_built IS NOT NULL"""),
+    over("properties", sql="""SELECT id, CASE WHEN year_built IS NOT NULL THEN greatest(0, CASE id % 6 WHEN 1 THEN 34 WHEN 2 THEN 47 WHEN 3 THEN 47 WHEN 4 THEN 27 ELSE 22 END - (2026 - year_built)) END AS remaining
+FROM properties"""),
 )
 def _depreciation(s):
     kind = F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("id") % 6 + 1).cast("int"))
-    return s.properties.where("year_built IS NOT NULL").select(
+    return s.properties.select(
         "id", N.depreciation_remaining(F.col("year_built"), kind).alias("remaining")
     )
 

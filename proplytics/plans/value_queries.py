@@ -122,14 +122,14 @@ def _holding(s):
 
 @query(
     "fin06_capital_gains",
-    over("deals", sql=f"""SELECT id, greatest(0, g) AS taxable_gain, r AS tax_rate, t AS tax_amount, m <= 60 AS is_short_term, sale - costs - t AS net_after_tax
-FROM (SELECT *, CASE WHEN g <= 0 THEN 0 ELSE {fl('g * r')} END AS t FROM (
- SELECT *, CASE WHEN g <= 0 THEN 0::DOUBLE WHEN m <= 60 THEN 0.3963::DOUBLE ELSE 0.20315::DOUBLE END AS r FROM (
+    over("deals", sql=f"""SELECT id, CASE WHEN g IS NOT NULL THEN greatest(0, g) END AS taxable_gain, r AS tax_rate, t AS tax_amount, m <= 60 AS is_short_term, sale - costs - t AS net_after_tax
+FROM (SELECT *, CASE WHEN g <= 0 THEN 0 WHEN g > 0 THEN {fl('g * r')} END AS t FROM (
+ SELECT *, CASE WHEN g IS NULL THEN NULL WHEN g <= 0 THEN 0::DOUBLE WHEN m <= 60 THEN 0.3963::DOUBLE ELSE 0.20315::DOUBLE END AS r FROM (
   SELECT id, target_sale_price AS sale, 330000 AS costs, holding_months AS m, target_sale_price - purchase_price - 330000 AS g
-  FROM deals WHERE target_sale_price IS NOT NULL)))"""),
+  FROM deals)))"""),
 )
 def _gains(s):
-    rows = s.deals.where("target_sale_price IS NOT NULL").select(
+    rows = s.deals.select(
         "id", F.col("target_sale_price").alias("sale_price"), F.col("purchase_price").alias("acquisition_cost"),
         F.lit(330_000).cast("bigint").alias("sale_costs"), "holding_months",
     )
@@ -187,10 +187,9 @@ def _roi(s):
 
 
 # Three flip scenarios (assessed share of price, renovation, margin on price, months)
-SCENARIOS = values_sql(
-    [("quick flip", None, 500_000, 2.4, 12), ("long hold", 0, 1_500_000, 1.9, 72), ("as is", None, 0, 1.2, 6)],
-    "scenario assessed renovation multiple months", "STRING BIGINT BIGINT DOUBLE INT",
-)
+SCENARIO_ROWS = [("quick flip", None, 500_000, 2.4, 12), ("long hold", 0, 1_500_000, 1.9, 72), ("as is", None, 0, 1.2, 6)]
+SCENARIO_COLUMNS = {"scenario": "string", "assessed": "bigint", "renovation": "bigint", "multiple": "double", "months": "int"}
+SCENARIOS = values_sql(SCENARIO_ROWS, " ".join(SCENARIO_COLUMNS), " ".join(SCENARIO_COLUMNS.values()).upper())
 
 
 @query(
@@ -200,7 +199,7 @@ SCENARIOS = values_sql(
          sql=f"SELECT id, scenario, {ROI_OUT} FROM roi"),
 )
 def _grid(s):
-    rows = finance.scenario_grid(s.properties.select("id", "price_jpy"), s.spark.sql(SCENARIOS))
+    rows = finance.scenario_grid(s.properties.select("id", "price_jpy"), SCENARIO_ROWS, SCENARIO_COLUMNS)
     rows = rows.withColumn("target", tax.yen(F.col("price_jpy") * F.col("multiple")))
     return finance.with_roi(rows, "price_jpy", "assessed", "renovation", "target", "months").select(
         "id", "scenario", *ROI_COLUMNS
@@ -320,23 +319,17 @@ def _mean(s):
 
 @query(
     "win03_latest_score",
-    over("properties", sql="""SELECT property_id, max(version) AS version, arg_max(composite, version) AS composite
-FROM (SELECT l_orderkey AS property_id, l_partkey * 10 + l_linenumber AS version, l_quantity AS composite FROM lineitem
- WHERE (l_orderkey, l_linenumber, l_partkey) NOT IN (SELECT (l_orderkey, l_linenumber, l_partkey) FROM lineitem GROUP BY 1 HAVING count(*) > 1)) GROUP BY property_id""").replace(
-        with_views("properties"), ""),
+    """SELECT property_id, max(version) AS version, arg_max(composite, (version, composite)) AS composite
+FROM (SELECT l_orderkey AS property_id, l_partkey * 10 + l_linenumber AS version, CAST(l_quantity AS DOUBLE) AS composite FROM lineitem) GROUP BY property_id""",
 )
 def _latest_score(s):
-    """Latest of several score versions per property: an argmax that combines map-side."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    repeated = s.lineitem.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = s.lineitem.join(repeated, key, "left_anti").select(
+    """Latest of several score versions per property."""
+    rows = s.lineitem.select(
         F.col("l_orderkey").alias("property_id"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("version"),
-        F.col("l_quantity").alias("composite"),
-    )
-    return rows.groupBy("property_id").agg(
-        F.max("version").alias("version"), F.max_by("composite", "version").alias("composite")
+        F.col("l_quantity").cast("double").alias("composite"),
     )
+    return score.latest_scores(rows)
 
 
 @query(

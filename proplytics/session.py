@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +31,8 @@ def local_session(cores: int = 8, app: str = "proplytics", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a folder
-    of our own chosen and set as checkpoint directory.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jsc.isDefined():
-        return jsc.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="proplytics-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -59,16 +44,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/proplytics-work/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_INPUT = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small input; larger ones are left in their own splits.
-
-    For work that costs far more than moving its rows, on a file too small to be split. The size
-    is the planner's estimate, so nothing runs here, and what is moved stays under 256 MB.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df

@@ -305,10 +305,8 @@ def _rows(page_id: int, source: str, url: str, kind: str, html: str) -> Iterator
 def raw_material(pages: DataFrame) -> DataFrame:
     """One row per detail page and one per card of a search page, from pages(page_id, source, url, kind, html).
 
-    Map-only: each page is read on its own, nothing is shuffled unless the input has too few splits.
+    Map-only: each page is read on its own and nothing is shuffled.
     """
-    from proplytics.session import spread
-
     names = [part.split(" ")[0] for part in re.split(r", (?=\w+ (?:bigint|string|int|array|map))", RAW)]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,4 +314,4 @@ def raw_material(pages: DataFrame) -> DataFrame:
             rows = [row for page in batch.itertuples(index=False) for row in _rows(*page)]
             yield pd.DataFrame(rows, columns=names)
 
-    return spread(pages.select("page_id", "source", "url", "kind", "html")).mapInPandas(read, RAW)
+    return pages.select("page_id", "source", "url", "kind", "html").mapInPandas(read, RAW)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -14,15 +13,3 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def write_geojson(features: DataFrame, path: str) -> None:
     """One Feature per line, written by every task (newline-delimited GeoJSON)."""
     features.select("feature").write.mode("overwrite").text(path)
-
-
-def feature_collection(features: DataFrame, limit: int = 2000) -> DataFrame:
-    """One FeatureCollection document, for a map view of bounded size.
-
-    Refuses a result beyond ``limit`` rather than dropping features; use write_geojson there.
-    """
-    bounded = features.limit(limit + 1).agg(F.array_sort(F.collect_list(F.struct("id", "feature"))).alias("f"))
-    checked = F.when(F.size("f") <= limit, F.array_join(F.transform("f", lambda e: e["feature"]), ",")).otherwise(
-        F.raise_error(F.lit("too many features for one document"))
-    )
-    return bounded.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), checked, F.lit("]}")).alias("document"))
