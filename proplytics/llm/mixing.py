@@ -123,13 +123,15 @@ def _reduce(open_units: DataFrame, block: int, seed: int) -> DataFrame:
     level, out = 0, None
     while True:
         # one row a source: how many blocks its units fill; the driver learns only the largest
-        blocks = open_units.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
+        blocks = written(open_units.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks")))
         most = blocks.agg(F.max("blocks")).first()[0]
         if most is None:
             return out if out is not None else open_units.select("key", F.lit(0).alias("decided")).limit(0)
-        dealt = open_units.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), F.col("blocks")))
+        # blocks are dealt by one hash of source and number, so that no task gets a source
+        number = F.pmod(F.xxhash64("key", F.lit(seed + level)), F.col("blocks"))
+        dealt = open_units.join(blocks, "source").withColumn("block", F.xxhash64("source", number))
         unit = F.struct("size", "key", "p", uniform(F.col("key"), F.lit(seed), F.lit(level)).alias("u"))
-        rounded = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+        rounded = dealt.groupBy("block").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(unit), asc=False).alias("units"))
         rounded = written(rounded.select("source", _round_block(F.col("units")).alias("state")))
         done = rounded.select(F.explode("state.done").alias("d")).select("d.key", F.col("d.copy").alias("decided"))
         out = done if out is None else out.unionByName(done)
