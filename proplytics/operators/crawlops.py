@@ -98,10 +98,13 @@ def due_crawls(jobs: DataFrame, as_of: Column, interval_hours: float = 6.0) -> D
     due = rows.where(
         (F.coalesce(F.col("active"), zero) == 0) & ~F.coalesce(recent, F.lit(False)) & (slots > 0)
     ).withColumn("slots", slots)
+    return within_slots(due).select("source_id", "prefecture_code", F.lit("pending").alias("status"), F.col("n").cast("bigint").alias("slot"))
+
+
+def within_slots(due: DataFrame) -> DataFrame:
+    """The first ``slots`` crawls of each source by prefecture, numbered ``n``; a source has 47 prefectures at most."""
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy("prefecture_code"))
-    return due.withColumn("n", rank).where(F.col("n") <= F.col("slots")).select(
-        "source_id", "prefecture_code", F.lit("pending").alias("status"), F.col("n").cast("bigint").alias("slot")
-    )
+    return due.withColumn("n", rank).where(F.col("n") <= F.col("slots"))
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:
@@ -144,8 +147,9 @@ def recent_jobs(jobs: DataFrame, limit: int, source_id: str | None = None, statu
 
 
 def fold_job_events(events: DataFrame) -> DataFrame:
-    """Current state of each job from its event log: the last status, first start, final counters."""
-    last = F.max_by(F.struct("status", "listings_found"), F.struct("ts", "event_id"))
+    """Current state of each job from its event log: the last status, first start, final counters and error text."""
+    carried = ["status", "listings_found", "listings_new", "listings_updated", "error_message"]
+    last = F.max_by(F.struct(*carried), F.struct("ts", "event_id"))
     done = F.col("status").isin("completed", "failed")
     return events.groupBy("job_id").agg(
         last.alias("_l"),
@@ -153,5 +157,4 @@ def fold_job_events(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
         F.max(F.when(done, F.col("ts"))).alias("finished_at"),
         F.count(F.lit(1)).alias("n_events"),
-    ).select("job_id", F.col("_l.status").alias("status"), F.col("_l.listings_found").alias("listings_found"),
-             "created_at", "started_at", "finished_at", "n_events")
+    ).select("job_id", *[F.col(f"_l.{c}").alias(c) for c in carried], "created_at", "started_at", "finished_at", "n_events")

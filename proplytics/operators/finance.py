@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proplytics.functions import tax
 from proplytics.functions.numbers import round_exact
+from proplytics.sources.dimensions import dimension
 
 
 def with_commission(df: DataFrame, price: str = "price") -> DataFrame:
@@ -175,6 +176,18 @@ def with_roi(
     ).drop("_reno", "_target", "_months", "_gain")
 
 
+def with_rate(df: DataFrame, tax_name: str, amount: str, names: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the rate table's bracket that ``amount`` falls in; ``names`` maps table columns to new ones.
+
+    The table is a fixed dimension of under 50 rows, joined on the tax with the bracket as a condition; null amounts get nulls.
+    """
+    rates = dimension(df.sparkSession, "rates").where(F.col("tax") == tax_name).select(
+        F.col("tax").alias("_tax"), F.col("low").alias("_low"), F.col("high").alias("_high"), *[F.col(c).alias(n) for c, n in names.items()])
+    inside = (F.col(amount) > F.col("_low")) & (F.col("_high").isNull() | (F.col(amount) <= F.col("_high")))
+    rows = df.withColumn("_of", F.when(F.col(amount).isNotNull(), F.lit(tax_name)))
+    return rows.join(F.broadcast(rates), (F.col("_of") == F.col("_tax")) & inside, "left").drop("_of", "_tax", "_low", "_high")
+
+
 def scenario_grid(df: DataFrame, scenarios: list[tuple], columns: dict[str, str]) -> DataFrame:
     """Every property against the scenarios the caller names: tuples in the order of ``columns`` (name → type).
 

@@ -161,13 +161,17 @@ def with_tiles(properties: DataFrame, tiles: DataFrame) -> DataFrame:
 def read_responses(responses: DataFrame) -> DataFrame:
     """What the assessment needs of each response(property_id, kind, body), a failed feed null.
 
+    ``fetched_at`` says which of several responses is the latest; where the feed has none, and for ties, the body decides.
+
     Bodies are read where they lie, before anything is shuffled: a few values travel, not the JSON.
     """
     c = F.col
     body, kind = c("body"), c("kind")
+    fetched = F.unix_micros(c("fetched_at").cast("timestamp")) if "fetched_at" in responses.columns else F.lit(0).cast("bigint")
     parsed = responses.select(
         "property_id",
         "kind",
+        F.struct(fetched.alias("at"), F.xxhash64(body).alias("tie")).alias("_order"),
         body.isNotNull().alias("_ok"),
         F.when(kind != "landslide", first_properties(body)).alias("_first"),
         F.when(kind == "landslide", feature_properties(body)).alias("_props"),
@@ -176,6 +180,7 @@ def read_responses(responses: DataFrame) -> DataFrame:
     seismic, average = kind == "pshm", kind == "avghazard"
     return parsed.select(
         "property_id",
+        "_order",
         F.when(seismic & c("_ok"), F.coalesce(intensity_probabilities(c("_first")), no_levels)).alias("seismic_intensity_prob"),
         F.when(average, pga(c("_first"))).alias("pga_475yr"),
         F.when(average, liquefaction(c("_first"))).alias("liquefaction_risk"),
@@ -185,10 +190,11 @@ def read_responses(responses: DataFrame) -> DataFrame:
 
 
 def responses_by_property(responses: DataFrame) -> DataFrame:
-    """The values of all feeds of a property side by side."""
+    """The values of all feeds of a property side by side, each from the latest response that has it."""
     rows = read_responses(responses)
-    values = [c for c in rows.columns if c != "property_id"]
-    return rows.groupBy("property_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+    values = [c for c in rows.columns if c not in ("property_id", "_order")]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in values]
+    return rows.groupBy("property_id").agg(*latest)
 
 
 def unassessed(properties: DataFrame, assessments: DataFrame) -> DataFrame:

@@ -115,11 +115,9 @@ def _due(s):
     + "SELECT source_id, prefecture_code, n FROM (SELECT source_id, prefecture_code, count(*) AS n, row_number() OVER (PARTITION BY source_id ORDER BY prefecture_code) AS rn FROM jobs GROUP BY source_id, prefecture_code) WHERE rn <= 3",
 )
 def _quota(s):
-    from pyspark.sql.window import Window
-
-    pairs = s.scrape_jobs.groupBy("source_id", "prefecture_code").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("prefecture_code"))
-    return pairs.withColumn("rn", rank).where("rn <= 3").drop("rn")
+    pairs = s.scrape_jobs.groupBy("source_id", "prefecture_code").agg(F.count(F.lit(1)).alias("n_jobs"))
+    first = crawlops.within_slots(pairs.withColumn("slots", F.lit(crawlops.MAX_CONCURRENT)))
+    return first.select("source_id", "prefecture_code", F.col("n_jobs").alias("n"))
 
 
 @query("agg08_listings_per_source", over("listing_feed", sql="SELECT source AS source_id, count(*) AS n FROM listing_feed GROUP BY source"))
@@ -186,19 +184,23 @@ def _duration(s):
 
 
 _EVENTS = """events_by_job AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
- WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, CAST(floor(value) AS INT) AS listings_found FROM events)"""
+ WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, CAST(floor(value) AS INT) AS listings_found,
+ CAST(floor(value) AS INT) // 3 AS listings_new, CAST(floor(value) AS INT) // 5 AS listings_updated, CASE WHEN event_type NOT IN ('signup', 'view', 'click', 'purchase') THEN concat('failed at ', CAST(event_id AS VARCHAR)) END AS error_message FROM events)"""
 
 
 @query(
     "ups09_job_lifecycle",
-    f"""WITH {_EVENTS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(listings_found, (ts, event_id)) AS listings_found, min(ts) AS created_at,
+    f"""WITH {_EVENTS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(listings_found, (ts, event_id)) AS listings_found,
+ arg_max(listings_new, (ts, event_id)) AS listings_new, arg_max(listings_updated, (ts, event_id)) AS listings_updated, arg_max_null(error_message, (ts, event_id)) AS error_message, min(ts) AS created_at,
  min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('completed', 'failed')) AS finished_at, count(*) AS n_events FROM events_by_job GROUP BY job_id""",
 )
 def _lifecycle(s):
     kind = F.col("event_type")
     status = F.when(kind == "signup", "pending").when(kind.isin("view", "click"), "running").when(kind == "purchase", "completed").otherwise("failed")
     log = s.events.select(
-        F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), F.floor("value").cast("int").alias("listings_found")
+        F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), F.floor("value").cast("int").alias("listings_found"),
+        F.floor(F.floor("value") / 3).cast("int").alias("listings_new"), F.floor(F.floor("value") / 5).cast("int").alias("listings_updated"),
+        F.when(status == "failed", F.concat(F.lit("failed at "), F.col("event_id").cast("string"))).alias("error_message"),
     )
     return crawlops.fold_job_events(log)
 

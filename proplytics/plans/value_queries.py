@@ -8,8 +8,8 @@ from proplytics.functions import tax
 from proplytics.operators import finance, score
 from proplytics.plans import twins as D
 from proplytics.plans.registry import query
-from proplytics.plans.twins import over
-from proplytics.sources.dimensions import STAMP_BRACKETS, values_sql
+from proplytics.plans.twins import dim, over
+from proplytics.sources.dimensions import STAMP_BRACKETS, dimension, values_sql
 from proplytics.sources.views import with_views
 
 # --- DuckDB fragments: every rate is cast, since 0.7 alone is a decimal there -----
@@ -212,15 +212,17 @@ def _grid(s):
  CASE {' '.join(f'WHEN price_jpy <= {u} THEN {u}' for u, _ in STAMP_BRACKETS if u)} END::BIGINT AS bracket FROM properties) GROUP BY bracket"""),
 )
 def _rates(s):
-    bracket = None
-    for upper, _ in STAMP_BRACKETS:
-        if upper is not None:
-            hit, value = F.col("price_jpy") <= upper, F.lit(upper).cast("bigint")
-            bracket = F.when(hit, value) if bracket is None else bracket.when(hit, value)
-    rows = s.properties.select(bracket.alias("bracket"), tax.stamp_tax(F.col("price_jpy")).alias("stamp"))
+    rows = finance.with_rate(s.properties.select("price_jpy"), "stamp", "price_jpy", {"high": "bracket", "amount": "stamp"})
     return rows.groupBy("bracket").agg(F.count(F.lit(1)).alias("n"), F.sum("stamp").alias("stamp_total"))
 
 
+@query("fin10_rate_rows", f"WITH {dim('rates')} SELECT tax, item, low, high, rate, amount, note, n FROM rates CROSS JOIN (SELECT count(*) AS n FROM orders)")
+def _rate_rows(s):
+    """The published table, beside the number of properties that it prices."""
+    n = s.properties.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
+    return dimension(s.spark, "rates").withColumn("_k", F.lit(1)).join(n, "_k").drop("_k")
+
+
 # --- scores -----------------------------------------------------------------
 
 
@@ -347,7 +349,4 @@ def _hazard_join(s):
 @query("fin10_rate_table", over("properties", sql="""SELECT p.id, r.rate AS commission_rate FROM properties p JOIN (
  VALUES (0, 2000000, 0.05::DOUBLE), (2000001, 4000000, 0.04::DOUBLE), (4000001, 9223372036854775807, 0.03::DOUBLE)) r(lo, hi, rate) ON p.price_jpy BETWEEN r.lo AND r.hi"""))
 def _rate_table(s):
-    """The published rates are a handful of brackets, so they fold into the row."""
-    p = F.col("price_jpy")
-    rate = F.when(p <= 2_000_000, F.lit(0.05)).when(p <= 4_000_000, F.lit(0.04)).otherwise(F.lit(0.03))
-    return s.properties.select("id", rate.alias("commission_rate"))
+    return finance.with_rate(s.properties.select("id", "price_jpy"), "brokerage", "price_jpy", {"rate": "commission_rate"}).drop("price_jpy")

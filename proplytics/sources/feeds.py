@@ -92,22 +92,27 @@ def features(responses: DataFrame, body: str = "body") -> DataFrame:
 def tile_presence(files: DataFrame) -> DataFrame:
     """(layer, z, x, y, present) from a file listing with path and length.
 
-    A tile exists when its file is not empty; unknown layers are rejected.
+    A tile exists when its file is not empty. Files of other layers are in ``unknown_tiles``.
     """
+    return _tiles(files).where(F.col("layer").isin(TILE_LAYERS)).drop("path")
+
+
+def unknown_tiles(files: DataFrame) -> DataFrame:
+    """(path) of the files that belong to no known layer, for the quarantine."""
+    return _tiles(files).where(~F.col("layer").isin(TILE_LAYERS)).select("path")
+
+
+def _tiles(files: DataFrame) -> DataFrame:
     pattern = r"([A-Za-z_]+)/(\d+)/(\d+)/(\d+)\.[a-z]+$"
     part = [F.regexp_extract("path", pattern, i) for i in range(1, 5)]
-    rows = files.select(
+    return files.select(
+        "path",
         part[0].alias("layer"),
         part[1].try_cast("int").alias("z"),
         part[2].try_cast("int").alias("x"),
         part[3].try_cast("int").alias("y"),
         (F.col("length") > 0).alias("present"),
     )
-    known = F.col("layer").isin(TILE_LAYERS)
-    checked = F.when(known, F.col("layer")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown layer: "), F.col("layer")))
-    )
-    return rows.withColumn("layer", checked)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
