@@ -168,6 +168,15 @@ def _defaults(s):
     return merged.join(fresh, "id").select(F.col("id").alias("property_id"), "address_ja", "price_jpy", "status")
 
 
+@query(
+    "ups04_hazard_stubs",
+    _loaded("SELECT property_id, TIMESTAMP '2026-01-01 00:00:00' AS assessed_at FROM resolved WHERE is_new"),
+)
+def _stubs(s):
+    """The empty hazard row that every new property gets."""
+    return ingest.upsert(feed(s), stored_listings(s), s.stored_properties, as_of()).hazards
+
+
 @query(
     "win05_image_ordinal",
     _loaded("""SELECT property_id, 'https://portal.example/' || source_id || '/' || n || '.jpg' AS storage_path, n AS sort_order,

@@ -50,6 +50,7 @@ class Store:
         "scores": ("property_id string, rebuild_score double, hazard_score double, infrastructure_score double, "
                    "demographic_score double, value_score double, condition_score double, composite_score double, "
                    "scoring_version string", ["property_id", "scoring_version"]),
+        "hazards": ("property_id string, assessed_at timestamp_ntz", ["property_id"]),
         "outcomes": ("source string, source_id string, property_id string, is_new boolean", ["source", "source_id"]),
         "quarantine": (schemas.LISTING + ", fault string", []),
     }
@@ -94,12 +95,14 @@ class Store:
             .unionByName(listings.select(F.col("property_id").alias("id"))).distinct()
         )
         properties = materialise(self.latest("properties", stored.join(wanted, "id", "left_semi")))
-        as_of = F.current_timestamp().cast("timestamp_ntz")
+        # the time of a batch is that of its latest row, so that a batch run again writes the same
+        as_of = F.lit(folded.agg(F.max("scraped_at")).first()[0]).cast("timestamp_ntz")
         out = ingest.apply_batch(folded, listings, properties, as_of)
         self.write("properties", out.properties, version)
         self.write("listings", out.listings, version)
         self.write("images", out.images, version)
         self.write("scores", out.scores, version)
+        self.write("hazards", out.hazards, version)
         self.write("outcomes", out.outcomes, version)
         self.write("quarantine", bad, version)
 

@@ -168,6 +168,8 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert got == {key(r): (r.property_id, r.listing_status, r.last_scraped_at) for r in whole.listings.collect()}
     prices = lambda df: {r.id: r.price_jpy for r in df.select("id", "price_jpy").collect()}
     assert prices(store.latest("properties")) == prices(whole.properties)
+    stubs = {r.property_id: r.assessed_at for r in store.latest("hazards").collect()}
+    assert set(stubs) == {r.property_id for r in whole.hazards.collect()} and None not in stubs.values()
     assert store.log("quarantine").count() == 1
     before = prices(store.latest("properties"))
     jobs.run_feed_upsert(spark, feed_dir, str(tmp_path / "store"), str(tmp_path / "ckpt"))
