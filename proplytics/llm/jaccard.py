@@ -1,16 +1,13 @@
 """Exact Jaccard join on word n-grams with signature trees.
 
-Documents with equal sets are one class. All documents order their tokens alike. Two linked classes share a token among
-the ``n - ceil(t n) + 1`` first of each, and ``l`` tokens among the ``n - ceil(t n) + l`` first. So:
-
-1. Classes meet at each token of their short prefixes. The members of a token stand in signature trees, whose nodes hold
-   the OR of their members' bitmaps (of the longer prefixes) and their range of sizes; a walk over pairs of nodes drops a
-   pair as soon as sizes or the largest overlap that the bitmaps allow are too small. What is left are candidates, and
-   candidates that hang together are a family.
-2. A family is walked again, in trees over whole sets; here what is left is compared set against set.
-
-Pairs that are known to hang together are not looked at again, so a family of near copies costs about one comparison a
-document. Groups are cut into chunks of bounded size; what chunks leave apart is compared across chunks afterwards.
+Documents with equal sets are one class. Sets that link differ in at most D tokens, and D follows from their sizes. Tokens are
+dealt over D + 1 + m parts by hash; two linked sets agree in m + 1 parts at least, so in one with enough tokens to tell documents apart.
+Classes that agree in a part hang together, and what hangs together is a family: near copies, and hardly anything else.
+
+A family stands in signature trees, whose nodes hold the OR of their members' token bitmaps and their range of sizes. A walk over
+pairs of nodes drops a pair as soon as sizes, or the largest overlap that the bitmaps allow, are too small; what is left is compared
+set against set. Pairs that are known to hang together are not looked at again, so a family of near copies costs about one comparison a
+document. Families are cut into chunks of bounded size; what chunks leave apart is compared across chunks afterwards.
 """
 
 from __future__ import annotations
@@ -24,13 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proplytics.llm.common import components, pieces, written
+from proplytics.llm.common import compact, components, pieces, written
 
-#: documents of the bounded sample from which frequent tokens are read; they only change the order of tokens
-SAMPLE = 8192
-FREQUENT = 24
-#: tokens of whole sets, and members of a token, that one task compares
-CHUNK, MEMBERS = 1 << 21, 1 << 12
+#: tokens that one task compares, and bits of the filter of shared parts at most
+CHUNK, FILTER_BITS = 1 << 21, 1 << 27
+#: sizes of one band differ by this factor at most; parts with fewer tokens than this are left out where that is safe
+BAND, TOKENS = 1.5, 4
 LEAF, FAN = 16, 8
 
 
@@ -64,18 +60,55 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def in_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Tokens in the common order: those that are not ``frequent`` by hash, then those that are."""
-    if not len(frequent) or not len(tokens):
-        return tokens
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    often = frequent[at] == tokens
-    return np.concatenate([tokens[~often], tokens[often]])
-
+def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, D, parts) for each band in which a set of ``n`` tokens can meet one that is not smaller.
 
-def spare(n: int, percent: int) -> tuple[int, int]:
-    """(tokens beyond the least overlap, tokens that long prefixes share at least) of a set of ``n``."""
-    return n - -(-percent * n // 100), max(1, n * (100 - percent) // 100)
+    Band b ends at BAND^(b + 1); a pair meets in the band of its larger set. D is the most tokens in which a pair of the band differs.
+    """
+    out, b = [], 0
+    while BAND ** (b + 1) < n:
+        b += 1
+    while b == 0 or 100 * n >= percent * BAND**b:
+        most = int(BAND ** (b + 1))
+        differ = (100 - percent) * 2 * most // (100 + percent)
+        spare = -(-(differ + 1) * 6 * (100 - percent) // (5 * percent))
+        if differ:  # else only equal sets link
+            out.append((b, differ, differ + 1 + spare))
+        b += 1
+        if percent == 100:
+            break
+    return out
+
+
+def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the parts of a set, by band: two linked sets share one.
+
+    Linked sets agree in parts - D parts or more. Parts with fewer than k tokens are left out if there are at most parts - D - 1 of them,
+    so one that agrees is left in; of two sets with different k, that with the larger k keeps such a part and so does the other.
+    """
+    out = []
+    for band, differ, parts in bands(len(tokens), percent):
+        of = (tokens % np.uint64(parts)).astype(np.int64)
+        count = np.bincount(of, minlength=parts)
+        order = np.argsort(of, kind="stable")
+        sums = np.zeros(parts, np.uint64)
+        full = np.flatnonzero(count)
+        starts = np.concatenate([[0], np.cumsum(count[full])[:-1]]).astype(np.int64)
+        if len(full):
+            sums[full] = np.add.reduceat(_mixed(tokens[order]), starts)
+        k = TOKENS
+        while k and (count < k).sum() > parts - differ - 1:
+            k -= 1
+        keep = np.flatnonzero(count >= k)
+        name = (np.uint64(band) << np.uint64(56)) ^ (keep.astype(np.uint64) << np.uint64(24)) ^ count[keep].astype(np.uint64)
+        out.append(_mixed(sums[keep] + _mixed(name)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -90,35 +123,23 @@ def wide(tokens: int, factor: int = 4) -> int:
     return 1 << max(6, (factor * tokens - 1).bit_length())
 
 
-def folded(maps: np.ndarray, words: int) -> np.ndarray:
-    """Maps of half the bits, and again, until they have so many words."""
-    while maps.shape[1] > words:
-        half = maps.shape[1] // 2
-        maps = maps[:, :half] | maps[:, half:]
-    return maps
-
-
 class Tree:
-    """Signature tree: leaves of ``LEAF`` members, nodes of ``FAN`` children, in order of size.
-
-    A member has a set size, a bitmap, how many tokens the bitmap stands for, and how many of them a link must share.
-    """
+    """Signature tree: leaves of ``LEAF`` members, nodes of ``FAN`` children, in order of size."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, many: np.ndarray, need: np.ndarray, names: np.ndarray):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, names: np.ndarray):
         order = np.argsort(sizes, kind="stable")
-        self.sizes, self.maps, self.many, self.need, self.names = (x[order] for x in (sizes, maps, many, need, names))
-        self.counts = np.bitwise_count(self.maps).sum(1).astype(np.int64)
+        self.sizes, self.maps, self.names = sizes[order], maps[order], names[order]
+        # tokens of a member that share a bit with another of it: a map hides so many
+        self.hidden = self.sizes - np.bitwise_count(self.maps).sum(1).astype(np.int64)
         at = np.arange(0, len(order), LEAF)
-        lowest, highest = np.minimum.reduceat, np.maximum.reduceat
-        level = {"map": np.bitwise_or.reduceat(self.maps, at), "low": lowest(self.sizes, at), "high": highest(self.sizes, at),
-                 "free": highest(self.many - self.counts, at), "many": highest(self.many, at), "need": lowest(self.need, at),
-                 "from": at, "to": np.minimum(at + LEAF, len(order))}
+        level = {"map": np.bitwise_or.reduceat(self.maps, at), "low": np.minimum.reduceat(self.sizes, at), "high": np.maximum.reduceat(self.sizes, at),
+                 "hidden": np.maximum.reduceat(self.hidden, at), "from": at, "to": np.minimum(at + LEAF, len(order))}
         self.levels = [level]
         while len(level["from"]) > 1:
             at = np.arange(0, len(level["from"]), FAN)
-            level = {"map": np.bitwise_or.reduceat(level["map"], at), "low": lowest(level["low"], at), "high": highest(level["high"], at),
-                     "free": highest(level["free"], at), "many": highest(level["many"], at), "need": lowest(level["need"], at),
-                     "from": level["from"][at], "to": highest(level["to"], at)}
+            level = {"map": np.bitwise_or.reduceat(level["map"], at), "low": np.minimum.reduceat(level["low"], at),
+                     "high": np.maximum.reduceat(level["high"], at), "hidden": np.maximum.reduceat(level["hidden"], at),
+                     "from": level["from"][at], "to": np.maximum.reduceat(level["to"], at)}
             self.levels.append(level)
 
     @property
@@ -152,19 +173,10 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def walk(a: Tree, b: Tree, percent: int, union: Union, both, test=None) -> list[tuple[int, int]]:
-    """Pairs of members that join components of ``union``, from a walk over pairs of nodes of two trees, or of one.
-
-    ``both`` (np.minimum or np.maximum) says which of two members' needs a pair must meet; ``test`` has the last word on a pair.
-    """
+def walk(a: Tree, b: Tree, percent: int, union: Union, test) -> list[tuple[int, int]]:
+    """Pairs of members that ``test`` finds linked and that join components of ``union``, from a walk over pairs of nodes of two trees, or of one."""
     found: list[tuple[int, int]] = []
     same = a is b
-    words = min(a.maps.shape[1], b.maps.shape[1])
-    maps = [folded(x.maps, words) for x in (a, b)]
-    node_maps = [[folded(level["map"], words) for level in x.levels] for x in (a, b)]
-    # a token is seen as missing by its bit; tokens that share a bit with another of their own set are not
-    counts = [np.bitwise_count(m).sum(1).astype(np.int64) for m in maps]
-    slack = 0 if a.maps.shape[1] == b.maps.shape[1] else 1
 
     def one(tree: Tree, node: tuple[int, int]) -> int:
         """The component of all members of a node, or -1."""
@@ -173,29 +185,25 @@ def walk(a: Tree, b: Tree, percent: int, union: Union, both, test=None) -> list[
 
     def hopeless(p: tuple[int, int], q: tuple[int, int]) -> bool:
         x, i, y, j = a.levels[p[0]], p[1], b.levels[q[0]], q[1]
-        # the smaller set must reach ``percent`` of the larger one
+        # the smaller set must reach ``percent`` of the larger one, and so must the overlap
         if 100 * x["high"][i] < percent * y["low"][j] or 100 * y["high"][j] < percent * x["low"][i]:
             return True
         # bits that a member has and the other node has not are tokens that no member there has
-        shared = int(np.bitwise_count(node_maps[0][p[0]][i] & node_maps[1][q[0]][j]).sum())
-        most = min(x["many"][i], y["many"][j])
-        if not slack:  # many - bits is what a map hides; it is known for the unfolded maps
-            most = min(most, x["free"][i] + shared, y["free"][j] + shared)
-        return most < both(x["need"][i], y["need"][j])
+        shared = int(np.bitwise_count(x["map"][i] & y["map"][j]).sum())
+        most = min(x["high"][i], y["high"][j], x["hidden"][i] + shared, y["hidden"][j] + shared)
+        return 100 * most < percent * max(x["low"][i], y["low"][j])
 
     def leaves(i: int, j: int) -> None:
         x, y = a.levels[0], b.levels[0]
         rows, columns = np.arange(x["from"][i], x["to"][i]), np.arange(y["from"][j], y["to"][j])
-        shared = np.bitwise_count(maps[0][rows][:, None, :] & maps[1][columns][None, :, :]).sum(2).astype(np.int64)
-        most = np.minimum((a.many[rows] - counts[0][rows])[:, None] + shared, (b.many[columns] - counts[1][columns])[None, :] + shared)
-        size_a, size_b = a.sizes[rows][:, None], b.sizes[columns][None, :]
-        need = both(a.need[rows][:, None], b.need[columns][None, :])
-        hope = (most >= need) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+        shared = np.bitwise_count(a.maps[rows][:, None, :] & b.maps[columns][None, :, :]).sum(2).astype(np.int64)
+        most = np.minimum(a.hidden[rows][:, None] + shared, b.hidden[columns][None, :] + shared)
+        hope = 100 * most >= percent * (a.sizes[rows][:, None] + b.sizes[columns][None, :] - most)
         for r, c in zip(*np.nonzero(hope)):
             if same and rows[r] >= columns[c]:
                 continue
             u, v = int(a.names[rows[r]]), int(b.names[columns[c]])
-            if union.find(u) != union.find(v) and (test is None or test(u, v)):
+            if union.find(u) != union.find(v) and test(u, v):
                 union.join(u, v)
                 found.append((u, v))
 
@@ -220,93 +228,85 @@ def walk(a: Tree, b: Tree, percent: int, union: Union, both, test=None) -> list[
     return found
 
 
-def near(percent: int, size: np.ndarray, maps: list[bytes], union: Union, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Candidates among members by size and bitmap of the long prefix; with ``side``, between members of the two sides only.
-
-    Sizes of one power of two have a tree; a tree meets itself and the next one.
-    """
-    spares = [spare(int(n), percent) for n in size]
-    need = np.array([k for _, k in spares], np.int64)
-    many = np.minimum(size, np.array([k + j for k, j in spares], np.int64))
-    width = np.array([len(m) for m in maps])
-    side = np.zeros(len(size), int) if side is None else side
-    trees = {}
-    for w in np.unique(width):
-        for k in np.unique(side):
-            at = np.flatnonzero((width == w) & (side == k))
-            if len(at):
-                rows = np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1)
-                trees[w, k] = Tree(size[at], rows, many[at], need[at], at)
-    found = []
-    sides = sorted(set(side))
-    for w, k in trees:
-        for other in (w, 2 * w):
-            for j in sides:
-                if (other, j) not in trees or (len(sides) > 1 and j == k) or (other == w and j < k):
-                    continue
-                found += walk(trees[w, k], trees[other, j], percent, union, np.minimum)
-    return found
-
-
 def exact(percent: int, sets: list[np.ndarray], union: Union, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among sets that join components; with ``side``, between sets of the two sides only."""
     size = np.array([len(s) for s in sets], np.int64)
     bits = min(1 << 15, wide(int(np.percentile(size, 90)), 2))
-    need = -(-percent * size // 100)
     maps = np.stack([bitmap(s, bits) for s in sets])
-    trees = [Tree(size[at], maps[at], size[at], need[at], at) for at in ([np.flatnonzero(side == k) for k in (0, 1)] if side is not None else [np.arange(len(sets))])]
-    return walk(trees[0], trees[-1], percent, union, np.maximum, lambda u, v: linked(sets[u], sets[v], percent))
+    rows = [np.flatnonzero(side == k) for k in (0, 1)] if side is not None else [np.arange(len(sets))]
+    trees = [Tree(size[at], maps[at], at) for at in rows]
+    return walk(trees[0], trees[-1], percent, union, lambda u, v: linked(sets[u], sets[v], percent))
+
 
+def _keys(words: int, percent: int):
+    """The part keys of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in pieces(batch.column(0)):
+                found = [part_keys(shingles(t, words), percent) for t in batch.column(0).slice(first, last - first).to_pylist()]
+                yield pa.record_batch({"key": pa.array(np.concatenate(found).view(np.int64), pa.int64())})
+
+    return run
+
+
+def _prepare(words: int, percent: int, filtered: np.ndarray):
+    """Set size, class and those part keys of each text that pass the filter."""
+    bits = np.uint64(8 * len(filtered) - 1)
 
-def _prepare(words: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for first, last in pieces(texts):
-                part, count, cls, heads, maps = texts.slice(first, last - first).to_pylist(), [], [], [], []
-                for text in part:
+                count, cls, heads = [], [], []
+                for text in texts.slice(first, last - first).to_pylist():
                     tokens = shingles(text, words)
+                    keys = part_keys(tokens, percent)
+                    at = keys & bits
+                    keys = keys[(filtered[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
                     count.append(len(tokens))
                     cls.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
-                    over, share = spare(len(tokens), percent)
-                    tokens = in_order(tokens, frequent)
-                    heads.append(tokens[: over + 1].view(np.int64))
-                    maps.append(bitmap(tokens[: over + share], wide(over + share)).tobytes() if len(tokens) else None)
+                    heads.append(keys.view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-                flat = pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(count, pa.int64()),
-                    pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(maps, pa.binary()),
-                ], ["doc_id", "row_key", "n", "cls", "head", "map"])
+                    pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(heads), pa.int64())),
+                ], ["doc_id", "row_key", "n", "cls", "head"])
 
     return run
 
 
-def frequent_tokens(docs: DataFrame, words: int, sample: int = SAMPLE, often: int = FREQUENT) -> np.ndarray:
-    """Tokens of ``often`` or more documents in a sample of about ``sample`` at most, by hash of the row.
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, in eight bits a key up to ``FILTER_BITS``: what the filter lets through too much is joined out later."""
+    bits = max(1 << 15, min(FILTER_BITS, 1 << (8 * keys.count()).bit_length()))
+    place = F.pmod("key", F.lit(bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
+    return out
 
-    They go last in the order of tokens. Any order gives the same links; this one keeps documents that share nothing but
-    a common passage out of each other's family. The sample bounds what comes to the driver.
-    """
-    count = docs.count()
-    every = max(1, -(-count // sample))
-    some = docs.where(F.pmod("row_key", F.lit(every)) == 0).select("text")
+
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``row_key`` is not in ``keys``, so that few texts are shuffled to the join that decides."""
+    filtered = filter_of(keys.select(F.col("row_key").alias("key")))
+    bits, place = np.uint64(8 * len(filtered) - 1), rows.columns.index("row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.record_batch({"token": pa.array(shingles(text, words).view(np.int64), pa.int64())})
+            at = batch.column(place).to_numpy().view(np.uint64) & bits
+            keep = (filtered[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            yield batch.filter(pa.array(keep))
 
-    seen = some.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= often).select("token")
-    return np.sort(np.array([r[0] for r in seen.collect()], np.int64).view(np.uint64))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _edges(cls: list | np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": [cls[u] for u, _ in found], "b": [cls[v] for _, v in found]}, dtype="int64")
 
 
-def _compare(percent: int, words: int | None):
-    """Joins within one chunk, or between the probes and the others of one, by bitmaps (``words`` is None) or whole sets."""
+def _compare(percent: int, words: int):
+    """Links within one chunk, or between the probes and the others of one, that join components."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         probing = "probe" in group
@@ -315,48 +315,21 @@ def _compare(percent: int, words: int | None):
         if probing and len(set(side)) < 2:
             return _edges([], [])
         union = Union([int(x) for x in group["component"]] if probing else list(range(len(group))))
-        if words is None:
-            found = near(percent, group["n"].to_numpy(np.int64), list(group["map"]), union, side)
-        else:
-            found = exact(percent, [shingles(t, words) for t in group["text"]], union, side)
-        return _edges(group["cls"].to_numpy(), found)
-
-    return run
-
-
-def _compare_lists(percent: int):
-    """As ``_compare`` by bitmaps, for rows that each hold a list of members: most tokens have few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            members = batch.column(0)
-            at, flat = members.offsets.to_numpy(), members.values
-            cls, size, maps = flat.field("cls").to_numpy(), flat.field("n").to_numpy(), flat.field("map")
-            for i, j in zip(at, at[1:]):
-                for u, v in near(percent, size[i:j], maps.slice(i, j - i).to_pylist(), Union(list(range(j - i)))):
-                    a.append(cls[i + u])
-                    b.append(cls[i + v])
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(group["cls"].to_numpy(), exact(percent, [shingles(t, words) for t in group["text"]], union, side))
 
     return run
 
 
-def _joined(members: DataFrame, goods: DataFrame, weight: str, limit: int, percent: int, words: int | None) -> DataFrame:
-    """Edges that join what hangs together in each group of ``members`` (grp, cls); ``goods`` (cls, ...) is what is compared.
+def _joined(families: DataFrame, texts: DataFrame, limit: int, percent: int, words: int) -> DataFrame:
+    """Links that join what hangs together in each family (grp, cls); ``texts`` is (cls, n, text).
 
-    A group is dealt over chunks of about ``limit`` in ``weight``. After the chunks, the classes outside the largest component
-    of a group are probes: blocks of them meet every chunk of their group, and pairs within a component are passed over.
+    A family is dealt over chunks of about ``limit`` tokens. After the chunks, the classes outside the largest component of a family
+    are probes: blocks of them meet every chunk of their family, and pairs within a component are passed over.
     """
-    weighed = members.join(goods.select("cls", F.col(weight).alias("w")), "cls")
+    weighed = families.join(texts.select("cls", F.col("n").alias("w")), "cls")
     extent = written(weighed.groupBy("grp").agg(F.ceil(F.sum("w") / F.lit(limit)).cast("int").alias("chunks")))
-    members = written(members.join(extent, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
-    filled = members.join(goods, "cls")
-    if words is None:
-        lists = filled.groupBy("grp", "chunk").agg(F.collect_list(F.struct("cls", "n", "map")).alias("members"))
-        links = written(lists.select("members").mapInArrow(_compare_lists(percent), "a long, b long"))
-    else:
-        links = written(filled.groupBy("grp", "chunk").applyInPandas(_compare(percent, words), "a long, b long"))
+    members = written(families.join(extent, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
+    links = written(members.join(texts, "cls").groupBy("grp", "chunk").applyInPandas(_compare(percent, words), "a long, b long"))
     if not extent.where("chunks > 1").limit(1).count():
         return links
     label = components(links).withColumnRenamed("node", "cls")
@@ -372,7 +345,7 @@ def _joined(members: DataFrame, goods: DataFrame, weight: str, limit: int, perce
     left = probes.drop("chunk").join(known.select("grp", "chunk").distinct(), "grp").select(*columns, F.lit(True).alias("probe"))
     right = known.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = written(left.unionByName(right.select(*columns, F.lit(False).alias("probe"))))
-    more = meet.join(goods, "cls").groupBy("grp", "block", "chunk").applyInPandas(_compare(percent, words), "a long, b long")
+    more = meet.join(texts, "cls").groupBy("grp", "block", "chunk").applyInPandas(_compare(percent, words), "a long, b long")
     return written(links.unionByName(more))
 
 
@@ -391,31 +364,26 @@ def similar_documents(docs: DataFrame, words: int = 3, percent: int = 90, chunk:
 def _classed(docs: DataFrame, words: int, percent: int, chunk: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row_key, n, cls, component, component_id) of every row; a component goes by the smallest of its classes."""
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    frequent = frequent_tokens(rows, words)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, n long, cls long, head array<long>, map binary"
-    ready = written(rows.mapInArrow(_prepare(words, percent, frequent), schema))
-    classes = ready.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key"), F.max("n").alias("n"))
-    classes = written(classes)
-
-    # tokens that several classes have in their short prefixes; of tokens with the same members, one
-    heads = ready.where("n > 0").select("cls", "row_key", F.explode("head").alias("token"))
-    part = [F.sum(F.pmod(F.xxhash64("cls", "row_key", F.lit(k)), F.lit(1 << 31))).alias(f"sum{k}") for k in (0, 1)]
-    shared = heads.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("k"), *part).where("low < high")
-    shared = written(shared.groupBy("low", "high", "k", "sum0", "sum1").agg(F.min("token").alias("token")).select("token"))
-    members = written(heads.join(shared, "token").select(F.col("token").alias("grp"), "cls").distinct())
-    maps = ready.join(written(members.select("cls").distinct()), "cls", "left_semi").groupBy("cls").agg(F.max("n").alias("n"), F.first("map").alias("map"))
-    maps = written(maps.withColumn("one", F.lit(1)))
-    family = components(_joined(members, maps, "one", MEMBERS, percent, None)).select(F.col("component").alias("grp"), F.col("node").alias("cls"))
-    family = written(family)
+    keys = rows.select("text").mapInArrow(_keys(words, percent), "key long").groupBy("key").agg(F.count("*").alias("k"))
+    keys = written(keys.where("k > 1").select("key"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, n long, cls long, head array<long>"
+    ready = written(rows.mapInArrow(_prepare(words, percent, filter_of(keys)), schema))
+    classes = written(ready.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key"), F.max("n").alias("n")))
+
+    # classes that agree in a part hang together, by the smallest class of the part
+    heads = ready.select("cls", F.explode("head").alias("key")).distinct()
+    least = written(heads.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).where("b < c").select("key", "b"))
+    family = components(heads.join(least, "key").select(F.col("cls").alias("a"), "b").distinct())
+    family = written(family.select(F.col("component").alias("grp"), F.col("node").alias("cls")))
     # the text of one row a class; equal rows are folded before they meet
     reps = written(classes.join(family, "cls", "left_semi").select("cls", "row_key", "n"))
-    texts = rows.select("row_key", "text").join(reps, "row_key").groupBy("cls", "n").agg(F.first("text").alias("text"))
-    links = _joined(family, written(texts), "n", chunk, percent, words)
+    texts = _among(rows.select("row_key", "text"), reps).join(reps, "row_key").groupBy("cls", "n").agg(F.first("text").alias("text"))
+    links = _joined(family, written(texts), chunk, percent, words)
     label = components(links).withColumnsRenamed({"node": "cls"})
     named = classes.join(label, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "component").select("cls", "component", "component_id"))
-    return ready.drop("head", "map").join(named, "cls", "left")
+    return ready.drop("head").join(named, "cls", "left")
 
 
 def _across(texts: DataFrame, links: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
@@ -450,8 +418,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int =
     first = first.select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("first"))
     rows = found.groupBy("row_key").agg(F.count("*").alias("n")).join(first, "row_key", "left")
     # what goes, and what stays once of several
-    marked = written(rows.where("first is null or n > 1").select("row_key", F.coalesce("first", F.lit(False)).alias("once")))
+    marked = compact(rows.where("first is null or n > 1").select("row_key", F.coalesce("first", F.lit(False)).alias("once")))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"))
     stay = packed.join(marked, "row_key", "left_anti").select("row")
-    once = packed.join(marked.where("once"), "row_key", "left_semi").groupBy("row_key").agg(F.any_value("row").alias("row")).select("row")
+    once = packed.join(compact(marked.where("once").select("row_key")), "row_key", "left_semi").groupBy("row_key").agg(F.any_value("row").alias("row")).select("row")
     return stay.unionByName(once).select("row.*")

@@ -68,9 +68,26 @@ def test_odd_rows(spark):
     check(spark, edge_rows(), 3, 90)
 
 
-def test_chunks_give_the_same_components(spark, monkeypatch):
-    # families over many chunks and tokens over many chunks of members
-    monkeypatch.setattr(jaccard, "MEMBERS", 5)
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_linked_sets_share_a_part(percent):
+    rnd = np.random.default_rng(percent)
+    for _ in range(1500):
+        n = int(rnd.integers(1, 120))
+        both = rnd.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([both, rnd.integers(0, 2**63, int(rnd.integers(0, 1 + n * (100 - percent) // percent))).astype(np.uint64)])) for _ in range(2))
+        if jaccard.linked(a, b, percent) and not np.array_equal(a, b):
+            assert len(np.intersect1d(jaccard.part_keys(a, percent), jaccard.part_keys(b, percent)))
+
+
+def test_strangers_share_no_part():
+    rnd = np.random.default_rng(1)
+    common = rnd.integers(0, 2**63, 12).astype(np.uint64)  # a passage that all have
+    keys = [jaccard.part_keys(np.unique(np.concatenate([common, rnd.integers(0, 2**63, 150).astype(np.uint64)])), 90) for _ in range(300)]
+    _, count = np.unique(np.concatenate(keys), return_counts=True)
+    assert (count > 1).sum() < 5
+
+
+def test_chunks_give_the_same_components(spark):
     rows = near_copies(2, 3, 40, 60, 6) + [(1000 + i, "common passage of many words here " * 3 + f"tail{i} more{i} words{i}", "s") for i in range(30)]
     check(spark, rows, 3, 90, chunk=600)
     check(spark, rows, 5, 80, chunk=600)
