@@ -28,6 +28,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` as a table of few files, ``rows`` rows a file: the planner goes by file sizes, and many empty files make a small table look large."""
+    table = written(df)
+    return written(table.coalesce(1 + table.count() // rows))
+
+
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone."""
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(1 << 53))
