@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proplytics.llm.common import written
+from proplytics.llm.common import compact, written
 
 SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -61,12 +61,12 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80,
     shingle and are never found; null and empty texts contain nothing. Equal rows, of documents or of items, are reported once.
     Empty tables give no rows. Neither table is broadcast by a hint: the planner knows the size of the written sketches.
     """
-    known = written(sketches(items, words, percent))
+    known = compact(sketches(items, words, percent))
     rows = _keyed(docs, doc_id, text)
     probes = known.select("item_key", F.explode("sketch").alias("hash"))
     hashes = rows.select("doc_key", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     seen = hashes.select("doc_key", F.explode(shingle_hashes(F.col("hashes"), words)).alias("hash"))
-    pairs = written(seen.join(written(probes), "hash").select("doc_key", "item_key").distinct())
+    pairs = written(seen.join(compact(probes), "hash").select("doc_key", "item_key").distinct())
     texts = rows.join(pairs, "doc_key").dropDuplicates(["doc_key", "item_key"]).withColumn("words", words_of(F.col("text")))
     found = texts.select("doc_key", "doc_id", "item_key", shingle_texts(F.col("words"), words).alias("grams")).join(known, "item_key")
     found = found.withColumn("n_shared", F.size(F.array_intersect("shingles", "grams")))
@@ -76,7 +76,7 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80,
 
 def clean_documents(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, that contain no item."""
-    found = written(leaks(docs, items, words, percent, doc_id, text).select("doc_key").distinct())
+    found = compact(leaks(docs, items, words, percent, doc_id, text).select("doc_key").distinct())
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(docs[doc_id], docs[text]).alias("doc_key"))
     return packed.join(found, "doc_key", "left_anti").select("row.*")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proplytics.llm.common import written
+from proplytics.llm.common import compact, written
 
 #: kinds in the order in which spans are listed
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -103,10 +103,10 @@ def disclosing_terms(rows: DataFrame, base: DataFrame, threshold: float, support
     held = base.select("row_key", "text_key", F.explode("spans").alias("span")).select("row_key", "text_key", _entity(F.col("span")).alias("entity")).distinct()
     values = held.groupBy("entity").agg(F.count("*").alias("n_value"), F.count_distinct("text_key").alias("texts")).where(F.col("texts") >= support)
     held = written(held.join(values.select("entity", "n_value"), "entity"))
-    near = rows.join(written(held.select("row_key").distinct()), "row_key", "left_semi").select("row_key", F.explode(terms_of(F.col("text"), least)).alias("term"))
+    near = rows.join(compact(held.select("row_key").distinct()), "row_key", "left_semi").select("row_key", F.explode(terms_of(F.col("text"), least)).alias("term"))
     both = held.join(near.distinct(), "row_key").groupBy("entity", "n_value", "term").agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts"))
     both = written(both.where(F.col("texts") >= support).drop("texts"))
-    wanted = written(both.select("term").distinct())
+    wanted = compact(both.select("term").distinct())
     # how many documents hold each of these terms, over all of them
     everywhere = rows.select(F.explode(terms_of(F.col("text"), least)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     told, total = both.join(everywhere, "term"), F.lit(float(base.count()))
@@ -128,7 +128,7 @@ def sanitised(docs: DataFrame, generalise: float = 0.9, support: int = 3, least:
     base = written(base_spans(rows).select("doc_id", "row_key", F.xxhash64("text").alias("text_key"), "spans"))
     terms = disclosing_terms(rows, base, generalise, support, least)
     listed = terms.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("ratios"))
-    some = rows.join(written(listed), "row_key").join(base.where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"]), "row_key")
+    some = rows.join(compact(listed), "row_key").join(base.where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"]), "row_key")
     words = F.filter(located(F.col("text"), TERM, 4), lambda s: F.map_contains_key("ratios", F.lower(s["value"])))
     outside = F.filter(words, lambda s: ~F.exists("spans", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"])))
     found = written(some.select("row_key", outside.alias("words"), "ratios").dropDuplicates(["row_key"]))
@@ -160,7 +160,7 @@ def clean_texts(docs: DataFrame, remove: float = 0.98, doc_id: str = "doc_id", t
         return F.when(e["first"] >= state["at"], edited).otherwise(state)
 
     whole = F.aggregate("edits", start, step, lambda s: F.concat(s["out"], F.substring("body", s["at"] + 1, F.length("body"))))
-    out = packed.join(written(marked), "row_key", "left").withColumn("cleaned", F.when(F.col("edits").isNull(), F.col("body")).otherwise(whole))
+    out = packed.join(compact(marked), "row_key", "left").withColumn("cleaned", F.when(F.col("edits").isNull(), F.col("body")).otherwise(whole))
     return out.select(*[F.col("cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 
 
