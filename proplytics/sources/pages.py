@@ -76,6 +76,7 @@ SPECS: dict[str, dict[str, list[str]]] = {
         "link": ["a[href*=/bukken/detail/buy/]", "a[href*=/buy/detail/]", ".propetyTitle a", "a.sp", "a[href]"],
         "title": [".propetyTitle a", ".propetyTitle", "h2", "h3", ".property-title", ".item-title", "[class*=title]", "a"],
         "price": ["dl.price dd", ".price", "[class*=price]", ".kakaku", "[class*=kakaku]", "span.value", ".property-price"],
+        "detail_price": [".price", "[class*=price]", ".kakaku", ".price-red-strong"],
         "address": [".address", "[class*=address]", "[class*=location]", ".area", "[class*=area]"],
         "fallback": ["td", "dd", "span", "p", "div.value", "[class*=value]"],
         "page_title": ["h1", "h2", ".property-title", "[class*=heading]", "[class*=title]"],
@@ -264,7 +265,7 @@ def _material(node: Node, source: str, spec: dict[str, list[str]], card: bool) -
     return {
         "link": link,
         "titles": first_texts(node, spec["title"] if card else spec["page_title"]),
-        "prices": first_texts(node, spec["price"]),
+        "prices": first_texts(node, spec["price"] if card else spec.get("detail_price", spec["price"])),
         "addresses": first_texts(node, spec["address"]),
         "pairs": pairs_of(node, fallback, keep_blank=card and source != "akiya"),
         "cells": [n.text() for n in select(node, "td")] if source == "bit" else [],
