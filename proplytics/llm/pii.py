@@ -1,8 +1,9 @@
 """Personal data and what gives it away, in DataFrame functions only.
 
 Base spans (e-mail, IP, card, phone) are found by pattern in every whole text. Terms beside them can still name the person:
-over all documents, the co-occurrence of a term with a protected value estimates how much of the value's information the term
-gives away, PMI(term; value) / IC(value). Terms over one threshold are generalised to their first letters, over a higher one removed.
+over all different texts, the co-occurrence of a term with a protected value, or with what the value shares with others (mail domain,
+phone prefix), estimates how much of the value's information the term gives away, PMI(term; value) / IC(value), smoothed for
+rare terms. Terms over one threshold are generalised to their first letters, over a higher one removed.
 """
 
 from __future__ import annotations
@@ -82,10 +83,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["first"].cast("string"), s["last"].cast("string"))), ",")
 
 
-def _entity(span: Column) -> Column:
-    """What is protected: the kind and the value, without the ways of writing it."""
-    value = F.when(span["kind"] == 0, F.translate(F.lower(span["value"]), DOT, ".")).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
-    return F.concat_ws(":", span["kind"].cast("string"), value)
+def _entities(span: Column) -> Column:
+    """What is protected: the value without the ways of writing it, and what it shares with other values of the person or the
+    group: mail domain and words of the local part, network of an address, issuer of a card, phone number without its last four digits."""
+    mail, digits = F.translate(F.lower(span["value"]), DOT, "."), _digits(span["value"])
+    words = F.filter(F.split(F.substring_index(mail, "@", 1), "\\P{L}+"), lambda w: w != "")
+    shared = F.when(span["kind"] == 0, F.concat(F.array(F.concat(F.lit("domain:"), F.substring_index(mail, "@", -1))), F.transform(words, lambda w: F.concat(F.lit("name:"), w))))
+    shared = shared.when(span["kind"] == 1, F.array(F.concat(F.lit("net:"), F.substring_index(span["value"], ".", 3))))
+    shared = shared.when(span["kind"] == 2, F.array(F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))))
+    shared = shared.otherwise(F.array(F.concat(F.lit("prefix:"), F.substring(digits, F.lit(1), F.length(digits) - 4))))
+    value = F.when(span["kind"] == 0, mail).when(span["kind"] == 1, span["value"]).otherwise(digits)
+    return F.array_union(F.array(F.concat_ws(":", span["kind"].cast("string"), value)), shared)
 
 
 def terms_of(text: Column, least: int) -> Column:
@@ -93,30 +101,42 @@ def terms_of(text: Column, least: int) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\P{L}+"), lambda w: F.length(w) >= least))
 
 
-def disclosing_terms(rows: DataFrame, base: DataFrame, threshold: float, support: int, least: int) -> DataFrame:
-    """(row_key, term, ratio) of the terms that give away a protected value of their own document.
+def disclosing_terms(rows: DataFrame, base: DataFrame, threshold: float, doubt: float, least: int) -> DataFrame:
+    """(text_key, term, ratio) of the terms that give away a protected value, or what it shares with others, of their own text.
 
-    A value counts if ``support`` different texts hold it, a term beside it if ``support`` different texts hold both: one text,
-    however often it is copied, says nothing about what goes together. Counts are over all documents. The share of information
-    given away is log(n_both N / (n_term n_value)) / log(N / n_value), 1 if the term only stands beside the value.
+    Texts with the value count once each, however often they are copied: copies say nothing about what goes together. Documents
+    without it count each. Of n_term texts with a term, n_both hold the value, of all texts the part p: the chance of the value
+    beside the term is (n_both + doubt p) / (n_term + doubt), which draws rare terms towards p, and its log over p, divided by
+    log(1 / p), is the share of information given away. One text is enough where the value is rare enough: with ``doubt`` 1 a
+    term of one text alone gives away 1 - 1 / log2(texts) of its value.
     """
-    held = base.select("row_key", "text_key", F.explode("spans").alias("span")).select("row_key", "text_key", _entity(F.col("span")).alias("entity")).distinct()
-    values = held.groupBy("entity").agg(F.count("*").alias("n_value"), F.count_distinct("text_key").alias("texts")).where(F.col("texts") >= support)
-    held = written(held.join(values.select("entity", "n_value"), "entity"))
-    near = rows.join(compact(held.select("row_key").distinct()), "row_key", "left_semi").select("row_key", F.explode(terms_of(F.col("text"), least)).alias("term"))
-    both = held.join(near.distinct(), "row_key").groupBy("entity", "n_value", "term").agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts"))
-    both = written(both.where(F.col("texts") >= support).drop("texts"))
-    wanted = compact(both.select("term").distinct())
-    # how many documents hold each of these terms, over all of them
-    everywhere = rows.select(F.explode(terms_of(F.col("text"), least)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    told, total = both.join(everywhere, "term"), F.lit(float(base.count()))
-    information = F.log2(total / F.col("n_value"))
-    ratio = F.when(information > 0, F.log2(F.col("n_both") * total / F.col("n_term") / F.col("n_value")) / information)
-    told = written(told.select("entity", "term", F.least(ratio, F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= threshold))
-    return held.join(told, "entity").groupBy("row_key", "term").agg(F.max("ratio").alias("ratio"))
-
-
-def sanitised(docs: DataFrame, generalise: float = 0.9, support: int = 3, least: int = 4,
+    texts = base.where(F.size("spans") > 0).groupBy("text_key").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.any_value("spans").alias("spans"))
+    texts = written(texts)
+    spans = texts.select("text_key", "n", F.explode("spans").alias("span"))
+    held = written(spans.select("text_key", "n", F.explode(_entities(F.col("span"))).alias("entity")).distinct())
+    again = written(held.groupBy("entity").agg(F.count("*").alias("n_value"), F.sum("n").alias("rows")).where("n_value > 1"))
+    # what one text alone shares with nobody says the same as its value
+    held = held.join(again, "entity", "left").where(F.col("n_value").isNotNull() | F.col("entity").rlike("^[0-9]:"))
+    held = held.withColumn("n_value", F.coalesce("n_value", F.lit(1))).withColumn("rows", F.coalesce("rows", "n"))
+    p = F.col("n_value") / (F.lit(float(base.count())) - F.col("rows") + F.col("n_value"))
+    # the most documents that a term may stand in, if the value stands beside it in all of its own
+    most = F.floor((F.col("n_value") + doubt * p) / F.pow(p, F.lit(1 - threshold)) - doubt + 1e-6) + F.col("rows") - F.col("n_value")
+    held = written(held.select("text_key", "n", "entity", p.alias("p"), most.alias("most")).where("p < 1"))
+    bound = held.agg(F.max("most")).first()[0] or 0
+    terms = F.explode(terms_of(F.col("text"), least)).alias("term")
+    one_each = compact(texts.join(held.select("text_key").distinct(), "text_key", "left_semi").select("row_key", "text_key"))
+    near = written(rows.join(one_each, "row_key").select("text_key", terms).distinct())
+    everywhere = written(rows.select(terms).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= bound))
+    near = written(near.join(everywhere, "term"))
+    beside = written(near.join(held, "text_key").where("n_term <= most"))
+    told = beside.groupBy("entity", "term", "n_term", "p").agg(F.count("*").alias("n_both"), F.sum("n").alias("rows"))
+    alone = F.col("n_term") - F.col("rows") + F.col("n_both")
+    ratio = 1 - F.log((F.col("n_both") + doubt * F.col("p")) / (alone + doubt)) / F.log("p")
+    told = written(told.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold))
+    return beside.join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def sanitised(docs: DataFrame, generalise: float = 0.9, doubt: float = 1.0, least: int = 1,
               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_key, base, spans, terms of every row: base spans, and all spans with those of disclosing terms.
 
@@ -126,9 +146,10 @@ def sanitised(docs: DataFrame, generalise: float = 0.9, support: int = 3, least:
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"))
     base = written(base_spans(rows).select("doc_id", "row_key", F.xxhash64("text").alias("text_key"), "spans"))
-    terms = disclosing_terms(rows, base, generalise, support, least)
-    listed = terms.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("ratios"))
-    some = rows.join(compact(listed), "row_key").join(base.where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"]), "row_key")
+    terms = disclosing_terms(rows, base, generalise, doubt, least)
+    listed = written(terms.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("ratios")))
+    marked = written(base.where(F.size("spans") > 0).join(listed, "text_key").select("row_key", "spans", "ratios"))
+    some = rows.join(compact(marked.dropDuplicates(["row_key"])), "row_key")
     words = F.filter(located(F.col("text"), TERM, 4), lambda s: F.map_contains_key("ratios", F.lower(s["value"])))
     outside = F.filter(words, lambda s: ~F.exists("spans", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"])))
     found = written(some.select("row_key", outside.alias("words"), "ratios").dropDuplicates(["row_key"]))
@@ -142,7 +163,7 @@ def sanitised(docs: DataFrame, generalise: float = 0.9, support: int = 3, least:
 
 def clean_texts(docs: DataFrame, remove: float = 0.98, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with personal data taken out of the text: base spans become ``[EMAIL]`` and so on, terms over ``remove``
-    become ``[TERM]``, other disclosing terms their first two letters and a dash. Of spans that overlap the first is replaced."""
+    become ``[TERM]``, other disclosing terms their first two letters (half of a shorter term) and a dash. Of spans that overlap the first is replaced."""
     found = sanitised(docs, doc_id=doc_id, text=text, **options)
     marked = found.withColumn("edits", F.concat(
         F.transform("base", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.concat(
@@ -155,7 +176,8 @@ def clean_texts(docs: DataFrame, remove: float = 0.98, doc_id: str = "doc_id", t
 
     def step(state: Column, e: Column) -> Column:
         kept = F.substring("body", state["at"] + 1, e["first"] - state["at"])
-        general = F.concat(F.substring("body", e["first"] + 1, F.lit(2)), F.lit("-"))
+        letters = F.least(F.lit(2), F.floor((e["last"] - e["first"]) / 2).cast("int"))
+        general = F.concat(F.substring("body", e["first"] + 1, letters), F.lit("-"))
         edited = F.struct(e["last"].alias("at"), F.concat(state["out"], kept, F.coalesce(e["to"], general)).alias("out"))
         return F.when(e["first"] >= state["at"], edited).otherwise(state)
 

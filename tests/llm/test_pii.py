@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from proplytics.llm import pii
@@ -73,3 +74,28 @@ def test_no_rows_and_columns(spark):
     docs = documents(spark, edge_rows())
     cleaned = pii.clean_texts(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+
+
+def test_a_value_of_one_text_has_terms_once_it_is_rare_enough(spark):
+    rows = [(i, f"plain words of row {chr(97 + i % 26)} here", "s") for i in range(3000)]
+    rows = [(i, f"{t} {''.join(chr(97 + int(d)) for d in str(i))}x", s) for i, t, s in rows]
+    rows += [(5000 + i, "Ask Li or Zaphod about plain words by me@home.example", "s") for i in range(4)]
+    rows += [(6000, "Only here stands Trillian in plain words", "s")]
+    docs = documents(spark, rows, clash=False)
+    got = {r.doc_id: r for r in pii.sanitised(docs).collect()}
+    text = rows[-2][1]
+    words = {text[t["first"] : t["last"]]: t["ratio"] for t in got[5000]["terms"]}
+    assert {"Li", "Zaphod"} <= set(words) and not {"plain", "words"} & set(words)
+    # four copies are one text: 3,002 texts, and one text leaves a bit of doubt
+    assert abs(words["Zaphod"] - math.log2((1 + 1 / 3002) / 2 * 3002) / math.log2(3002)) < 1e-9
+    assert all(got[5000 + i]["terms"] == got[5000]["terms"] for i in range(4)) and not got[6000]["terms"]
+    cleaned = {r.doc_id: r.text for r in pii.clean_texts(docs).where("doc_id = 5000").collect()}
+    assert "Li" not in cleaned[5000] and "L- " in cleaned[5000] and "[EMAIL]" in cleaned[5000]
+
+
+def test_terms_beside_a_shared_domain(spark):
+    rows = [(i, f"plain words of text {''.join(chr(97 + int(d)) for d in str(i))}x", "s") for i in range(400)]
+    rows += [(500 + i, f"plain words at Magrathea from {chr(97 + i)}@planet.example", "s") for i in range(12)]
+    got = {r.doc_id: r for r in pii.sanitised(documents(spark, rows, clash=False)).collect()}
+    assert all("Magrathea" in {s["value"] for s in got[500 + i]["spans"] if s["kind"] == 4} for i in range(12))
+    assert not any(got[i]["terms"] for i in range(400))
