@@ -155,12 +155,13 @@ class Field:
 
 @dataclass
 class Model:
-    """The field, the curve from share of good text to score, and the score of a text without words."""
+    """The field, the curve from share of good text to score, and the score of a text without words; not ``fitted`` without rows of both labels."""
 
     field: Field
     slope: float
     offset: float
     prior: float
+    fitted: bool = True
 
     def scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if len(starts) < 2:
@@ -178,14 +179,14 @@ def _shares(good: np.ndarray, features: np.ndarray, size: np.ndarray, lines: np.
     return np.add.reduceat(weight * good, at) / np.maximum(whole, 1), whole
 
 
-def _curve(share: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Logistic regression on one input, by Newton's method; the ridge keeps separable labels finite."""
+def _curve(share: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Logistic regression on one input over weighted rows, by Newton's method; the ridge keeps separable labels finite."""
     x = np.stack([share, np.ones_like(share)], 1)
     value = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ value)))
-        bend = x.T @ (x * (p * (1 - p))[:, None]) + np.diag([ridge / 100, ridge / 100])
-        value = value + np.clip(np.linalg.solve(bend, x.T @ (label - p) - ridge / 100 * value), -4, 4)
+        bend = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag([ridge / 100, ridge / 100])
+        value = value + np.clip(np.linalg.solve(bend, x.T @ (weight * (label - p)) - ridge / 100 * value), -4, 4)
     return float(value[0]), float(value[1])
 
 
@@ -194,13 +195,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled ids that are not held out, half of each label, lowest hashes first.
-
-    A label given twice counts as their mean, rounded. Rows of one id share its label.
-    """
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of every labelled id that is not held out. A label given twice counts as their mean, rounded."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("label")).dropna()
-    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    return known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(label, text) of at most ``sample`` learnable ids, half of each label, lowest hashes first. Rows of one id share its label."""
+    known = learnable(labels)
     halves = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     # at most ``sample`` rows of two numbers
@@ -224,15 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sequence: int =
     """Fit on at most ``sample`` labelled rows, of which the first ``sequence`` lines each are learnt from.
 
     Both bound the sample that the driver holds and nothing else: scores read whole texts. Lines start with the label of
-    their text; twice, lines of bad texts that the field takes for good are then relabelled, the worst line excepted. Without
-    rows of both labels every text gets the share of label 1 (0.5 without labels).
+    their text; twice, lines of bad texts that the field takes for good are then relabelled, the worst line excepted. The shares
+    of the labels in the prior and in the curve are those of all learnable labels, not of the sample. Without rows of both
+    labels nothing is fitted and every text gets the share of label 1 (0.5 without labels).
     """
+    count = {r["label"]: r["count"] for r in learnable(labels).where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
     rows = training_rows(docs, labels, sample).mapInArrow(_measure, "label int, features binary, size binary").limit(4 * sample).collect()
     label = np.array([r["label"] for r in rows], int)
-    prior = float((label.sum() + 1) / (len(label) + 2)) if len(label) else 0.5
+    prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
     width = 1 + 3 * len(FEATURES) + 2
     if len(set(label)) < 2:
-        return Model(Field(np.zeros(width), np.zeros((2, 2))), 0.0, float(np.log(prior / (1 - prior))), prior)
+        return Model(Field(np.zeros(width), np.zeros((2, 2))), 0.0, float(np.log(prior / (1 - prior))), prior, fitted=False)
     # rows come back in no fixed order: sort them, so that reruns fit the same field
     order = sorted(range(len(rows)), key=lambda i: (label[i], bytes(rows[i]["features"])))
     label = label[order]
@@ -248,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sequence: int =
         again = np.where((truth == 0) & (good > 0.5) & ~worst, 1, truth)
         field = Field.fit(features, lines, again, rounds, field)
     share, words = _shares(field.marginals(features, lines)[0], features, size, lines)
-    slope, offset = _curve(share[words > 0], label[words > 0])
+    # rows weigh what their label weighs among all, and one on average
+    weight = np.array([count[k] / (label == k).sum() for k in (0, 1)])[label] * len(label) / sum(count.values())
+    slope, offset = _curve(share[words > 0], label[words > 0], weight[words > 0])
     return Model(field, slope, offset, prior)
 
 
@@ -278,5 +285,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, unchanged."""
+    """The rows of ``docs`` that score ``threshold`` or more, unchanged; all of them where no model could be fitted."""
+    if not model.fitted:
+        return docs
     return score_rows(docs, model).where(F.col("score") >= threshold).select("row.*")

@@ -73,3 +73,33 @@ def test_odd_tables(spark):
     assert {r.score for r in got if r.doc_id in (200, 201, 202, 206)} == {model.prior}
     assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.classify(documents(spark, []), model).collect() == []
+
+
+def test_stage_one_keeps_the_same_at_ten_times_the_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    def kept(times):
+        rows, known = [], []
+        for k in range(times):
+            for i in range(1200):
+                bad = i % 4 == 0
+                rows.append((k * 10000 + i, "%%% *** 12 $$$ ## 77" if bad else f"Plain words of a good text, number {i}.", "s"))
+                known.append((k * 10000 + i, int(not bad), 0))
+        rows.append((-1, "", "s"))
+        folder = tmp_path / str(times)
+        folder.mkdir()
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = documents(spark, rows, clash=False)
+        model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+        return model, {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(folder)).select("doc_id").collect() if r.doc_id < 10000}
+
+    (one, small), (ten, large) = kept(1), kept(10)
+    assert -1 in small and small == large
+    assert one.prior == pytest.approx(ten.prior, abs=0.02)
+
+
+def test_stage_one_without_labels_keeps_everything(spark, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, edge_rows())
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
