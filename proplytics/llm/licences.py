@@ -1,11 +1,12 @@
 """Licence notices in texts: Dice coefficient over word bigrams against licence templates.
 
-A candidate is a run of consecutive sentences or lines. A template of b bigrams and a run of a can only reach a Dice coefficient of t if
+A candidate is a window of words that begins and ends with a bigram of the template, wherever sentences or lines end. A template of b bigrams and a run of a can only reach a Dice coefficient of t if
 t / (2 - t) <= a / b <= (2 - t) / t; these bounds, and the bigrams of a run that occur in any template, prune before sets are compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -41,6 +42,32 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_GNU = (("AGPL-3.0", "Affero General", "3"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"))
+_CC = (("CC-BY-4.0", "BY", "Attribution"), ("CC-BY-SA-4.0", "BY-SA", "Attribution-ShareAlike"), ("CC-BY-NC-4.0", "BY-NC", "Attribution-NonCommercial"),
+       ("CC-BY-ND-4.0", "BY-ND", "Attribution-NoDerivatives"), ("CC-BY-NC-SA-4.0", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("CC-BY-NC-ND-4.0", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. ")
+#: Notice variants, standard file headers and the BSD conditions.
+NOTICES = (
+    *((n, f"licensed under the GNU {kind} Public License{form}") for n, kind, v in _GNU for form in (f", version {v}", f" v{v}.0" if "." not in v else f" v{v}")),
+    *((n, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the "
+          f"Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for n, kind, v in _GNU),
+    *((n, f"licensed under CC {code} 4.0") for n, code, _ in _CC),
+    *((n, f"licensed under a Creative Commons {words} 4.0 International License") for n, _, words in _CC),
+    ("CC0-1.0", "released under CC0 1.0 Universal"),
+    ("MIT", "under the MIT License"),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
+                   "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+                   "limitations under the License."),
+    ("MPL-2.0", "licensed under the Mozilla Public License, version 2.0"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+                            "this software without specific prior written permission."),
+)
+
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -67,6 +94,10 @@ class Scanner:
         self.sets, self.least = sets, least
         self.sizes = [len(s) for _, s in sets]
         self.known = set().union(*(s for _, s in sets)) if sets else set()
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for k, (_, pairs) in enumerate(sets):
+            for pair in pairs:
+                self.holders.setdefault(pair, []).append(k)
         self.longest = self.sizes[-1] * (2 - least) / least if sets else 0
 
     def near(self, run: set) -> tuple[float, str] | None:
@@ -109,10 +140,47 @@ class Scanner:
         return sorted((name, score, a, b) for name, (score, a, b) in best.items())
 
 
-def licence_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, licence, dice, first, last: for every row and licence the run of its sentences that comes closest, if ``least`` or closer.
+    def windows(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """(licence, Dice, first, last) of every hit by place: of windows that overlap the closest, then the longest, then the earliest."""
+        words = [w.lower() for w in _WORD.findall(text)] if text else []
+        places: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k in self.holders.get(pair, ()):
+                places.setdefault(k, []).append(i)
+        found = []
+        for k, at in places.items():
+            name, pairs = self.sets[k]
+            size, need = len(pairs), max(1, math.ceil(len(pairs) * self.least / (2 - self.least) - 1e-9))
+            most = int(size * (2 - self.least) / self.least + 1e-9)
+            for x in range(len(at) - need + 1):
+                if at[x + need - 1] - at[x] >= most:  # too few pairs of the template within reach
+                    continue
+                seen, shared, to = set(), 0, at[x]
+                for y in range(x, len(at)):
+                    if at[y] - at[x] >= most:
+                        break
+                    pair = (words[at[y]], words[at[y] + 1])
+                    shared += pair not in seen
+                    seen.update(zip(words[to : at[y] + 1], words[to + 1 : at[y] + 2]))
+                    to = at[y] + 1
+                    score = 2 * shared / (len(seen) + size)
+                    if shared >= need and score >= self.least:
+                        found.append((-score, at[x] - at[y], at[x], at[y] + 1, name))
+        if not found:
+            return []
+        taken, chosen = bytearray(len(words)), []
+        for score, _, a, b, name in sorted(found):
+            if not any(taken[a : b + 1]):
+                taken[a : b + 1] = b"\1" * (b + 1 - a)
+                chosen.append((a, b, name, -score))
+        spans = [m.span() for m in _WORD.finditer(text)]
+        return [(name, score, spans[a][0], spans[b][1]) for a, b, name, score in sorted(chosen)]
+
+
+def licence_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + NOTICES, least: float = 0.85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, licence, dice, first, last: for every row the windows of words that come as close as ``least`` to a template, all that do not overlap.
 
-    A run counts for its closest template only. Whole texts are scanned; null and empty texts have none; equal rows are reported each;
+    A window counts for its closest template only. Templates of one word are in no window. Whole texts are scanned; null and empty texts have none; equal rows are reported each;
     empty tables give no rows. ``templates`` (name, text) may name a licence more than once.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
@@ -123,7 +191,7 @@ def licence_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         for batch in batches:
             at, found = [], []
             for i, body in enumerate(batch.column(1)):
-                for one in scanner.scan(body.as_py()):
+                for one in scanner.windows(body.as_py()):
                     at.append(i)
                     found.append(one)
             names, scores, first, last = zip(*found) if found else ((), (), (), ())

@@ -48,3 +48,19 @@ def test_full_texts_and_near_misses(spark):
     assert found.dice > 0.95 and "Permission is hereby granted" in rows[-5][1][found["first"] : found["last"]]
     assert licences.licence_scan(documents(spark, [])).collect() == []
     assert licences.licence_scan(documents(spark, rows), templates=()).collect() == []
+
+
+def test_ordinary_wordings_inside_sentences_and_every_hit(spark):
+    header = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+              "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    want = {
+        1: ("Licensed under the GNU General Public License, version 3.", ["GPL-3.0"]), 2: ("This software is licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        3: ("This project is released under the MIT License.", ["MIT"]), 4: ("This work is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        5: ("It is licensed under the GNU General Public License v3.0.", ["GPL-3.0"]), 6: (header, ["GPL-3.0"]), 7: (licences._BSD, ["BSD-2-Clause"]),
+        8: ("some words without a stop " * 20 + "licensed under CC BY-NC 4.0 and more words " + "that go on " * 30, ["CC-BY-NC-4.0"]),
+        9: ("Released under the MIT License. " + "Other words stand here. " * 9 + "Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "MIT", "Apache-2.0"]),
+        10: ("licensed under the GNU Lesser General Public License, version 2.1", ["LGPL-2.1"]), 11: ("Under the licence of the work. Version 2 of the public.", []),
+    }
+    rows = licences.licence_scan(documents(spark, [(i, t, "s") for i, (t, _) in want.items()])).collect()
+    for i, (_, names) in want.items():
+        assert [r.licence for r in sorted(rows, key=lambda r: r["first"]) if r.doc_id == i] == names, i
