@@ -1,9 +1,10 @@
 """Phrases whose words stand together more often than their parts would by chance.
 
-Phrases are counted level by level, short ones first. Each task counts in a HAT-trie: a shallow trie of word ids whose leaves are
-hash containers that burst into a trie node when they grow too large. A task that holds too many phrases spills its largest subtrees
-whole, as runs sorted by phrase; runs are shuffled by the first words of their phrases and added up there. A phrase is only counted
-where all its parts of the level before may be frequent: a bit map of bounded size says so, and a wrong yes costs work, not results.
+Texts are read three times. The first reading counts hashes of words and word pairs, a bound from above that leaves out most of what is
+rare. The second counts phrases of up to three words whose words and pairs pass, the third those of four and five whose triples are
+frequent. These two count in a HAT-trie: a shallow trie of word ids whose leaves are hash containers that burst into a trie node when
+they grow too large. A task that holds too much spills its largest subtrees whole, as runs sorted by phrase; runs are shuffled by the
+first words of their phrases and added up there. What passes stands in a bit map of bounded size; a wrong yes costs work, not results.
 """
 
 from __future__ import annotations
@@ -13,18 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proplytics.llm.common import pieces, text_bytes, written
 
-#: orders counted in one reading of the texts
-LEVELS = ((1,), (2,), (3,), (4, 5))
-#: entries of a container before it bursts; entries and words that a task holds before it spills; bits of the map of frequent phrases
-BURST, HOLD, WORDS, BITS = 1 << 12, 1 << 19, 1 << 19, 26
-#: words of a phrase that say in which partition its runs are added up
-PREFIX = 3
+#: orders counted in the second and third reading, and the orders whose map each of them asks
+LEVELS = (((1, 2, 3), (1, 2)), ((4, 5), (3,)))
+#: entries of a container before it bursts; entries, words and hashes that a task holds before it spills; bits of the map of what may be frequent
+BURST, HOLD, WORDS, HASHES, BITS = 1 << 12, 1 << 19, 1 << 19, 1 << 22, 26
+#: words of a phrase that say in which partition its runs are added up; hashes of a bucket at most, and bits of a hash within its bucket
+PREFIX, BUCKET, REST = 3, 1 << 20, 26
+#: languages whose numbers of words are sent to all tasks; where there are more, they are joined
+LANGUAGES = 10_000
 SPACE, STOP = 32, 10
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,50 +56,155 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, np.cumsum(buffer == STOP)[at] if len(at) else at, np.searchsorted(starts[1:] + np.arange(n), at, "right")
 
 
-def _hash(values: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(v) for v in values], np.uint64)
-
-
-def _fold(hashes: list[np.ndarray]) -> np.ndarray:
-    """One hash for each row of hashes of a language and its words."""
-    out = hashes[0]
-    for h in hashes[1:]:
+def _hash(words: pa.Array) -> np.ndarray:
+    """A hash of each of some texts: its bytes as digits, stirred."""
+    data, starts = text_bytes(words)
+    size = np.diff(starts)
+    if not len(data):
+        return np.zeros(len(size), np.uint64)
+    power = np.full(int(size.max()), _MIX, np.uint64)
+    power = np.multiply.accumulate(power)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(starts[:-1], size)]
+    out = np.zeros(len(size), np.uint64)
+    out[size > 0] = np.add.reduceat(terms, starts[:-1][size > 0])
+    return (out ^ (out >> np.uint64(32))) * _MIX
+
+
+def _keys(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """A hash for each row of hashes of a language and its words; the number of words counts."""
+    out = lang + np.uint64(len(words))
+    for h in words:
         out = (out ^ h) * _MIX
         out = out ^ (out >> np.uint64(31))
     return out * _MIX
 
 
+def _hashed(column: pa.Array, langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their hashes, piece, row, hash of the language) of a column of texts."""
+    words, piece, row = split_words(column)
+    coded = langs.dictionary_encode()
+    return words, _hash(words), piece, row, _hash(coded.dictionary)[coded.indices.to_numpy()][row]
+
+
 class FrequentMap:
-    """A bit for each hash of a frequent phrase of ``order`` words."""
+    """A bit for each key (hash of ``width`` bits) of what may be frequent among phrases of ``orders`` words."""
 
-    def __init__(self, order: int, power: int, words: np.ndarray):
-        self.order, self.power, self.words = order, power, words
+    def __init__(self, orders: tuple[int, ...], width: int, words: np.ndarray):
+        self.orders, self.width, self.words = orders, width, words
 
     @classmethod
-    def of(cls, phrases: DataFrame, order: int) -> FrequentMap:
-        """The map of (lang, phrase) rows; 16 bits a phrase, 2 ** BITS bits at most."""
-        power = int(min(BITS, max(10, np.ceil(np.log2(16 * (phrases.count() + 1))))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                words = pc.split_pattern(batch.column(1), " ").flatten().dictionary_encode()
-                known = _hash([w.encode() for w in words.dictionary.to_pylist()])[words.indices.to_numpy()].reshape(-1, order)
-                langs = batch.column(0).dictionary_encode()
-                lang = _hash([w.encode() for w in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
-                bit = _fold([lang, *known.T]) >> np.uint64(64 - power)
-                yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["place", "bits"])
-
-        rows = phrases.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    def of(cls, keys: DataFrame, orders: tuple[int, ...], width: int) -> FrequentMap:
+        """The map of the longs ``key``: 16 bits for each, 2 ** BITS bits at most; so much comes to the driver."""
+        power = int(min(BITS, max(10, np.ceil(np.log2(16 * (keys.count() + 1))))))
+        place = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
+        bits = keys.select(F.shiftright(place, 6).alias("place"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
+        rows = bits.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(1 << (power - 6), np.uint64)
         words[rows["place"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-        return cls(order, power, words)
+        return cls(orders, width, words)
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes >> np.uint64(64 - self.power)
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = (keys >> np.uint64(64 - self.width)) & np.uint64(64 * len(self.words) - 1)
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
+    def passing(self, hashes: np.ndarray, lang: np.ndarray, piece: np.ndarray, k: int) -> np.ndarray:
+        """For each word whether the ``k`` words from it on stand in one piece and all their parts of the known orders may be frequent."""
+        good = np.zeros(len(hashes), bool)
+        n = len(hashes) - k + 1
+        if n < 1:
+            return good
+        good[:n] = piece[:n] == piece[k - 1 :]
+        for m in self.orders:
+            for j in range(k - m + 1):
+                at = np.flatnonzero(good)
+                good[at] = self.has(_keys(lang[at], [hashes[at + j + i] for i in range(m)]))
+        return good
+
+
+def _phrase_keys(phrases: DataFrame, order: int, width: int) -> DataFrame:
+    """key of each of the (lang, phrase) rows of ``order`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.split_pattern(batch.column(1), " ").flatten()
+            found = _keys(_hash(batch.column(0)), list(_hash(words).reshape(-1, order).T)) >> np.uint64(64 - width)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["key"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "key long")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """4-byte numbers by byte: all lowest bytes first. Small numbers leave runs of zeros, which the shuffle packs."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pair_keys(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """(key) of the words and word pairs whose hashes are counted ``least`` times or more, and the width of the keys.
+
+    Tasks count hashes and cut the sorted counts into one run a bucket; a bucket holds BUCKET hashes at most, copies included,
+    because there are as many buckets as the bytes of the texts ask for. The lower bits of a hash are left out, as they only tell apart
+    what shares all others.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    high = int(max(6, np.ceil(np.log2((size + 2) / BUCKET))))  # two hashes a word, two bytes a word at least
+    width = high + REST
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, fresh, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([held, *fresh])
+            weights = np.concatenate([number, np.ones(waiting, np.int64)])
+            order = np.argsort(keys, kind="stable")
+            keys, weights = keys[order], weights[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            return keys[first], np.add.reduceat(weights, first) if len(first) else weights
+
+        def runs() -> Iterator[pa.RecordBatch]:
+            if not len(held):
+                return
+            bucket, rest = (held >> np.uint64(REST)).astype(np.int64), held & np.uint64((1 << REST) - 1)
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            step = np.diff(rest.astype(np.int64), prepend=0)
+            step[at] = rest[at]
+            for i in range(0, len(at), 4096):
+                some, ends = at[i : i + 4096], np.concatenate([at[1:], [len(held)]])[i : i + 4096]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[some]), pa.array([_planes(step[a:b]) for a, b in zip(some, ends)], pa.binary()),
+                    pa.array([_planes(np.minimum(number[a:b], (1 << 32) - 1)) for a, b in zip(some, ends)], pa.binary())], ["bucket", "steps", "counts"])
+
+        for batch in batches:
+            for first, last in pieces(batch.column(1)):
+                _, hashes, piece, _, lang = _hashed(batch.column(1).slice(first, last - first), batch.column(0).slice(first, last - first))
+                pair = np.flatnonzero(piece[1:] == piece[:-1])
+                for keys in (_keys(lang, [hashes]), _keys(lang[pair], [hashes[pair], hashes[pair + 1]])):
+                    fresh.append(keys >> np.uint64(64 - width))
+                    waiting += len(keys)
+                if waiting > HASHES:
+                    held, number = merged()
+                    fresh, waiting = [], 0
+                    if len(held) > HASHES:
+                        yield from runs()
+                        held, number = held[:0], number[:0]
+        held, number = merged()
+        yield from runs()
+
+    def add(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        keys = np.concatenate([np.cumsum(_from_planes(x.as_py()).astype(np.int64)) for x in group["steps"]])
+        counts = np.concatenate([_from_planes(x.as_py()).astype(np.int64) for x in group["counts"]])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.table({"key": keys[first][np.add.reduceat(counts, first) >= least] | (bucket << REST)})
+
+    runs = texts.mapInArrow(count, "bucket long, steps binary, counts binary")
+    return written(runs.groupBy("bucket").applyInArrow(add, "key long")), width
+
 
 class Node:
     """A hash container of the word ids that follow (4 bytes each) and their counts; once burst, a trie node that only keeps its own count."""
@@ -207,17 +314,25 @@ def distinct_grams(ids: np.ndarray, lang: np.ndarray, at: np.ndarray, order: int
 
 
 def _counter(orders: tuple[int, ...], frequent):
-    """mapInArrow function over (lang, text): runs of phrases of ``orders`` words; in the first level also the number of words (the empty phrase)."""
+    """mapInArrow function over (lang, text): runs of phrases of ``orders`` words; with single words also the number of all words (the empty phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, known, hashes = HatTrie(), [], {}, np.zeros(1024, np.uint64)
-        langs, totals, known_map = {}, {}, frequent.value if frequent is not None else None
+        trie, names, known, langs, totals = HatTrie(), [], {}, {}, {}
         for batch in batches:
             for first, last in pieces(batch.column(1)):
-                lang_column = batch.column(0).slice(first, last - first).dictionary_encode()
-                lang_id = np.array([langs.setdefault(x, len(langs)) for x in lang_column.dictionary.to_pylist()], np.int64)[lang_column.indices.to_numpy()]
-                words, piece, row = split_words(batch.column(1).slice(first, last - first))
-                coded = words.dictionary_encode()
+                lang_column = batch.column(0).slice(first, last - first)
+                words, hashes, piece, row, lang_hash = _hashed(batch.column(1).slice(first, last - first), lang_column)
+                coded = lang_column.dictionary_encode()
+                lang = np.array([langs.setdefault(x, len(langs)) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()][row]
+                if 1 in orders:
+                    for k, n in enumerate(np.bincount(lang).tolist()):
+                        totals[k] = totals.get(k, 0) + n
+                starts = {k: np.flatnonzero(frequent.value.passing(hashes, lang_hash, piece, k)) for k in orders}
+                asked = np.zeros(len(words), bool)
+                for k, at in starts.items():
+                    for j in range(k):
+                        asked[at + j] = True
+                coded = words.filter(pa.array(asked)).dictionary_encode()
                 if len(known) + len(coded.dictionary) > WORDS and known:
                     yield from trie.spill(names, list(langs))
                     names, known = [], {}
@@ -227,29 +342,11 @@ def _counter(orders: tuple[int, ...], frequent):
                     if i is None:
                         i = known[word] = len(names)
                         names.append(word)
-                        if i >= len(hashes):
-                            hashes = np.concatenate([hashes, np.zeros(len(hashes), np.uint64)])
-                        hashes[i] = xxhash.xxh64_intdigest(word)
                     local.append(i)
-                ids, lang = np.array(local, np.int64)[coded.indices.to_numpy()], lang_id[row]
-                if 1 in orders:
-                    for k, n in enumerate(np.bincount(lang).tolist()):
-                        totals[k] = totals.get(k, 0) + n
-                if known_map is None:
-                    may = None
-                else:
-                    m = known_map.order
-                    whole = np.flatnonzero(piece[: len(ids) - m + 1] == piece[m - 1 :]) if len(ids) >= m else np.zeros(0, np.int64)
-                    may = np.zeros(len(ids), bool)
-                    lang_hash = _hash([x.encode() for x in langs])
-                    may[whole] = known_map.has(_fold([lang_hash[lang[whole]], *(hashes[ids[whole + j]] for j in range(m))]))
-                for k in orders:
-                    if len(ids) < k:
-                        continue
-                    good = piece[: len(ids) - k + 1] == piece[k - 1 :]
-                    for j in range(k - known_map.order + 1 if may is not None else 0):
-                        good &= may[j : j + len(good)]
-                    trie.add(*distinct_grams(ids, lang, np.flatnonzero(good), k, len(names), len(langs)))
+                ids = np.zeros(len(words), np.int64)
+                ids[asked] = np.array(local, np.int64)[coded.indices.to_numpy()]
+                for k, at in starts.items():
+                    trie.add(*distinct_grams(ids, lang, at, k, len(names), len(langs)))
                     if trie.held > HOLD:
                         yield from trie.spill(names, list(langs), HOLD // 2)
         yield from trie.spill(names, list(langs))
@@ -264,23 +361,27 @@ def _counter(orders: tuple[int, ...], frequent):
 def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5) -> DataFrame:
     """(lang, size, phrase, f): every phrase of up to ``most`` words that occurs ``least`` times or more in its language, and the empty phrase with the number of words."""
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"].alias("text"))
-    spark, out, frequent = docs.sparkSession, None, None
-    for level in LEVELS:
+    keys, width = pair_keys(texts, least)
+    out = None
+    for level, known in LEVELS:
         orders = tuple(k for k in level if k <= most)
         if not orders:
             break
+        frequent = docs.sparkSession.sparkContext.broadcast(FrequentMap.of(keys, known, width))
         runs = texts.mapInArrow(_counter(orders, frequent), "lang string, size int, phrase string, n long")
         runs = runs.withColumn("prefix", F.substring_index("phrase", " ", PREFIX)).repartition("lang", "prefix")
         counts = runs.groupBy("lang", "prefix", "phrase").agg(F.max("size").alias("size"), F.sum("n").alias("f"))
         counts = written(counts.where((F.col("size") == 0) | (F.col("f") >= least)).select("lang", "size", "phrase", "f"))
         out = counts if out is None else out.unionByName(counts)
-        frequent = spark.sparkContext.broadcast(FrequentMap.of(counts.where(F.col("size") == orders[-1]), orders[-1]))
+        keys, width = _phrase_keys(counts.where(F.col("size") == orders[-1]), orders[-1], 62), 62
     return out
 
 
 def scored_cuts(phrases: DataFrame, scale: int = 1000) -> DataFrame:
     """lang, phrase, size, a, l, r, n, score of each phrase of two words or more at its lowest-scoring cut; ties go to the shortest first part."""
     number = phrases.where("size = 0").select("lang", F.col("f").alias("n"))
+    # one row a language; a join by language would put most phrases into one task
+    number = F.broadcast(number) if number.count() <= LANGUAGES else number
     cuts = phrases.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr("substring_index(phrase, ' ', k - size)"))
     cuts = cuts.join(phrases.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import collocations, decontaminate, jaccard, licences, mixing, neighbours, packing, pii, quality, sharding, tokencount
+from proplytics.llm import collocations, decontaminate, hardnegatives, jaccard, licences, mixing, neighbours, packing, pii, quality, sharding, tokencount
 
 
 #: folder of public tokenizer files, and the pattern that belongs to its byte-level vocabularies
@@ -70,13 +70,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    return hardnegatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of each language that stand together most."""
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_shards, op2_licences, op3_pii, op4_leaks, op5_mix, op6_token_counts, op7_jaccard, op8_packed, op9_quality, op10_neighbours,
-                                    op13_collocations)}
+                                    op12_hard_negatives, op13_collocations)}
 
 #: SQL twins, where SQL can say the whole result.
-ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL, "op13_collocations": collocations.MINE_SQL}
+ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL, "op13_collocations": collocations.MINE_SQL,
+                           "op12_hard_negatives": hardnegatives.MINE_SQL}

@@ -89,6 +89,14 @@ def test_spills_and_bursts_change_nothing(spark, monkeypatch):
     assert got == want and trie.held == 0
 
 
+def test_small_bounds_change_nothing(spark, monkeypatch):
+    # tasks spill within their input, word ids start anew, runs of hashes come in parts
+    for name, value in (("HOLD", 60), ("WORDS", 5), ("HASHES", 300), ("BUCKET", 64), ("REST", 8)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = prose(11, 80)
+    assert sorted(tuple(r) for r in collocations.mine(table(spark, rows), least=3).collect()) == brute(rows, 3)
+
+
 def test_full_map_changes_nothing(spark, monkeypatch):
     # a map of 64 bits says yes to nearly everything
     monkeypatch.setattr(collocations, "BITS", 6)
