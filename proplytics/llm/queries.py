@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proplytics.llm import collocations, decontaminate, hardnegatives, jaccard, licences, mixing, neighbours, packing, pii, quality, sharding, tokencount
+from proplytics.llm import collocations, decontaminate, hardnegatives, jaccard, languages, licences, mixing, neighbours, packing, pii, quality, sharding, tokencount
 
 
 #: folder of public tokenizer files, and the pattern that belongs to its byte-level vocabularies
@@ -70,6 +70,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.fit(docs))
+    return found.withColumn("langs", F.array_join(F.transform("langs", lambda x: F.concat(x["lang"], F.lit(":"), F.format_number(x["share"], 3))), ","))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector."""
     return hardnegatives.mine(_table(spark, sf_dir, "embeddings"))
@@ -81,7 +88,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shards, op2_licences, op3_pii, op4_leaks, op5_mix, op6_token_counts, op7_jaccard, op8_packed, op9_quality, op10_neighbours,
-                                    op12_hard_negatives, op13_collocations)}
+                                    op11_languages, op12_hard_negatives, op13_collocations)}
 
 #: SQL twins, where SQL can say the whole result.
 ORACLES: dict[str, str] = {"op4_leaks": decontaminate.LEAKS_SQL, "op13_collocations": collocations.MINE_SQL,
