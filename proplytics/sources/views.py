@@ -268,3 +268,28 @@ SELECT o_orderkey AS page_id, source, CASE source WHEN 'homes' THEN concat('http
 FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source, CAST(o_orderkey AS STRING) AS k,
  CAST(CAST(floor(o_totalprice / CAST(100 AS DOUBLE)) AS BIGINT) + 1 AS STRING) AS man, CAST(1000 + o_orderkey % 9000 AS STRING) AS tail FROM orders) t
 """
+
+# prices that crawls found for a listing, at times no price
+VIEWS["sightings"] = """
+SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source,
+ concat('L', CAST(user_id AS STRING)) AS listing_id,
+ CASE event_type WHEN 'error' THEN CAST(NULL AS BIGINT) ELSE 5000000 + 1000000 * CAST(floor(value / CAST(25 AS DOUBLE)) AS BIGINT) END AS price, ts AS scraped_at FROM events
+"""
+
+# what the daily runs of each source found
+VIEWS["crawl_sightings"] = """
+SELECT CASE user_id % 5 WHEN 0 THEN 'suumo' WHEN 1 THEN 'homes' WHEN 2 THEN 'athome' WHEN 3 THEN 'akiya' ELSE 'bit' END AS source,
+ concat('L', CAST(user_id AS STRING)) AS listing_id, CAST(ts AS DATE) AS run_day, event_type <> 'error' AS found FROM events
+"""
+
+# one saved search per customer
+VIEWS["saved_searches"] = """
+SELECT c_custkey AS search_id, CAST(concat(CAST(1996 + c_custkey % 5 AS STRING), '-06-01') AS DATE) AS since,
+ CASE WHEN c_custkey % 4 IN (1, 2) THEN lpad(CAST(c_custkey * 7 % 47 + 1 AS STRING), 2, '0') ELSE CAST(NULL AS STRING) END AS prefecture_code,
+ CASE WHEN c_custkey % 4 = 0 THEN concat(lpad(CAST(c_custkey * 7 % 47 + 1 AS STRING), 2, '0'), CAST(101 + c_custkey * 7 % 12 AS STRING)) ELSE CAST(NULL AS STRING) END AS municipality_code,
+ CASE WHEN c_custkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(c_custkey * 104729 % 20000000 AS BIGINT) END AS price_min,
+ CASE WHEN c_custkey % 5 = 1 AND c_custkey % 4 < 3 THEN CAST(NULL AS BIGINT) ELSE CAST(c_custkey * 104729 % 20000000 + 150000 + c_custkey % 7 * 50000 AS BIGINT) END AS price_max,
+ CASE c_custkey % 6 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS rebuild_possible,
+ CASE WHEN c_custkey % 3 = 0 THEN CAST(100 AS DOUBLE) + CAST(c_custkey % 200 AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END AS land_min
+FROM customer
+"""
