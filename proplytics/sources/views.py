@@ -293,3 +293,18 @@ SELECT c_custkey AS search_id, CAST(concat(CAST(1996 + c_custkey % 5 AS STRING),
  CASE WHEN c_custkey % 3 = 0 THEN CAST(100 AS DOUBLE) + CAST(c_custkey % 200 AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END AS land_min
 FROM customer
 """
+
+# one map view per customer, from a few hundred metres to a few degrees
+VIEWS["viewports"] = """
+SELECT c_custkey AS box_id, lat - h AS south, lng - w AS west, lat + h AS north, lng + w AS east FROM (
+ SELECT c_custkey, CAST(30 AS DOUBLE) + CAST(c_custkey * 7919 % 150000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lat, CAST(130 AS DOUBLE) + CAST(c_custkey * 6007 % 150000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lng,
+  CASE c_custkey % 4 WHEN 0 THEN CAST(0.002 AS DOUBLE) WHEN 1 THEN CAST(0.05 AS DOUBLE) WHEN 2 THEN CAST(0.4 AS DOUBLE) ELSE CAST(-0.1 AS DOUBLE) + CAST(c_custkey % 9 AS DOUBLE) / CAST(10 AS DOUBLE) END AS h,
+  CASE c_custkey % 3 WHEN 0 THEN CAST(0.003 AS DOUBLE) WHEN 1 THEN CAST(0.08 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS w FROM customer) t
+"""
+
+# schools, surgeries and shops with the people who live there
+VIEWS["facilities"] = """
+SELECT p_partkey AS id, CAST(30 AS DOUBLE) + CAST(p_partkey * 7919 % 150000 AS DOUBLE) / CAST(10000 AS DOUBLE) + CAST(p_size % 5 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lat,
+ CAST(130 AS DOUBLE) + CAST(p_partkey * 6007 % 150000 AS DOUBLE) / CAST(10000 AS DOUBLE) + CAST(0.004 AS DOUBLE) AS lng,
+ CASE p_size % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'medical' ELSE 'shop' END AS kind, CASE WHEN p_size % 7 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(p_size AS BIGINT) * 10 END AS residents FROM part
+"""
