@@ -174,6 +174,15 @@ def _tiles(s):
     return feeds.tile_presence(s.tile_files)
 
 
+@query(
+    "src06_unknown_tiles",
+    over("tile_files", sql="SELECT replace(path, 'storm_surge', 'lava') AS path FROM tile_files WHERE contains(path, '/storm_surge/')"),
+)
+def _unknown_tiles(s):
+    """What goes to the quarantine when a layer arrives under a name that nobody knows."""
+    return feeds.unknown_tiles(s.tile_files.withColumn("path", F.replace("path", F.lit("storm_surge"), F.lit("lava"))))
+
+
 # --- parsing ----------------------------------------------------------------
 
 

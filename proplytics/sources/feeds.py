@@ -89,6 +89,10 @@ def features(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.withColumn("features", parsed["features"]).drop(body)
 
 
+#: layer, zoom, column and row in the path of a tile
+TILE_PATH = r"([A-Za-z_]+)/(\d+)/(\d+)/(\d+)\.[a-z]+$"
+
+
 def tile_presence(files: DataFrame) -> DataFrame:
     """(layer, z, x, y, present) from a file listing with path and length.
 
@@ -103,8 +107,7 @@ def unknown_tiles(files: DataFrame) -> DataFrame:
 
 
 def _tiles(files: DataFrame) -> DataFrame:
-    pattern = r"([A-Za-z_]+)/(\d+)/(\d+)/(\d+)\.[a-z]+$"
-    part = [F.regexp_extract("path", pattern, i) for i in range(1, 5)]
+    part = [F.regexp_extract("path", TILE_PATH, i) for i in range(1, 5)]
     return files.select(
         "path",
         part[0].alias("layer"),
@@ -116,6 +119,17 @@ def _tiles(files: DataFrame) -> DataFrame:
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """Tile listing of a landing folder; pruning leaves the bytes unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return tile_presence(files)
+    """Tile listing of a landing folder; pruning leaves the bytes unread. A file of an unknown layer is an error that names it."""
+    return tile_presence(known_tiles(landed_files(spark, path)))
+
+
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files below a folder, for ``read_tiles`` or, where unknown layers go to the quarantine, ``tile_presence`` and ``unknown_tiles``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def known_tiles(files: DataFrame) -> DataFrame:
+    """``files``, or an error where one belongs to no known layer."""
+    fault = F.raise_error(F.concat(F.lit("unknown layer: "), F.col("path")))
+    checked = F.when(F.regexp_extract("path", TILE_PATH, 1).isin(TILE_LAYERS), F.col("path")).otherwise(fault)
+    return files.select(checked.alias("path"), "length")
