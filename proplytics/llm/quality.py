@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,12 +102,13 @@ class Field:
     weights: np.ndarray
     steps: np.ndarray
 
-    def marginals(self, features: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(chance that a line is good, expected steps between labels) by forward-backward, all texts side by side."""
+    def marginals(self, features: np.ndarray, lines: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(chance that a line is good, expected steps between labels, by the ``weight`` of texts) by forward-backward, all texts side by side."""
         score = (features @ self.weights).astype(np.float64)
         at = np.concatenate([[0], np.cumsum(lines)[:-1]])
         order = np.argsort(-lines, kind="stable")
         at, lines = at[order], lines[order]
+        weight = np.ones(len(lines)) if weight is None else weight[order]
         most = int(lines[0]) if len(lines) else 0
         live = [int(np.searchsorted(-lines, -t, "left")) for t in range(most)]  # texts with more than t lines
         step = np.exp(self.steps - self.steps.max())
@@ -127,7 +129,7 @@ class Field:
                 k = live[t + 1]
                 coming = emit[rows[:k] + 1] * back[:k]
                 pair = ahead[rows[:k]][:, :, None] * step[None] * coming[:, None, :]
-                crossed += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+                crossed += (weight[:k, None, None] * pair / pair.sum((1, 2), keepdims=True)).sum(0)
                 now = coming @ step.T
                 back[:k] = now / now.sum(1, keepdims=True)
             both = ahead[rows] * back[: live[t]]
@@ -135,19 +137,19 @@ class Field:
         return good, crossed
 
     @staticmethod
-    def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, rounds: int, start: Field | None = None, ridge: float = 1e-3) -> Field:
-        """Maximum conditional likelihood of line ``labels``, by Adam over the whole sample."""
+    def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int, start: Field | None = None, ridge: float = 1e-3) -> Field:
+        """Maximum conditional likelihood of line ``labels``, by Adam over the whole sample; the lines of a text weigh ``weight`` each."""
         field = start or Field(np.zeros(features.shape[1]), np.zeros((2, 2)))
         first = np.zeros(len(labels), bool)
         first[np.concatenate([[0], np.cumsum(lines)[:-1]])] = True
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[:-1][~first[1:]], labels[1:][~first[1:]]), 1)
+        each, seen = np.repeat(weight, lines), np.zeros((2, 2))
+        np.add.at(seen, (labels[:-1][~first[1:]], labels[1:][~first[1:]]), each[1:][~first[1:]])
         value = np.concatenate([field.weights, field.steps.ravel()])
         mean, square = np.zeros_like(value), np.zeros_like(value)
         for k in range(1, rounds + 1):
             field = Field(value[:-4], value[-4:].reshape(2, 2))
-            good, crossed = field.marginals(features, lines)
-            slope = np.concatenate([features.T @ (labels - good), (seen - crossed).ravel()]) / len(labels) - ridge * value
+            good, crossed = field.marginals(features, lines, weight)
+            slope = np.concatenate([features.T @ (each * (labels - good)), (seen - crossed).ravel()]) / each.sum() - ridge * value
             mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
             value = value + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
         return Field(value[:-4], value[-4:].reshape(2, 2))
@@ -202,37 +204,62 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` learnable ids, half of each label, lowest hashes first. Rows of one id share its label."""
+    """(label, text) of at most ``sample`` learnable ids, half of each label, lowest hashes first. Rows of one id share its label; of many, the four lowest hashes count."""
     known = learnable(labels)
     halves = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     # at most ``sample`` rows of two numbers
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4).select("label", "text")
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column(1)
-        for first, last in pieces(text):
-            features, size, lines = line_features(*text_bytes(text.slice(first, last - first)))
-            at = np.concatenate([[0], np.cumsum(lines)])
-            yield pa.record_batch({
-                "label": batch.column(0).slice(first, last - first),
-                "features": pa.array([features[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-                "size": pa.array([size[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-            })
+def _measure(sequence: int):
+    """Features of ``sequence`` lines of each text at most: a stretch that begins where the hash of the text says. Neighbours are those of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1)
+            for first, last in pieces(text):
+                data, starts = text_bytes(text.slice(first, last - first))
+                features, size, lines = line_features(data, starts)
+                at = np.concatenate([[0], np.cumsum(lines)[:-1]])
+                spare = np.maximum(lines - sequence, 0)
+                begin = at + [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) % (int(k) + 1) for a, b, k in zip(starts, starts[1:], spare)]
+                end = np.minimum(begin + sequence, at + lines)
+                yield pa.record_batch({
+                    "label": batch.column(0).slice(first, last - first),
+                    "features": pa.array([features[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
+                })
+
+    return run
+
+
+def _measure_shares(field: Field):
+    """Share of good text and length of each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1)
+            for first, last in pieces(text):
+                features, size, lines = line_features(*text_bytes(text.slice(first, last - first)))
+                share, words = _shares(field.marginals(features, lines)[0], features, size, lines)
+                yield pa.record_batch({"label": batch.column(0).slice(first, last - first), "share": pa.array(share, pa.float64()), "words": pa.array(words, pa.float64())})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sequence: int = 200, rounds: int = 120) -> Model:
-    """Fit on at most ``sample`` labelled rows, of which the first ``sequence`` lines each are learnt from.
+    """Fit on at most ``sample`` labelled ids (four rows of each), of which a stretch of ``sequence`` lines each is learnt from.
 
-    Both bound the sample that the driver holds and nothing else: scores read whole texts. Lines start with the label of
-    their text; twice, lines of bad texts that the field takes for good are then relabelled, the worst line excepted. The shares
-    of the labels in the prior and in the curve are those of all learnable labels, not of the sample. Without rows of both
+    Both bound the sample that the driver holds and nothing else: scores, and the curve from share to score, read whole texts. Lines start with
+    the label of their text; twice, lines of bad texts that the field takes for good are then relabelled, the worst line excepted. The
+    shares of the labels in the prior and in the curve are those of all learnable labels, not of the sample. Without rows of both
     labels nothing is fitted and every text gets the share of label 1 (0.5 without labels).
     """
     count = {r["label"]: r["count"] for r in learnable(labels).where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
-    rows = training_rows(docs, labels, sample).mapInArrow(_measure, "label int, features binary, size binary").limit(4 * sample).collect()
+    texts = training_rows(docs, labels, sample)
+    rows = texts.mapInArrow(_measure(sequence), "label int, features binary").collect()
     label = np.array([r["label"] for r in rows], int)
     prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
     width = 1 + 3 * len(FEATURES) + 2
@@ -241,18 +268,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sequence: int =
     # rows come back in no fixed order: sort them, so that reruns fit the same field
     order = sorted(range(len(rows)), key=lambda i: (label[i], bytes(rows[i]["features"])))
     label = label[order]
-    held = [np.frombuffer(rows[i]["features"], np.float32).reshape(-1, width)[:sequence] for i in order]
-    size = np.concatenate([np.frombuffer(rows[i]["size"], np.float32)[:sequence] for i in order])
+    held = [np.frombuffer(rows[i]["features"], np.float32).reshape(-1, width) for i in order]
     lines, features = np.array([len(x) for x in held]), np.concatenate(held).astype(np.float64)
     at = np.concatenate([[0], np.cumsum(lines)[:-1]])
     truth = np.repeat(label, lines)
-    field = Field.fit(features, lines, truth, rounds)
+    # both labels weigh the same, and so do the texts of a label: the curve, not the field, knows how rare bad texts are
+    even = 1 / (np.bincount(label, minlength=2)[label] * lines)
+    field = Field.fit(features, lines, truth, even, rounds)
     for _ in range(2):
         good = field.marginals(features, lines)[0]
         worst = good <= np.repeat(np.minimum.reduceat(good, at), lines)
         again = np.where((truth == 0) & (good > 0.5) & ~worst, 1, truth)
-        field = Field.fit(features, lines, again, rounds, field)
-    share, words = _shares(field.marginals(features, lines)[0], features, size, lines)
+        field = Field.fit(features, lines, again, even, rounds, field)
+    # at most four rows of three numbers for each id of the sample
+    shares = sorted(tuple(r) for r in texts.mapInArrow(_measure_shares(field), "label int, share double, words double").collect())
+    label, share, words = (np.array(x) for x in zip(*shares))
     # rows weigh what their label weighs among all, and one on average
     weight = np.array([count[k] / (label == k).sum() for k in (0, 1)])[label] * len(label) / sum(count.values())
     slope, offset = _curve(share[words > 0], label[words > 0], weight[words > 0])
