@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proplytics.llm.common import pieces, text_bytes, written
+from proplytics.llm.common import HashRuns, pieces, text_bytes, written
 
 #: orders counted in the second and third reading, and the orders whose map each of them asks
 LEVELS = (((1, 2, 3), (1, 2)), ((4, 5), (3,)))
 #: entries of a container before it bursts; entries, words and hashes that a task holds before it spills; bits of the map of what may be frequent
-BURST, HOLD, WORDS, HASHES, BITS = 1 << 12, 1 << 19, 1 << 19, 1 << 22, 26
+BURST, HOLD, WORDS, HASHES, BITS = 1 << 12, 1 << 19, 1 << 19, 1 << 21, 26
 #: words of a phrase that say in which partition its runs are added up; hashes of a bucket at most, and bits of a hash within its bucket
 PREFIX, BUCKET, REST = 3, 1 << 20, 26
 #: languages whose numbers of words are sent to all tasks; where there are more, they are joined
@@ -133,15 +133,6 @@ def _phrase_keys(phrases: DataFrame, order: int, width: int) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "key long")
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """4-byte numbers by byte: all lowest bytes first. Small numbers leave runs of zeros, which the shuffle packs."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def pair_keys(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
     """(key) of the words and word pairs whose hashes are counted ``least`` times or more, and the width of the keys.
 
@@ -154,55 +145,20 @@ def pair_keys(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
     width = high + REST
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number, fresh, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([held, *fresh])
-            weights = np.concatenate([number, np.ones(waiting, np.int64)])
-            order = np.argsort(keys, kind="stable")
-            keys, weights = keys[order], weights[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            return keys[first], np.add.reduceat(weights, first) if len(first) else weights
-
-        def runs() -> Iterator[pa.RecordBatch]:
-            if not len(held):
-                return
-            bucket, rest = (held >> np.uint64(REST)).astype(np.int64), held & np.uint64((1 << REST) - 1)
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            step = np.diff(rest.astype(np.int64), prepend=0)
-            step[at] = rest[at]
-            for i in range(0, len(at), 4096):
-                some, ends = at[i : i + 4096], np.concatenate([at[1:], [len(held)]])[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket[some]), pa.array([_planes(step[a:b]) for a, b in zip(some, ends)], pa.binary()),
-                    pa.array([_planes(np.minimum(number[a:b], (1 << 32) - 1)) for a, b in zip(some, ends)], pa.binary())], ["bucket", "steps", "counts"])
-
+        held = HashRuns(REST, HASHES)
         for batch in batches:
             for first, last in pieces(batch.column(1)):
                 _, hashes, piece, _, lang = _hashed(batch.column(1).slice(first, last - first), batch.column(0).slice(first, last - first))
                 pair = np.flatnonzero(piece[1:] == piece[:-1])
                 for keys in (_keys(lang, [hashes]), _keys(lang[pair], [hashes[pair], hashes[pair + 1]])):
-                    fresh.append(keys >> np.uint64(64 - width))
-                    waiting += len(keys)
-                if waiting > HASHES:
-                    held, number = merged()
-                    fresh, waiting = [], 0
-                    if len(held) > HASHES:
-                        yield from runs()
-                        held, number = held[:0], number[:0]
-        held, number = merged()
-        yield from runs()
+                    yield from held.add(keys >> np.uint64(64 - width))
+        yield from held.runs()
 
     def add(group: pa.Table) -> pa.Table:
-        bucket = group["bucket"][0].as_py()
-        keys = np.concatenate([np.cumsum(_from_planes(x.as_py()).astype(np.int64)) for x in group["steps"]])
-        counts = np.concatenate([_from_planes(x.as_py()).astype(np.int64) for x in group["counts"]])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return pa.table({"key": keys[first][np.add.reduceat(counts, first) >= least] | (bucket << REST)})
-
-    runs = texts.mapInArrow(count, "bucket long, steps binary, counts binary")
+        bucket, keys, counts = HashRuns.added(group)
+        return pa.table({"key": keys[counts >= least] | (bucket << REST)})
+
+    runs = texts.mapInArrow(count, HashRuns.SCHEMA)
     return written(runs.groupBy("bucket").applyInArrow(add, "key long")), width
 
 

@@ -107,3 +107,72 @@ def pieces(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
         yield first, last
         first = last
+
+
+# --- counting hashes -----------------------------------------------------------------
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """4-byte numbers by byte: all lowest bytes first. Small numbers leave runs of zeros, which the shuffle packs."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class HashRuns:
+    """Counts of hashes within a task, handed on as sorted runs: one row (bucket, steps, counts) for each bucket of a run.
+
+    The bucket of a hash is what stands above its lowest ``rest`` bits. At most ``most`` hashes are held, twice as many while they are sorted.
+    """
+
+    SCHEMA = "bucket long, steps binary, counts binary"
+
+    def __init__(self, rest: int, most: int):
+        self.rest, self.most = rest, most
+        self.keys, self.counts, self.fresh, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count ``keys``; runs come out when too many are held."""
+        self.fresh.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > self.most:
+            self._fold()
+            if len(self.keys) > self.most:
+                yield from self.runs()
+
+    def _fold(self) -> None:
+        self.keys, self.counts = _folded(np.concatenate([self.keys, *self.fresh]), np.concatenate([self.counts, np.ones(self.waiting, np.int64)]))
+        self.fresh, self.waiting = [], 0
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        """All that is held."""
+        self._fold()
+        keys, counts = self.keys, np.minimum(self.counts, (1 << 32) - 1)
+        self.keys, self.counts = keys[:0], counts[:0]
+        if not len(keys):
+            return
+        bucket, low = (keys >> np.uint64(self.rest)).astype(np.int64), (keys & np.uint64((1 << self.rest) - 1)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        step = np.diff(low, prepend=0)
+        step[at] = low[at]
+        ends = np.concatenate([at[1:], [len(keys)]])
+        for i in range(0, len(at), 4096):
+            some = list(zip(at[i : i + 4096], ends[i : i + 4096]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[i : i + 4096]]), pa.array([_planes(step[a:b]) for a, b in some], pa.binary()),
+                                              pa.array([_planes(counts[a:b]) for a, b in some], pa.binary())], ["bucket", "steps", "counts"])
+
+    @staticmethod
+    def added(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        """(bucket, distinct hashes without their bucket, counts) of all runs of one bucket."""
+        low = np.concatenate([np.cumsum(_from_planes(x.as_py()).astype(np.int64)) for x in group["steps"]])
+        return group["bucket"][0].as_py(), *_folded(low, np.concatenate([_from_planes(x.as_py()).astype(np.int64) for x in group["counts"]]))

@@ -1,8 +1,10 @@
 """Exact Jaccard join on word n-grams with signature trees.
 
-Documents with equal sets are one class. Sets that link differ in at most D tokens, and D follows from their sizes. Tokens are
-dealt over D + 1 + m parts by hash; two linked sets agree in m + 1 parts at least, so in one with enough tokens to tell documents apart.
-Classes that agree in a part hang together, and what hangs together is a family: near copies, and hardly anything else.
+Documents with equal sets are one class. Tokens are put in one order, rarest first: how often each occurs is counted by its hash, and three
+bit maps of bounded size say which tokens occur at least 2, 8 and 64 times. Two linked sets share a token among the first
+``n - ceil(percent * n) + 1`` of each. Tokens that occur once are shared with nobody, so a set of which enough tokens are its own has
+no key at all, whatever passages it has in common with others. Classes that share a key hang together, and what hangs
+together is a family.
 
 A family stands in signature trees, whose nodes hold the OR of their members' token bitmaps and their range of sizes. A walk over
 pairs of nodes drops a pair as soon as sizes, or the largest overlap that the bitmaps allow, are too small; what is left is compared
@@ -21,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proplytics.llm.common import compact, components, pieces, written
+from proplytics.llm.common import HashRuns, compact, components, pieces, written
 
-#: tokens that one task compares, and bits of the filter of shared parts at most
+#: tokens that one task compares, and bits of a filter of rows at most
 CHUNK, FILTER_BITS = 1 << 21, 1 << 27
-#: sizes of one band differ by this factor at most; parts with fewer tokens than this are left out where that is safe
-BAND, TOKENS = 1.5, 4
+#: occurrences from which tokens stand later in the order, and bits of the map of each at most
+LEVELS, LEVEL_BITS = (2, 8, 64), (27, 25, 25)
+#: hashes that a task holds, hashes of a bucket, bits of a hash within its bucket, and of the number of buckets at most
+HASHES, BUCKET, REST, HIGH = 1 << 20, 1 << 20, 26, 22
 LEAF, FAN = 16, 8
 
 
@@ -60,55 +64,28 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, D, parts) for each band in which a set of ``n`` tokens can meet one that is not smaller.
-
-    Band b ends at BAND^(b + 1); a pair meets in the band of its larger set. D is the most tokens in which a pair of the band differs.
-    """
-    out, b = [], 0
-    while BAND ** (b + 1) < n:
-        b += 1
-    while b == 0 or 100 * n >= percent * BAND**b:
-        most = int(BAND ** (b + 1))
-        differ = (100 - percent) * 2 * most // (100 + percent)
-        spare = -(-(differ + 1) * 6 * (100 - percent) // (5 * percent))
-        if differ:  # else only equal sets link
-            out.append((b, differ, differ + 1 + spare))
-        b += 1
-        if percent == 100:
-            break
-    return out
+class Order:
+    """The order of tokens: by level (how many of ``maps`` hold their hash), then by value."""
 
+    def __init__(self, width: int, maps: list[np.ndarray]):
+        self.width, self.maps = width, maps
 
-def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a set, by band: two linked sets share one.
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        key, out = tokens >> np.uint64(64 - self.width), np.zeros(len(tokens), np.int64)
+        for bits in self.maps:
+            place = key >> np.uint64(self.width - (8 * len(bits)).bit_length() + 1)
+            out += (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+        return out
 
-    Linked sets agree in parts - D parts or more. Parts with fewer than k tokens are left out if there are at most parts - D - 1 of them,
-    so one that agrees is left in; of two sets with different k, that with the larger k keeps such a part and so does the other.
-    """
-    out = []
-    for band, differ, parts in bands(len(tokens), percent):
-        of = (tokens % np.uint64(parts)).astype(np.int64)
-        count = np.bincount(of, minlength=parts)
-        order = np.argsort(of, kind="stable")
-        sums = np.zeros(parts, np.uint64)
-        full = np.flatnonzero(count)
-        starts = np.concatenate([[0], np.cumsum(count[full])[:-1]]).astype(np.int64)
-        if len(full):
-            sums[full] = np.add.reduceat(_mixed(tokens[order]), starts)
-        k = TOKENS
-        while k and (count < k).sum() > parts - differ - 1:
-            k -= 1
-        keep = np.flatnonzero(count >= k)
-        name = (np.uint64(band) << np.uint64(56)) ^ (keep.astype(np.uint64) << np.uint64(24)) ^ count[keep].astype(np.uint64)
-        out.append(_mixed(sums[keep] + _mixed(name)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    def keys(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """The first tokens of a sorted set, without those of level 0: two linked sets that are not the only ones with a token share one."""
+        first = len(tokens) - -(-percent * len(tokens) // 100) + 1 if len(tokens) else 0
+        level = self.levels(tokens)
+        first -= int((level == 0).sum())
+        if first <= 0:
+            return tokens[:0]
+        shared = np.flatnonzero(level)
+        return tokens[shared[np.argsort(level[shared], kind="stable")[:first]]]
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -238,40 +215,72 @@ def exact(percent: int, sets: list[np.ndarray], union: Union, side: np.ndarray |
     return walk(trees[0], trees[-1], percent, union, lambda u, v: linked(sets[u], sets[v], percent))
 
 
-def _keys(words: int, percent: int):
-    """The part keys of each text."""
+def _count(words: int, width: int):
+    """Set size and class of each text, and runs of the hashes of all tokens: rows of both kinds, the former without a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = HashRuns(REST, HASHES)
+
+        def padded(runs: Iterator[pa.RecordBatch], like: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for r in runs:
+                yield pa.RecordBatch.from_arrays([pa.nulls(r.num_rows, like.column(0).type), pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), *r.columns],
+                                                 ["doc_id", "row_key", "n", "cls", *r.schema.names])
+
+        batch = None
         for batch in batches:
-            for first, last in pieces(batch.column(0)):
-                found = [part_keys(shingles(t, words), percent) for t in batch.column(0).slice(first, last - first).to_pylist()]
-                yield pa.record_batch({"key": pa.array(np.concatenate(found).view(np.int64), pa.int64())})
+            texts = batch.column(1)
+            for first, last in pieces(texts):
+                sets = [shingles(t, words) for t in texts.slice(first, last - first).to_pylist()]
+                if sets:
+                    yield from padded(held.add(np.concatenate(sets) >> np.uint64(64 - width)), batch)
+                k = len(sets)
+                cls = [xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) if len(t) else None for t in sets]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(first, k), batch.column(2).slice(first, k), pa.array([len(t) for t in sets], pa.int64()), pa.array(cls, pa.int64()),
+                    pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], ["doc_id", "row_key", "n", "cls", "bucket", "steps", "counts"])
+        if batch is not None:
+            yield from padded(held.runs(), batch)
 
     return run
 
 
-def _prepare(words: int, percent: int, filtered: np.ndarray):
-    """Set size, class and those part keys of each text that pass the filter."""
-    bits = np.uint64(8 * len(filtered) - 1)
+def order_of(runs: DataFrame, width: int) -> Order:
+    """The order by the counts of all runs. A bucket is a stretch of each map, so maps are put together from one row a bucket."""
+    high = width - REST
+    powers = [max(high + 3, min(p, width)) for p in LEVEL_BITS]
+
+    def add(group: pa.Table) -> pa.Table:
+        bucket, low, counts = HashRuns.added(group)
+        maps = []
+        for least, power in zip(LEVELS, powers):
+            bits = np.zeros(1 << (power - high), np.uint8)
+            bits[low[counts >= least] >> (width - power)] = 1
+            maps.append(np.packbits(bits, bitorder="little").tobytes())
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "maps": pa.array([maps], pa.list_(pa.binary()))})
+
+    rows = runs.groupBy("bucket").applyInArrow(add, "bucket long, maps array<binary>").toArrow()
+    maps = [np.zeros(1 << (power - 3), np.uint8) for power in powers]
+    for bucket, found in zip(rows["bucket"].to_pylist(), rows["maps"].to_pylist()):
+        for whole, part in zip(maps, found):
+            whole[bucket * len(part) : (bucket + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    return Order(width, maps)
+
+
+def _heads(words: int, percent: int, order):
+    """(cls, key) of each text that has keys; equal sets of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            for first, last in pieces(texts):
-                count, cls, heads = [], [], []
-                for text in texts.slice(first, last - first).to_pylist():
-                    tokens = shingles(text, words)
-                    keys = part_keys(tokens, percent)
-                    at = keys & bits
-                    keys = keys[(filtered[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
-                    count.append(len(tokens))
-                    cls.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
-                    heads.append(keys.view(np.int64))
-                at = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(count, pa.int64()),
-                    pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(heads), pa.int64())),
-                ], ["doc_id", "row_key", "n", "cls", "head"])
+            for first, last in pieces(batch.column(0)):
+                found = {}
+                for t in set(batch.column(0).slice(first, last - first).to_pylist()):
+                    tokens = shingles(t, words)
+                    keys = order.value.keys(tokens, percent)
+                    if len(keys):
+                        found[xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)] = keys
+                if found:
+                    cls = np.repeat(np.array(list(found), np.int64), [len(k) for k in found.values()])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(list(found.values())).view(np.int64))], ["cls", "key"])
 
     return run
 
@@ -364,14 +373,16 @@ def similar_documents(docs: DataFrame, words: int = 3, percent: int = 90, chunk:
 def _classed(docs: DataFrame, words: int, percent: int, chunk: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row_key, n, cls, component, component_id) of every row; a component goes by the smallest of its classes."""
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    keys = rows.select("text").mapInArrow(_keys(words, percent), "key long").groupBy("key").agg(F.count("*").alias("k"))
-    keys = written(keys.where("k > 1").select("key"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, n long, cls long, head array<long>"
-    ready = written(rows.mapInArrow(_prepare(words, percent, filter_of(keys)), schema))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = REST + int(min(HIGH, max(6, np.ceil(np.log2((size + 2) / 2 / BUCKET)))))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counted = written(rows.mapInArrow(_count(words, width), f"doc_id {kind}, row_key long, n long, cls long, {HashRuns.SCHEMA}"))
+    ready = counted.where("bucket is null").select("doc_id", "row_key", "n", "cls")
+    order = docs.sparkSession.sparkContext.broadcast(order_of(counted.where("bucket is not null").select("bucket", "steps", "counts"), width))
     classes = written(ready.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key"), F.max("n").alias("n")))
 
-    # classes that agree in a part hang together, by the smallest class of the part
-    heads = ready.select("cls", F.explode("head").alias("key")).distinct()
+    # classes that share a key hang together, by the smallest class of the key
+    heads = written(rows.select("text").mapInArrow(_heads(words, percent, order), "cls long, key long"))
     least = written(heads.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).where("b < c").select("key", "b"))
     family = components(heads.join(least, "key").select(F.col("cls").alias("a"), "b").distinct())
     family = written(family.select(F.col("component").alias("grp"), F.col("node").alias("cls")))
@@ -383,29 +394,7 @@ def _classed(docs: DataFrame, words: int, percent: int, chunk: int, doc_id: str,
     named = classes.join(label, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "component").select("cls", "component", "component_id"))
-    return ready.drop("head").join(named, "cls", "left")
-
-
-def _across(texts: DataFrame, links: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
-    """``links`` and those between chunks: all classes outside the largest component of a family against all chunks of it."""
-    label = components(links).withColumnRenamed("node", "cls")
-    known = written(texts.select("cls", "family", "chunk", F.length("text").alias("long")).join(label, "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")))
-    largest = known.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    known = known.join(largest, "family")
-    probes = known.where("component <> main")
-    # a block of probes is about as large as a chunk
-    blocks = probes.groupBy("family").agg(F.ceil(F.sum("long") / F.lit(8 * chunk)).cast("int").alias("blocks"))
-    probes = probes.join(blocks, "family").select("cls", "family", "component", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
-    chunks = known.select("family", "chunk").distinct()
-    blocks = written(blocks)
-    columns = ["family", "block", "chunk", "cls", "component"]
-    left = probes.join(chunks, "family").select(*columns, F.lit(True).alias("probe"))
-    right = known.join(blocks, "family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = written(left.unionByName(right.select(*columns, F.lit(False).alias("probe"))))
-    meet = meet.join(texts.select("cls", "text"), "cls").groupBy("family", "block", "chunk")
-    return written(links.unionByName(meet.applyInPandas(_between(words, percent), "a long, b long")))
+    return ready.join(named, "cls", "left")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -68,23 +68,58 @@ def test_odd_rows(spark):
     check(spark, edge_rows(), 3, 90)
 
 
+def order_over(spark, sets, width=40):
+    """The order of tokens by their counts over some sets."""
+    runs = jaccard.HashRuns(jaccard.REST, 1 << 12)
+    rows = [r for s in sets for b in runs.add(s >> np.uint64(64 - width)) for r in b.to_pylist()] + [r for b in runs.runs() for r in b.to_pylist()]
+    return jaccard.order_of(spark.createDataFrame([tuple(r.values()) for r in rows], jaccard.HashRuns.SCHEMA), width)
+
+
+def test_levels_are_those_of_the_counts(spark):
+    rnd = np.random.default_rng(7)
+    pool = rnd.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rnd.choice(pool[: 10**k], 40) for k in (1, 2, 3)])) for _ in range(300)]
+    count = Counter(int(t) for s in sets for t in s)
+    order = order_over(spark, sets)
+    tokens = np.array(sorted(count), np.uint64)
+    want = np.array([sum(count[int(t)] >= least for least in jaccard.LEVELS) for t in tokens])
+    assert (order.levels(tokens) >= want).all() and (order.levels(tokens) == want).mean() > 0.99
+    assert order.levels(rnd.integers(0, 2**63, 1000, dtype=np.uint64)).mean() < 0.01
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
-def test_linked_sets_share_a_part(percent):
+def test_linked_sets_share_a_key(spark, percent):
     rnd = np.random.default_rng(percent)
-    for _ in range(1500):
+    passage = rnd.integers(0, 2**63, 30).astype(np.uint64)
+    pairs = []
+    for _ in range(800):
         n = int(rnd.integers(1, 120))
-        both = rnd.integers(0, 2**63, n).astype(np.uint64)
-        a, b = (np.unique(np.concatenate([both, rnd.integers(0, 2**63, int(rnd.integers(0, 1 + n * (100 - percent) // percent))).astype(np.uint64)])) for _ in range(2))
-        if jaccard.linked(a, b, percent) and not np.array_equal(a, b):
-            assert len(np.intersect1d(jaccard.part_keys(a, percent), jaccard.part_keys(b, percent)))
+        both = np.concatenate([rnd.integers(0, 2**63, n).astype(np.uint64), passage[: int(rnd.integers(0, 31))]])
+        pairs.append([np.unique(np.concatenate([both, rnd.integers(0, 2**63, int(rnd.integers(0, 1 + n * (100 - percent) // percent))).astype(np.uint64)])) for _ in range(2)])
+    order = order_over(spark, [s for pair in pairs for s in pair])
+    linked = [(a, b) for a, b in pairs if jaccard.linked(a, b, percent) and not np.array_equal(a, b)]
+    assert len(linked) > 50
+    for a, b in linked:
+        assert len(np.intersect1d(order.keys(a, percent), order.keys(b, percent)))
+    # maps that hold everything change the order, not the guarantee
+    full = jaccard.Order(40, [np.full(1 << 10, 255, np.uint8)] * 2)
+    for a, b in linked:
+        assert len(np.intersect1d(full.keys(a, percent), full.keys(b, percent)))
+
+
+def test_a_common_passage_gives_no_key(spark):
+    rnd = np.random.default_rng(1)
+    common = rnd.integers(0, 2**63, 60).astype(np.uint64)  # a passage that all have
+    sets = [np.unique(np.concatenate([common, rnd.integers(0, 2**63, 150).astype(np.uint64)])) for _ in range(300)]
+    order = order_over(spark, sets)
+    assert sum(len(order.keys(s, 80)) for s in sets) == 0
 
 
-def test_strangers_share_no_part():
-    rnd = np.random.default_rng(1)
-    common = rnd.integers(0, 2**63, 12).astype(np.uint64)  # a passage that all have
-    keys = [jaccard.part_keys(np.unique(np.concatenate([common, rnd.integers(0, 2**63, 150).astype(np.uint64)])), 90) for _ in range(300)]
-    _, count = np.unique(np.concatenate(keys), return_counts=True)
-    assert (count > 1).sum() < 5
+def test_small_bounds_change_nothing(spark, monkeypatch):
+    # runs in many parts, few buckets, maps of 2 ** 10 bits that say yes to nearly everything
+    for name, value in (("HASHES", 200), ("REST", 12), ("LEVEL_BITS", (10, 10, 10))):
+        monkeypatch.setattr(jaccard, name, value)
+    check(spark, near_copies(8, 8, 6, 60, 4) + edge_rows(), 5, 80)
 
 
 def test_chunks_give_the_same_components(spark):
