@@ -65,21 +65,23 @@ def _part_keys(hashes: Column, k: Column) -> Column:
     paired = k <= PAIRED_UP_TO
     parts = F.when(paired, k + 2).otherwise(k + 1)
     indexes = F.sequence(F.lit(0), parts - 1)
+    # each part is hashed once with its number; a pair is the hash of two such hashes
+    hashed = F.transform(indexes, lambda i: F.xxhash64(k, i, F.filter(hashes, lambda h: F.pmod(h, parts) == i)))
 
-    def key(i: Column, j: Column) -> Column:
-        inside = F.filter(hashes, lambda h: (F.pmod(h, parts) == i) | (F.pmod(h, parts) == j))
-        return F.xxhash64(k, i, j, inside)
+    def partners(one: Column, i: Column) -> Column:
+        later = F.slice(hashed, i + 2, parts)
+        return F.when(paired, F.transform(later, lambda other: F.xxhash64(one, other))).otherwise(F.array(one))
 
-    def partners(i: Column) -> Column:
-        later = F.filter(indexes, lambda j: j > i)
-        return F.when(paired, F.transform(later, lambda j: key(i, j))).otherwise(F.array(key(i, i)))
-
-    return F.flatten(F.transform(indexes, partners))
+    return F.flatten(F.transform(hashed, partners))
 
 
 def similarity_keys(texts: DataFrame, text: str) -> DataFrame:
-    """(text, tokens, n, k, key) rows of distinct texts."""
-    tokens = texts.select(text).distinct().withColumn("tokens", bigrams(F.col(text))).where(F.size("tokens") > 0)
+    """(text, tokens, n, k, key) rows of distinct texts.
+
+    Only the empty text has no bigram. The filter names the text and not its tokens: below the
+    distinct it would cut every row into bigrams, and spell the text out anew for each of them.
+    """
+    tokens = texts.select(text).where(F.col(text) != "").distinct().withColumn("tokens", bigrams(F.col(text)))
     sized = tokens.withColumns(
         {
             "n": F.size("tokens"),
@@ -103,8 +105,10 @@ def similarity_keys(texts: DataFrame, text: str) -> DataFrame:
 def similar_texts(left: DataFrame, right: DataFrame, text: str = "address_normalized") -> DataFrame:
     """(l, r, score) of distinct texts with bigram Jaccard of at least 0.85, equal texts included.
 
-    Equal texts never enter the candidate join: they are an equality join of their own.
+    Equal texts never enter the candidate join: they are an equality join of their own. Both
+    joins read the distinct texts, so these are written once.
     """
+    left, right = (materialise(side.select(text).where(F.col(text) != "").distinct()) for side in (left, right))
     a = similarity_keys(left, text).select(F.col(text).alias("l"), F.col("tokens").alias("lt"), F.col("n").alias("ln"), "k", "key")
     b = similarity_keys(right, text).select(F.col(text).alias("r"), F.col("tokens").alias("rt"), F.col("n").alias("rn"), "k", "key")
     shared = F.size(F.array_intersect("lt", "rt"))
@@ -116,8 +120,8 @@ def similar_texts(left: DataFrame, right: DataFrame, text: str = "address_normal
     # a pair can meet under several keys; one row per pair, combined map-side
     near = verified.groupBy("l", "r").agg(F.first("score").alias("score"))
     equal = (
-        left.select(F.col(text).alias("l")).distinct().where(F.col("l") != "")
-        .join(right.select(F.col(text).alias("r")).distinct(), F.col("l") == F.col("r"))
+        left.select(F.col(text).alias("l"))
+        .join(right.select(F.col(text).alias("r")), F.col("l") == F.col("r"))
         .select("l", "r", F.lit(1.0).alias("score"))
     )
     return near.unionByName(equal)
@@ -127,14 +131,17 @@ def match_similar(listings: DataFrame, properties: DataFrame) -> DataFrame:
     """Tier 2: (key, match_id, score); best score, then lowest id.
 
     A candidate's written address must hold the listing's municipality. Listings and properties
-    meet as distinct (address, municipality) and (normalised, written) texts.
+    meet as distinct (address, municipality) and (normalised, written) texts. The listings are
+    read three times and the written addresses twice, so both are written out: a normalised
+    address is spelled out once a row.
     """
-    usable = (F.col("address_normalized") != "") & F.col("municipality").isNotNull() & (F.col("municipality") != "")
-    asked = listings.where(usable)
+    named = listings.where(F.col("municipality").isNotNull() & (F.col("municipality") != ""))
+    # empty texts are left out where the tables are read: ahead of that the filter would spell every text out twice
+    asked = materialise(named.select("key", "address_normalized", "municipality")).where(F.col("address_normalized") != "")
     wanted = asked.select(F.col("address_normalized").alias("l"), "municipality").distinct()
-    store = properties.where(F.col("address_normalized") != "")
-    written = store.groupBy(F.col("address_normalized").alias("r"), "address_ja").agg(F.min("id").alias("id"))
-    pairs = similar_texts(asked, store)
+    store = properties.groupBy("address_normalized", "address_ja").agg(F.min("id").alias("id"))
+    written = materialise(store.withColumnRenamed("address_normalized", "r")).where(F.col("r") != "")
+    pairs = similar_texts(asked, written.select(F.col("r").alias("address_normalized")))
     hits = pairs.join(wanted, "l").join(written, "r").where(F.contains("address_ja", "municipality"))
     best = hits.groupBy("l", "municipality").agg(
         F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), "id")).alias("_b")
@@ -142,9 +149,7 @@ def match_similar(listings: DataFrame, properties: DataFrame) -> DataFrame:
     best = best.select(
         F.col("l").alias("address_normalized"), "municipality", F.col("_b.id").alias("match_id"), F.col("_b.score").alias("score")
     )
-    return asked.select("key", "address_normalized", "municipality").join(
-        best, ["address_normalized", "municipality"]
-    ).select("key", "match_id", "score")
+    return asked.join(best, ["address_normalized", "municipality"]).select("key", "match_id", "score")
 
 
 # --- tier 3: nearby points ----------------------------------------------------
@@ -294,15 +299,18 @@ def match_cascade(listings: DataFrame, properties: DataFrame) -> DataFrame:
     """(key, match_id, tier, score): the first tier that finds a property for each listing.
 
     listings(key, address_normalized, municipality, lat, lng); later tiers see only what the
-    earlier ones left over. Each tier is written out: two later steps read it.
+    earlier ones left over. Each tier is written out: two later steps read it. So are the inputs,
+    which every tier reads: an address is normalised once.
     """
     none = F.lit(None).cast("double")
+    listings = materialise(listings.select("key", "address_normalized", "municipality", "lat", "lng"))
+    properties = materialise(properties.select("id", "address_ja", "address_normalized", "lat", "lng"))
     t1 = materialise(
         match_normalized(listings.where(F.col("address_normalized") != ""), properties).select(
             "key", "match_id", F.lit(1).alias("tier"), none.alias("score")
         )
     )
-    rest = materialise(listings.select("key", "address_normalized", "municipality", "lat", "lng").join(t1.select("key"), "key", "left_anti"))
+    rest = materialise(listings.join(t1.select("key"), "key", "left_anti"))
     t2 = materialise(match_similar(rest, properties).select("key", "match_id", F.lit(2).alias("tier"), "score"))
     rest = rest.join(t2.select("key"), "key", "left_anti")
     t3 = first_within(rest, properties).select("key", "match_id", F.lit(3).alias("tier"), none.alias("score"))
