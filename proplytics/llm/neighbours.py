@@ -137,11 +137,15 @@ def _rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for dim in np.unique(size[size > 0]):
         rows = np.flatnonzero(size == dim)
         matrix = values[at[rows][:, None] + np.arange(dim)]
-        with np.errstate(over="ignore", invalid="ignore"):
-            square = (matrix * matrix).sum(1)
-        good = np.isfinite(square) & (square > 0)
-        if good.any():
-            yield rows[good], matrix[good]
+        largest = np.abs(matrix).max(1)
+        good = np.isfinite(largest) & (largest > 0)
+        rows, matrix, largest = rows[good], matrix[good], largest[good]
+        # squares of very large or small components leave the range of doubles; a power of two changes no cosine
+        extreme = (largest > 1e100) | (largest < 1e-100)
+        if extreme.any():
+            matrix[extreme] = np.ldexp(matrix[extreme], -np.frexp(largest[extreme])[1][:, None])
+        if len(rows):
+            yield rows, matrix
 
 
 def _project(matrix: np.ndarray) -> np.ndarray:
@@ -155,7 +159,8 @@ def _bytes(matrix: np.ndarray) -> pa.Array:
 def fit(vectors: DataFrame, embedding: str, block: int, sample: int) -> dict[int, Cells]:
     """Cells for each dimension seen in a sample of at most ``sample`` vectors, those of the lowest hashes."""
     count = vectors.count()
-    chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).select("vec_id", embedding).limit(2 * sample)
+    chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).select("vec_id", embedding)
+    chosen = chosen.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +184,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, confidence: float =
     Candidates are all rows but those with the query's id. Each true neighbour is missed with a chance of 1 - ``confidence`` at most.
     Ties go to the smaller id; of vectors that are equal, the k + 1 smallest ids are kept, which is all that can be reported. Rows with a null id, a null,
     empty or zero vector, or null or non-finite components take no part; equal rows are one; vectors of other lengths are never near.
+    Components beyond 1e100 or below 1e-100 are scaled by a power of two first, so that every finite vector takes part.
     No query or no candidate gives no rows. Other columns are not read.
     """
     rows = vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].alias("embedding")).where("vec_id is not null")

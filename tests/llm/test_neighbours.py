@@ -66,3 +66,25 @@ def test_no_rows(spark):
     assert neighbours.nearest(table(spark, [])).collect() == []
     assert neighbours.nearest(table(spark, [(1, [1.0, 2.0])])).collect() == []
     assert neighbours.nearest(table(spark, [(0, [1.0, 2.0])])).collect() == []
+
+
+def test_components_whose_squares_leave_the_range(spark):
+    rnd = np.random.default_rng(3)
+    plain = [(i, [float(x) for x in rnd.normal(size=5)]) for i in range(60)]
+    # the same directions at every size that a double can hold
+    scales = [1.0, 1e200, 1e-200, 1e306, 1e-300, 1e160]
+    rows = [(i, [x * scales[i % 6] for x in v]) for i, v in plain]
+    rows.append((60, [1e200, -1e-200, 0.0, 0.0, 0.0]))
+    plain.append((60, [1.0, 0.0, 0.0, 0.0, 0.0]))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, every=10, block=16).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, 61, 10))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in plain}
+    hits = 0
+    for q, found in got.items():
+        assert all(s == pytest.approx(unit[q] @ unit[i], abs=1e-9) for i, s in found.values())
+        best = sorted((i for i in unit if i != q), key=lambda i: -(unit[q] @ unit[i]))[:5]
+        hits += len({i for i, _ in found.values()} & set(best))
+    assert hits >= 0.95 * 5 * len(got)
