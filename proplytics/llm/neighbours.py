@@ -23,6 +23,8 @@ from proplytics.llm.common import written
 M, BLOCK, LEAF, QUERIES = 8, 4096, 64, 1024
 #: vectors of the sample on which the upper part of the tree is fitted; every vector is indexed
 SAMPLE = 1 << 14
+#: more than two ways of adding up a cosine can differ by, for up to a million components
+ROUGH = 1e-9
 
 
 def chi_square_limit(confidence: float, m: int = M) -> float:
@@ -110,14 +112,23 @@ class Index:
         norm = np.sqrt((vector * vector).sum())
         far = (np.maximum(0, np.maximum(self.low - point, point - self.high)) ** 2).sum(1)
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > limit * radius:
-                break
-            rows = np.arange(self.starts[leaf], self.ends[leaf])
+        order, at, step = np.argsort(far, kind="stable"), 0, 1
+        # leaves come nearest first, each time twice as many: the radius shrinks early, and a search without end takes few steps
+        while at < len(order) and far[order[at]] <= limit * radius:
+            leaves = order[at : at + step]
+            leaves = leaves[far[leaves] <= limit * radius]
+            at, step = at + step, 2 * step
+            rows = np.concatenate([np.arange(self.starts[leaf], self.ends[leaf]) for leaf in leaves])
             near = ((self.points[rows] - point) ** 2).sum(1) <= limit * radius
             rows = rows[near & (self.ids[rows] != own)]
             if not len(rows):
                 continue
+            # a fast product, whose last digits may depend on the place of a row, leaves out what cannot be among the k nearest
+            rough = (self.vectors[rows] @ vector) / (self.norms[rows] * norm)
+            worst = np.partition(rough, -k)[-k] if len(rows) >= k else -np.inf
+            if len(ids) == k:
+                worst = max(worst, scores[-1])
+            rows = rows[rough >= worst - ROUGH]
             # row by row sums: equal vectors get equal cosines wherever they lie
             found = (self.vectors[rows] * vector).sum(1) / (self.norms[rows] * norm)
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, found])
