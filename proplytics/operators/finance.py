@@ -195,3 +195,26 @@ def scenario_grid(df: DataFrame, scenarios: list[tuple], columns: dict[str, str]
     """
     items = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, columns.items())]) for r in scenarios]
     return df.withColumn("_s", F.explode(F.array(*items))).select(*df.columns, "_s.*")
+
+
+def _structure_percent(structure: Column) -> Column:
+    """Cost of building by structure, in percent of that of wood; unknown structures count as wood."""
+    s = F.coalesce(structure, F.lit(""))
+    return F.when(s.contains("軽量鉄骨"), 110).when(s.contains("鉄筋") | s.contains("RC"), 140).when(s.contains("鉄骨"), 120).otherwise(100)
+
+
+def renovation_estimate(houses: DataFrame, year: int, costs: DataFrame | None = None) -> DataFrame:
+    """Houses (building_area_sqm, year_built, structure, rebuild_possible) with what each kind of work costs: work, least, most, is_advised.
+
+    ``costs`` are bands of floor area (work, area_from, area_below, least, most), by default the fixed table; amounts grow with the
+    structure. Up to 15 years a refresh is advised, beyond 45 years rebuilding where that is known to be possible, else and of unknown
+    age a full renovation. A house without an area, or with one that no band holds, has one row without work and amounts.
+    """
+    from proplytics.operators.ranges import band_join
+
+    costs = dimension(houses.sparkSession, "renovation_costs") if costs is None else costs
+    rows = band_join(houses, costs, "building_area_sqm", "area_from", "area_below", [])
+    age, percent = F.lit(year) - F.col("year_built"), _structure_percent(F.col("structure"))
+    advised = F.when(age <= 15, "basic").when((age > 45) & F.col("rebuild_possible"), "rebuild").otherwise("full")
+    amounts = {c: F.floor(F.col(c) * percent / 100).cast("bigint") for c in ("least", "most")}
+    return rows.withColumns(amounts).withColumn("is_advised", F.col("work") == advised).drop("area_from", "area_below")

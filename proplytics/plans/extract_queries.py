@@ -105,19 +105,70 @@ def _next(s):
     return raw_material(real_pages(s)).select("page_id", "source", extract.has_next_page(F.col("source")).alias("has_next"))
 
 
+_REQUESTS = """requests AS (SELECT DISTINCT lpad(CAST(c_custkey % 47 + 1 AS VARCHAR), 2, '0') AS prefecture_code, CAST(5000000 + c_nationkey * 1000000 AS BIGINT) AS price_max,
+ CASE WHEN c_nationkey % 3 = 0 THEN CAST(1000000 AS BIGINT) END AS price_min, CASE c_nationkey % 4 WHEN 0 THEN 'land' WHEN 1 THEN 'condo' WHEN 2 THEN 'detached_house' END AS property_type,
+ CASE WHEN c_nationkey % 2 = 0 THEN lpad(CAST(c_custkey % 47 + 1 AS VARCHAR), 2, '0') || '101' END AS town FROM customer),
+codes AS (SELECT p.code, lower(p.name_en) AS slug, CASE WHEN p.code = '01' THEN '010' WHEN p.code < '08' THEN '020' WHEN p.code < '15' THEN '030' WHEN p.code < '21' THEN '040' WHEN p.code < '24' THEN '050'
+ WHEN p.code < '31' THEN '060' WHEN p.code < '36' THEN '070' WHEN p.code < '40' THEN '080' ELSE '090' END AS region,
+ CASE WHEN p.code = '01' THEN 'sapporo' WHEN p.code < '08' THEN 'sendai' WHEN p.code = '14' THEN 'yokohama' WHEN p.code < '16' OR p.code IN ('19', '20') THEN 'tokyo' WHEN p.code < '25' THEN 'nagoya' WHEN p.code = '28' THEN 'kobe'
+ WHEN p.code < '31' THEN 'osaka' WHEN p.code < '36' THEN 'hiroshima' WHEN p.code < '40' THEN 'takamatsu' ELSE 'fukuoka' END AS court FROM prefectures p),
+wide AS (SELECT r.*, c.*, p AS page, price_max // 10000 AS man, CASE property_type WHEN 'land' THEN '20' WHEN 'condo' THEN '30' ELSE '10' END AS kind,
+ list_min(list_filter([50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 1000, 1500, 2000, 3000, 5000], lambda s: s >= price_max // 10000)) AS step
+ FROM requests r JOIN codes c ON c.code = r.prefecture_code CROSS JOIN (SELECT unnest(range(1, 6))::INT AS p))"""
+
+
+def _crawl_requests(s, *sources):
+    code = F.lpad((F.col("c_custkey") % 47 + 1).cast("string"), 2, "0")
+    n = F.col("c_nationkey")
+    kind = F.when(n % 4 == 0, "land").when(n % 4 == 1, "condo").when(n % 4 == 2, "detached_house")
+    base = s.customer.select(
+        code.alias("prefecture_code"), (F.lit(5_000_000) + n * 1_000_000).cast("bigint").alias("price_max"), F.when(n % 3 == 0, F.lit(1_000_000)).cast("bigint").alias("price_min"),
+        kind.alias("property_type"), F.when(n % 2 == 0, F.array(F.concat(code, F.lit("101")))).alias("municipality_codes")).distinct()
+    return base.withColumn("source", F.explode(F.array(*map(F.lit, sources))))
+
+
 @query(
     "ext16_crawl_urls",
-    f"""WITH {dim('prefectures')}, requests AS (SELECT DISTINCT 'homes' AS source, lpad(CAST(c_custkey % 47 + 1 AS VARCHAR), 2, '0') AS prefecture_code, CAST(5000000 + c_nationkey * 1000000 AS BIGINT) AS price_max FROM customer
- UNION SELECT DISTINCT 'athome', lpad(CAST(c_custkey % 47 + 1 AS VARCHAR), 2, '0'), CAST(5000000 + c_nationkey * 1000000 AS BIGINT) FROM customer)
-SELECT r.source, r.prefecture_code, r.price_max, p AS page, CASE r.source WHEN 'homes' THEN 'https://www.homes.co.jp/kodate/chu/' || lower(f.name_en) || '/list/?page=' || p || '&price_max=' || (price_max // 10000)
- ELSE 'https://www.athome.co.jp/kodate/chuko/' || lower(f.name_en) || '/list/?price_to=' || (price_max // 10000) || '&page=' || p END AS url
-FROM requests r JOIN prefectures f ON f.code = r.prefecture_code CROSS JOIN (SELECT unnest(range(1, 6))::INT AS p)""",
+    f"""WITH {dim('prefectures')}, {_REQUESTS} SELECT source, prefecture_code, price_max, page, CASE source
+ WHEN 'suumo' THEN 'https://suumo.jp/jj/bukken/ichiran/JJ012FC001/?ar=' || region || '&bs=021&ta=' || code || '&pc=' || step || '&po=2&page=' || page
+ WHEN 'homes' THEN 'https://www.homes.co.jp/kodate/chu/' || slug || '/list/?page=' || page || '&price_max=' || man
+ WHEN 'athome' THEN 'https://www.athome.co.jp/kodate/chuko/' || slug || '/list/?price_to=' || man || '&page=' || page
+ WHEN 'akiya' THEN 'https://www.akiya-athome.jp/bukken/search/list/?search_type=area&br_kbn=buy&sbt_kbn=house&pref_cd=' || code || coalesce('&gyosei_cd[]=' || town, '')
+  || '&item_count=100&search_sort=kokai_date' || CASE WHEN page > 1 THEN '&page=' || page ELSE '' END
+ WHEN 'bit' THEN 'https://www.bit.courts.go.jp/app/list/pt001/h01?bpiKubun=' || kind || '&courtAreaId=' || court || '&kenCode=' || code || coalesce('&priceFrom=' || price_min, '')
+  || '&priceTo=' || price_max || '&page=' || page || '&sort=new' END AS url
+FROM wide CROSS JOIN (SELECT unnest(['suumo', 'homes', 'athome', 'akiya', 'bit', 'other']) AS source)""",
 )
 def _urls(s):
-    code = F.lpad((F.col("c_custkey") % 47 + 1).cast("string"), 2, "0")
-    base = s.customer.select(code.alias("prefecture_code"), (F.lit(5_000_000) + F.col("c_nationkey") * 1_000_000).cast("bigint").alias("price_max")).distinct()
-    requests = base.withColumn("source", F.explode(F.array(F.lit("homes"), F.lit("athome"))))
-    return extract.crawl_urls(requests, max_pages=5)
+    """All registered portals and one that is not."""
+    rows = extract.crawl_urls(_crawl_requests(s, *extract.SOURCES, "other"), max_pages=5)
+    return rows.select("source", "prefecture_code", "price_max", "page", "url")
+
+
+@query(
+    "ext16_crawl_forms",
+    f"""WITH {dim('prefectures')}, {_REQUESTS} SELECT prefecture_code, page, kind, court, CAST(price_min AS VARCHAR) AS price_from, CAST(price_max AS VARCHAR) AS price_to, 6 + (price_min IS NOT NULL)::INT AS fields FROM wide""",
+)
+def _forms(s):
+    """The court search as a form."""
+    rows = extract.crawl_forms(_crawl_requests(s, "bit"), max_pages=5)
+    value = {k: F.try_element_at("form", F.lit(k)) for k in ("bpiKubun", "courtAreaId", "priceFrom", "priceTo")}
+    return rows.select(
+        "prefecture_code", "page", value["bpiKubun"].alias("kind"), value["courtAreaId"].alias("court"), value["priceFrom"].alias("price_from"), value["priceTo"].alias("price_to"),
+        F.size("form").alias("fields"))
+
+
+@query(
+    "reg01_portals",
+    f"""WITH {dim('scrape_sources')}, feed AS (SELECT CASE l_linenumber WHEN 1 THEN 'suumo' WHEN 2 THEN 'homes' WHEN 3 THEN 'athome' WHEN 4 THEN 'akiya' WHEN 5 THEN 'other' END AS source FROM lineitem),
+counts AS (SELECT source, count(*) AS n FROM feed GROUP BY source)
+SELECT coalesce(c.source, p.id) AS source, p.display_name, p.id IS NOT NULL AS is_registered, coalesce(n, 0) AS n FROM counts c FULL JOIN scrape_sources p ON p.id = c.source""",
+)
+def _portals(s):
+    """Registered portals beside the sources that a feed names: one without rows, one that nobody registered, one without a name."""
+    n = F.col("l_linenumber")
+    feed = s.lineitem.select(F.when(n == 1, "suumo").when(n == 2, "homes").when(n == 3, "athome").when(n == 4, "akiya").when(n == 5, "other").alias("source"))
+    return extract.registered(feed)
 
 
 @query(

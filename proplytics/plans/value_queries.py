@@ -350,3 +350,18 @@ def _hazard_join(s):
  VALUES (0, 2000000, 0.05::DOUBLE), (2000001, 4000000, 0.04::DOUBLE), (4000001, 9223372036854775807, 0.03::DOUBLE)) r(lo, hi, rate) ON p.price_jpy BETWEEN r.lo AND r.hi"""))
 def _rate_table(s):
     return finance.with_rate(s.properties.select("id", "price_jpy"), "brokerage", "price_jpy", {"rate": "commission_rate"}).drop("price_jpy")
+
+
+_HOUSES = """houses AS (SELECT id, land_area_sqm * 0.6::DOUBLE AS area, year_built, CASE WHEN structure LIKE '%軽量鉄骨%' THEN 110 WHEN structure LIKE '%鉄筋%' OR structure LIKE '%RC%' THEN 140
+ WHEN structure LIKE '%鉄骨%' THEN 120 ELSE 100 END AS percent, CASE WHEN 2026 - year_built <= 15 THEN 'basic' WHEN 2026 - year_built > 45 AND rebuild_possible THEN 'rebuild' ELSE 'full' END AS advised FROM properties)"""
+
+
+@query(
+    "fin11_renovation",
+    with_views("properties", extra=f"{dim('renovation_costs')}, {_HOUSES}") + """SELECT h.id, c.work, c.least * percent // 100 AS least, c.most * percent // 100 AS most, c.work = advised AS is_advised
+ FROM houses h LEFT JOIN renovation_costs c ON h.area >= c.area_from AND (c.area_below IS NULL OR h.area < c.area_below)""",
+)
+def _renovation(s):
+    """Every property with all kinds of work; its house is taken to have 60 % of the plot's area."""
+    houses = s.properties.select("id", (F.col("land_area_sqm") * 0.6).alias("building_area_sqm"), "year_built", "structure", "rebuild_possible")
+    return finance.renovation_estimate(houses, 2026).select("id", "work", "least", "most", "is_advised")
