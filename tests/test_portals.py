@@ -48,3 +48,11 @@ def test_renovation_of_odd_houses(spark):
     assert got == {1: ("basic", 2_000_000, 4_000_000), 2: ("rebuild", 21_000_000, 35_000_000), 3: ("full", 5_000_000, 10_000_000), 4: ("full", 5_500_000, 11_000_000), 7: ("basic", 6_000_000, 12_000_000)}
     assert sorted((r.id, r.work) for r in rows.where("work IS NULL").collect()) == [(5, None), (6, None), (8, None)]
     assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forms_hold_what_addresses_do(spark):
+    requests = spark.createDataFrame([("akiya", "13", ["13308", "13361"]), ("bit", "13", None), ("gone", "13", None)], "source string, prefecture_code string, municipality_codes array<string>")
+    got = {r.source: r.form for r in extract.crawl_forms(requests, 1).collect()}
+    assert got["akiya"]["gyosei_cd[]"] == "13308&gyosei_cd[]=13361"
+    assert got["bit"] == {"bpiKubun": "10", "courtAreaId": "tokyo", "kenCode": "13", "page": "1", "sort": "new"}
+    assert got["gone"] is None
