@@ -287,7 +287,8 @@ def features_within(points: DataFrame, features: DataFrame, radius_m: float, fol
         .drop("_c")
     )
     close = haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) <= F.lit(radius_m)
-    return wanted.join(spread, ["cy", "cx"]).where(close).groupBy(
+    # the planner does not see that features are nine times as many: both sides are shuffled, never sent whole to everyone
+    return wanted.join(spread.hint("merge"), ["cy", "cx"]).where(close).groupBy(
         F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")
     ).agg(*folds)
 
