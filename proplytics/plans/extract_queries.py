@@ -37,7 +37,7 @@ def _pages(s):
     """SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS hrefs FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""",
 )
 def _links(s):
-    raw = raw_material(real_pages(s))
+    raw = raw_material(real_pages(s), "links")
     return raw.select(
         "page_id", F.size("links").cast("bigint").alias("n_links"), F.array_join(F.transform("links", lambda a: a["href"]), " ").alias("hrefs")
     )
@@ -52,7 +52,7 @@ def _pair(label: str) -> str:
     over("listing_html", sql=f"SELECT page_id, {_pair('価格')} AS price, {_pair('土地面積')} AS land, {_pair('築年月')} AS built, {_pair('備考')} AS remarks FROM listing_html"),
 )
 def _pairs(s):
-    raw = raw_material(details(s))
+    raw = raw_material(details(s), "pairs")
     return raw.select("page_id", *[F.try_element_at("pairs", F.lit(k)).alias(n) for k, n in (("価格", "price"), ("土地面積", "land"), ("築年月", "built"), ("備考", "remarks"))])
 
 
@@ -102,7 +102,7 @@ def _cards(s):
 FROM (SELECT page_id, {_SRC} AS source, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS texts FROM pages)""",
 )
 def _next(s):
-    return raw_material(real_pages(s)).select("page_id", "source", extract.has_next_page(F.col("source")).alias("has_next"))
+    return raw_material(real_pages(s), "links").select("page_id", "source", extract.has_next_page(F.col("source")).alias("has_next"))
 
 
 _REQUESTS = """requests AS (SELECT DISTINCT lpad(CAST(c_custkey % 47 + 1 AS VARCHAR), 2, '0') AS prefecture_code, CAST(5000000 + c_nationkey * 1000000 AS BIGINT) AS price_max,
@@ -239,7 +239,7 @@ def _ids(s):
  WHEN starts_with(h, 'http') THEN h WHEN starts_with(h, '/') THEN 'https://suumo.jp' || h ELSE 'https://suumo.jp/' || h END), ' ') AS hrefs FROM pages""",
 )
 def _absolute(s):
-    raw = raw_material(real_pages(s))
+    raw = raw_material(real_pages(s), "links")
     return raw.select("page_id", F.array_join(F.transform("links", lambda a: extract.absolute_url(a["href"], extract.BASE_URL["suumo"])), " ").alias("hrefs"))
 
 
@@ -296,7 +296,7 @@ def _images(s):
 )
 def _auction(s):
     pages = rich(s).where("source = 'bit'")
-    rows = extract.details_of("bit", raw_material(pages))
+    rows = extract.details_of("bit", raw_material(pages, *extract.DETAIL_FIELDS["bit"]))
     return rows.select("page_id", "case_number", "court_name", F.explode("pdfs").alias("d")).select(
         "page_id", "case_number", "court_name", F.col("d.url").alias("pdf"), "d.label"
     )
@@ -308,7 +308,7 @@ def _auction(s):
 )
 def _auction_price(s):
     pages = s.search_html.where("source = 'bit'").select("page_id", "source", "url", "kind", "html")
-    return extract.cards_of("bit", raw_material(pages)).select("page_id", "price")
+    return extract.cards_of("bit", raw_material(pages, *extract.CARD_FIELDS["bit"])).select("page_id", "price")
 
 
 @query(
@@ -316,7 +316,7 @@ def _auction_price(s):
     over("rich_html", sql="SELECT code, count(*) AS n FROM (SELECT unnest(['20202', '2' || tail]) AS code FROM rich_html WHERE source = 'akiya') GROUP BY code"),
 )
 def _area_codes(s):
-    raw = raw_material(rich(s).where("source = 'akiya'"))
+    raw = raw_material(rich(s).where("source = 'akiya'"), "inputs")
     return raw.select(F.explode("inputs").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
