@@ -25,3 +25,13 @@ def test_squares_of_boxes_are_not_broadcast(spark):
     assert sorted(map(str, ((r.box_id, r.id) for r in found.collect()))) == sorted(map(str, [(7, 1), (7, 1), (8, 1), (8, 1), (8, 2), (None, 1), (None, 1), (None, 2)]))
     # a point travels once for each level that a box has: two here
     assert nearby._sized(boxes).select("level").distinct().count() == 2
+
+
+def test_searches_by_block_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, "active", "2001-01-02 00:00:00", "01", "01101", 5_000_000, True, 80.0)],
+                                 "id long, status string, created_at string, prefecture_code string, municipality_code string, price_jpy long, rebuild_possible boolean, land_area_sqm double")
+    asked = spark.createDataFrame([(7, "2001-01-01", None, None, None, None, None, None), (8, "2001-01-01", "01", None, 1, None, None, None), (9, "2001-01-01", None, None, None, 4_999_999, None, None)],
+                                  "search_id long, since string, prefecture_code string, municipality_code string, price_min long, price_max long, rebuild_possible boolean, land_min double")
+    found = alerts.matches(rows.withColumn("created_at", F.to_timestamp("created_at")), asked.withColumn("since", F.to_date("since")))
+    assert "Broadcast" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 1), (8, 1)]
