@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from proplytics.operators import alerts, history
+from proplytics.operators import alerts, digests, history
 from proplytics.streaming import delist
 
 KEYS = ["source", "listing_id"]
@@ -169,6 +169,35 @@ def offers(n, seed):
                rnd.choice([None, 0, 1, 9_999, 10_000, rnd.randint(0, 60_000_000), 3 * 10**11]), rnd.choice([None, True, False]), rnd.choice([None, 99.0, 100.0, 200.0]))
 
 
+def test_digests_equal_those_of_the_matches(spark):
+    asked, rows = list(searches(150, 1, False)), list(offers(300, 2))
+    at = dt.datetime(2001, 6, 1, 3)
+    rows += [rows[0], rows[1], rows[1], (None, "active", at, "01", "01101", 5, True, float("nan")), (901, "active", None, "01", "01101", 5, True, 1.0), (902, "active", at, None, None, None, None, -0.0)]
+    rows += [(1000 + i, "active", at, "02", "02101", 7_000_000, False, float(i)) for i in range(60)]  # one price
+    asked += [asked[0], (None, *asked[3][1:]), (700, None, *asked[3][2:]), (701, dt.date(2000, 1, 1), None, None, None, None, None, None), (702, dt.date(2000, 1, 1), "02", "02101", 9, 1, None, None),
+              (703, dt.date(2000, 1, 1), None, None, None, None, None, 0.0), (704, dt.date(2000, 1, 1), "02", "02101", 7_000_000, 7_000_000, False, float("nan")), (705, dt.date(2000, 1, 1), None, None, 0, None, None, float("-inf"))]
+    properties, wanted = spark.createDataFrame(rows, PROPERTY), spark.createDataFrame(asked, SEARCH)
+    met = alerts.matches(properties, wanted, ["price_jpy", "created_at"]).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.min("price_jpy").alias("cheapest"), F.max("created_at").alias("newest"))
+    want = sorted(map(str, (tuple(r) for r in met.collect())))
+    assert len(want) > 80
+    for chunk, block in ((9, 7), (digests.CHUNK, digests.BLOCK)):
+        found = digests.digest(properties, wanted, chunk, block)
+        assert found.dtypes == met.dtypes
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == want
+
+
+def test_a_digest_does_not_make_the_matches(spark):
+    # 3,000 searches find all of 40,000 properties: 120 million matches
+    when = F.timestamp_seconds(F.lit(946_684_800) + F.col("id")).cast("timestamp_ntz")
+    rows = spark.range(40_000).select("id", F.lit("active").alias("status"), when.alias("created_at"), F.lit("01").alias("prefecture_code"), F.lit("01101").alias("municipality_code"),
+                                      (F.col("id") * 500).alias("price_jpy"), F.lit(True).alias("rebuild_possible"), F.lit(80.0).alias("land_area_sqm"))
+    none = F.lit(None)
+    asked = spark.range(3_000).select(F.col("id").alias("search_id"), F.lit("1999-01-01").cast("date").alias("since"), none.cast("string").alias("prefecture_code"), none.cast("string").alias("municipality_code"),
+                                      F.lit(0).cast("long").alias("price_min"), none.cast("long").alias("price_max"), none.cast("boolean").alias("rebuild_possible"), none.cast("double").alias("land_min"))
+    found = digests.digest(rows, asked)
+    assert found.agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("cheapest").alias("c")).first() == (3_000, 40_000, 0)
+
+
 def test_alerts_equal_a_loop(spark):
     asked, rows = list(searches(150, 1, False)), list(offers(200, 2))
 
