@@ -9,7 +9,8 @@ together is a family.
 A family stands in signature trees, whose nodes hold the OR of their members' token bitmaps and their range of sizes. A walk over
 pairs of nodes drops a pair as soon as sizes, or the largest overlap that the bitmaps allow, are too small; what is left is compared
 set against set. Pairs that are known to hang together are not looked at again, so a family of near copies costs about one comparison a
-document. Families are cut into chunks of bounded size; what chunks leave apart is compared across chunks afterwards.
+document. Large families are cut into overlapping windows of sizes that may link, and large windows into chunks of bounded size; what chunks
+leave apart is compared across chunks afterwards.
 """
 
 from __future__ import annotations
@@ -329,13 +330,33 @@ def _compare(percent: int, words: int):
     return run
 
 
+def _windows(weighed: DataFrame, limit: int, percent: int, steps: int = 4) -> DataFrame:
+    """``weighed`` (grp, cls, w) with families of more than ``limit`` tokens cut by size into windows, each a family of its own.
+
+    Sizes of linked sets are at most one step of 100 / percent apart. A window is ``steps`` steps and the first one of the next, so any two sets that
+    may link stand in one window together, and a set in two of them at most.
+    """
+    if percent <= 0:
+        return weighed
+    large = weighed.groupBy("grp").agg(F.sum("w").alias("whole")).where(F.col("whole") > limit).select("grp", F.lit(True).alias("large"))
+    # equal sizes are in one window whatever the step; the margin is for rounding
+    step = F.log("w") / F.lit(max(float(np.log(100 / percent)), 0.01))
+    window = F.floor(step / F.lit(steps))
+    shared = (step - window * F.lit(steps) < 1 + 1e-6) & (window > 0)
+    windows = F.when(F.col("large") & shared, F.array(window, window - 1)).when(F.col("large"), F.array(window)).otherwise(F.array(F.lit(None).cast("bigint")))
+    cut = weighed.join(large, "grp", "left").select("grp", "cls", "w", F.explode(windows).alias("window"))
+    return cut.select(F.when(F.col("window").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", "window")).alias("grp"), "cls", "w")
+
+
 def _joined(families: DataFrame, texts: DataFrame, limit: int, percent: int, words: int) -> DataFrame:
     """Links that join what hangs together in each family (grp, cls); ``texts`` is (cls, n, text).
 
-    A family is dealt over chunks of about ``limit`` tokens. After the chunks, the classes outside the largest component of a family
-    are probes: blocks of them meet every chunk of their family, and pairs within a component are passed over.
+    A family of more than ``limit`` tokens is cut into windows of sizes, and a window that is still larger is dealt over chunks of about ``limit`` tokens.
+    After the chunks, the classes outside the largest component of a window are probes: blocks of them meet every chunk of it, and pairs within a
+    component are passed over.
     """
-    weighed = families.join(texts.select("cls", F.col("n").alias("w")), "cls")
+    weighed = written(_windows(families.join(texts.select("cls", F.col("n").alias("w")), "cls"), limit, percent))
+    families = weighed.drop("w")
     extent = written(weighed.groupBy("grp").agg(F.ceil(F.sum("w") / F.lit(limit)).cast("int").alias("chunks")))
     members = written(families.join(extent, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
     links = written(members.join(texts, "cls").groupBy("grp", "chunk").applyInPandas(_compare(percent, words), "a long, b long"))

@@ -128,6 +128,34 @@ def test_chunks_give_the_same_components(spark):
     check(spark, rows, 5, 80, chunk=600)
 
 
+def test_links_across_sizes_are_kept(spark):
+    # texts that begin alike, each a little longer than the one before: links lead through all sizes
+    base = [f"w{i}" for i in range(420)]
+    lengths, k = [], 12
+    while k < 400:
+        lengths.append(k)
+        k += max(1, k // 11)
+    rows = [(i, " ".join(base[:n]), "s") for i, n in enumerate(lengths)] + [(1000 + i, " ".join(base[: 20 * i] + [f"x{i}"] * 9), "s") for i in range(1, 15)]
+    check(spark, rows, 3, 90, chunk=500)
+    check(spark, rows, 3, 90, chunk=60)
+    check(spark, rows[::3], 5, 80, chunk=300)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_large_families_are_cut_into_windows_of_sizes(spark, percent):
+    rows = [(7, n, n) for n in range(1, 700)] + [(8, 10_000 + n, n) for n in range(1, 9)]
+    cut = [tuple(r) for r in jaccard._windows(spark.createDataFrame(rows, "grp long, cls long, w long"), 5000, percent).collect()]
+    assert sorted(r for r in cut if r[0] == 8) == rows[-8:]
+    members = defaultdict(set)
+    for grp, cls, w in cut:
+        assert cls % 10_000 == w
+        members[grp].add(w)
+    large = [sizes for grp, sizes in members.items() if grp != 8]
+    assert max(map(len, large)) < 500 and sum(map(len, large)) < 2 * 699
+    together = {(a, b) for sizes in large for a in sizes for b in sizes}
+    assert all((a, b) in together for a in range(1, 700) for b in range(a, 700) if 100 * a >= percent * b)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_tree_walk_equals_all_pairs(percent):
     rows = near_copies(3, 6, 20, 50, 5)
