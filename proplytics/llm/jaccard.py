@@ -261,9 +261,11 @@ def order_of(runs: DataFrame, width: int) -> Order:
 
     rows = runs.groupBy("bucket").applyInArrow(add, "bucket long, maps array<binary>").toArrow()
     maps = [np.zeros(1 << (power - 3), np.uint8) for power in powers]
-    for bucket, found in zip(rows["bucket"].to_pylist(), rows["maps"].to_pylist()):
-        for whole, part in zip(maps, found):
-            whole[bucket * len(part) : (bucket + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    for bucket, found in zip(rows["bucket"].to_pylist(), rows["maps"]):
+        # read in place: the driver holds the maps twice, not three times
+        for whole, part in zip(maps, found.values):
+            bits = np.frombuffer(part.as_buffer(), np.uint8)
+            whole[bucket * len(bits) : (bucket + 1) * len(bits)] = bits
     return Order(width, maps)
 
 
@@ -404,6 +406,8 @@ def _classed(docs: DataFrame, words: int, percent: int, chunk: int, doc_id: str,
 
     # classes that share a key hang together, by the smallest class of the key
     heads = written(rows.select("text").mapInArrow(_heads(words, percent, order), "cls long, key long"))
+    order.destroy()  # else the maps of each call stay with the driver until its garbage is collected
+    del order
     least = written(heads.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).where("b < c").select("key", "b"))
     family = components(heads.join(least, "key").select(F.col("cls").alias("a"), "b").distinct())
     family = written(family.select(F.col("component").alias("grp"), F.col("node").alias("cls")))

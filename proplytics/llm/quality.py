@@ -269,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sequence: int =
     order = sorted(range(len(rows)), key=lambda i: (label[i], bytes(rows[i]["features"])))
     label = label[order]
     held = [np.frombuffer(rows[i]["features"], np.float32).reshape(-1, width) for i in order]
-    lines, features = np.array([len(x) for x in held]), np.concatenate(held).astype(np.float64)
+    lines, features = np.array([len(x) for x in held]), np.concatenate(held, dtype=np.float64)
+    del rows, held
     at = np.concatenate([[0], np.cumsum(lines)[:-1]])
     truth = np.repeat(label, lines)
     # both labels weigh the same, and so do the texts of a label: the curve, not the field, knows how rare bad texts are

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -128,6 +129,16 @@ def test_chunks_give_the_same_components(spark):
     check(spark, rows, 5, 80, chunk=600)
 
 
+def test_the_order_of_tokens_does_not_stay_with_the_driver(spark, monkeypatch):
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    rows = jaccard.similar_documents(documents(spark, near_copies(4, 2, 3, 30, 1)), 3, 90)
+    assert rows.count() == 6
+    # what was sent to the executors is gone, its file too
+    assert sent and not any(os.path.exists(b._path) for b in sent)
+
+
 def test_links_across_sizes_are_kept(spark):
     # texts that begin alike, each a little longer than the one before: links lead through all sizes
     base = [f"w{i}" for i in range(420)]
