@@ -389,7 +389,9 @@ def run_summary(outcomes: DataFrame, quarantine: DataFrame | None = None) -> Dat
 
 def upsert_scores(current: DataFrame, delta: DataFrame) -> DataFrame:
     """One score per (property, version); a new one replaces the old."""
-    kept = current.join(delta.select("property_id", "scoring_version"), ["property_id", "scoring_version"], "left_anti")
+    # each key once: what only adds columns to the delta need not be joined again for them
+    keys = delta.select("property_id", "scoring_version").distinct()
+    kept = current.join(keys, ["property_id", "scoring_version"], "left_anti")
     return kept.unionByName(delta.select(*current.columns))
 
 

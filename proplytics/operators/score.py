@@ -149,37 +149,32 @@ def latest_scores(versions: DataFrame) -> DataFrame:
 def with_scores(
     properties: DataFrame, hazards: DataFrame, weights: dict[str, float] | None = None, as_of_year: int = REFERENCE_YEAR
 ) -> DataFrame:
-    """``properties`` with the six scores and the composite: a single left join on the property id, then arithmetic."""
-    h = hazards.select(
-        F.col("property_id").alias("id"),
-        F.lit(True).alias("_assessed"),
-        F.struct("flood_depth_max_m", "pga_475yr", "landslide_risk", "tsunami_depth_max_m").alias("_hazard"),
-    )
+    """``properties`` with the six scores and the composite: a single left join on the property id, then arithmetic.
+
+    What a side can tell alone is reckoned before the join, so that numbers are shuffled and sorted instead of texts.
+    """
     c = F.col
+    peril = score_hazard(F.lit(True), c("flood_depth_max_m"), c("pga_475yr"), c("landslide_risk"), c("tsunami_depth_max_m"))
+    h = hazards.select(c("property_id").alias("id"), peril.alias("_hazard"))
     dims = {
         "rebuild": score_rebuild(c("rebuild_possible"), c("road_width_m"), c("road_frontage_m"), c("use_zone")),
-        "hazard": score_hazard(
-            F.coalesce(c("_assessed"), F.lit(False)),
-            c("_hazard.flood_depth_max_m"),
-            c("_hazard.pga_475yr"),
-            c("_hazard.landslide_risk"),
-            c("_hazard.tsunami_depth_max_m"),
-        ),
         "infrastructure": score_infrastructure(c("lat"), c("lng"), c("use_zone"), c("floor_plan"), c("_rooms")),
-        "demographic": score_demographic(),
         "value": score_value(c("price_jpy"), c("land_area_sqm")),
         "condition": score_condition(c("year_built"), c("_life"), as_of_year),
     }
+    # what several branches below read is computed once per row
+    alone = properties.withColumns({"_rooms": rooms(c("floor_plan")), "_life": useful_life(c("structure"))})
+    alone = alone.select(*properties.columns, *[e.alias(f"{n}_score") for n, e in dims.items()])
+    # a property that was not assessed has the neutral score
+    unknown = score_hazard(F.lit(False), *[F.lit(None).cast("double")] * 2, F.lit(None).cast("string"), F.lit(None).cast("double"))
     scored = (
-        properties.join(h, "id", "left")
-        # what several branches below read is computed once per row
-        .withColumns({"_rooms": rooms(c("floor_plan")), "_life": useful_life(c("structure"))})
-        .select(*properties.columns, *[e.alias(f"{n}_score") for n, e in dims.items()])
+        alone.join(h, "id", "left")
+        .withColumns({"hazard_score": F.coalesce("_hazard", unknown), "demographic_score": score_demographic()})
         .withColumn("composite_score", composite(weights))
     )
     return scored.select(
         *properties.columns,
-        *[round_exact(F.col(f"{n}_score"), 2).alias(f"{n}_score") for n in dims],
+        *[round_exact(F.col(f"{n}_score"), 2).alias(f"{n}_score") for n in WEIGHTS],
         "composite_score",
         F.lit(SCORING_VERSION).alias("scoring_version"),
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from proplytics.operators import alerts, hazard, match, nearby
+from proplytics.operators import alerts, hazard, ingest, match, nearby, score
 
 
 def plan(df):
@@ -35,3 +35,16 @@ def test_searches_by_block_are_not_broadcast(spark):
     found = alerts.matches(rows.withColumn("created_at", F.to_timestamp("created_at")), asked.withColumn("since", F.to_date("since")))
     assert "Broadcast" not in plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(7, 1), (8, 1)]
+
+
+def test_scores_join_numbers_and_an_upsert_joins_them_once(spark):
+    columns = "id long, rebuild_possible boolean, road_width_m double, road_frontage_m double, use_zone string, lat double, lng double, floor_plan string, price_jpy long, land_area_sqm double, year_built int, structure string"
+    properties = spark.createDataFrame([(1, True, 4.0, 2.0, "商業地域", 35.0, 139.0, "3LDK", 3_000_000, 100.0, 2000, "木造"), (2,) + (None,) * 11, (2,) + (None,) * 11], columns)
+    hazards = spark.createDataFrame([(1, 0.0, 1.0, "low", 0.0), (3, None, None, None, None), (None, 0.0, 1.0, "low", 0.0)], "property_id long, flood_depth_max_m double, pga_475yr double, landslide_risk string, tsunami_depth_max_m double")
+    fresh = score.score_properties(properties, hazards)
+    assert sorted((r.property_id, r.hazard_score) for r in fresh.collect()) == [(1, 100.0), (2, 50.0), (2, 50.0)]
+    old = spark.createDataFrame([(1, "1.0", 1.5), (1, "0.9", 1.5), (1, "0.9", 1.5), (2, "1.0", 1.5), (None, "1.0", 1.5), (4, None, 1.5)], "property_id long, scoring_version string, composite_score double")
+    after = ingest.upsert_scores(old, fresh)
+    assert sorted((r.property_id or 0, r.scoring_version or "") for r in after.collect()) == [(0, "1.0"), (1, "0.9"), (1, "0.9"), (1, "1.0"), (2, "1.0"), (2, "1.0"), (4, "")]
+    optimised = after._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("Join LeftOuter") == 1
