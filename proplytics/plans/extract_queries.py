@@ -67,10 +67,9 @@ _KEY = """CASE source WHEN 'akiya' THEN concat('akiya-', 1000000 + page_id) ELSE
  CASE WHEN source_id IN ('akiya', 'bit') THEN 'https://cdn.example/photo' || (page_id % 10) || '.jpg' ELSE '' END AS images FROM listing_html"""),
 )
 def _details(s):
-    rows = extract.extract_details(details(s))
-    return rows.select(
-        "page_id", "source", "source_id", "title", "price", "land_area_sqm", "year_built", "rebuild_possible", F.array_join("image_urls", " ").alias("images")
-    )
+    names = ["page_id", "source", "source_id", "title", "price", "land_area_sqm", "year_built", "rebuild_possible"]
+    rows = extract.extract_details(details(s), *names, "image_urls")
+    return rows.select(*names, F.array_join("image_urls", " ").alias("images"))
 
 
 _CARD_KEY = """CASE source WHEN 'suumo' THEN 'https://suumo.jp/chukoikkodate/nc_' || k || '/' WHEN 'homes' THEN '1' || k || '00000' WHEN 'athome' THEN '1' || k || '00000'
@@ -248,7 +247,7 @@ def _absolute(s):
     over("search_html", sql="SELECT source, count(*) AS n, sum(CASE WHEN source <> 'bit' THEN area_int + 0.5::DOUBLE END) AS land, count(*) FILTER (source <> 'bit') AS plans FROM search_html GROUP BY source"),
 )
 def _areas(s):
-    rows = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"))
+    rows = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"), "source", "land_area_sqm", "floor_plan")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("land_area_sqm").alias("land"), F.count("floor_plan").alias("plans"))
 
 
@@ -257,7 +256,7 @@ def _areas(s):
     over("listing_html", sql="SELECT source_id AS source, CASE page_id % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS rebuild_possible, count(*) AS n FROM listing_html GROUP BY ALL"),
 )
 def _rebuild(s):
-    return extract.extract_details(details(s)).groupBy("source", "rebuild_possible").agg(F.count(F.lit(1)).alias("n"))
+    return extract.extract_details(details(s), "source", "rebuild_possible").groupBy("source", "rebuild_possible").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -267,7 +266,7 @@ def _rebuild(s):
  CASE source WHEN 'homes' THEN FALSE WHEN 'athome' THEN TRUE END AS rebuild_possible, CASE source WHEN 'suumo' THEN '13' ELSE '20' END AS prefecture FROM rich_html"""),
 )
 def _embedded(s):
-    return extract.extract_details(rich(s)).select("page_id", "source", "price", "address", "floors", "rebuild_possible", "prefecture")
+    return extract.extract_details(rich(s), "page_id", "source", "price", "address", "floors", "rebuild_possible", "prefecture")
 
 
 @query(
@@ -277,7 +276,7 @@ def _embedded(s):
         "SELECT page_id, source, CASE WHEN source", "SELECT page_id, real AS source, CASE WHEN source"),
 )
 def _points(s):
-    return extract.extract_details(rich(s)).select("page_id", "source", "latitude", "longitude")
+    return extract.extract_details(rich(s), "page_id", "source", "latitude", "longitude")
 
 
 @query(
@@ -286,7 +285,7 @@ def _points(s):
  WHEN 'athome' THEN 'https://img.athome.co.jp/' || k || '.jpg https://bg/' || k || '.png' WHEN 'akiya' THEN 'https://c/' || k || '.jpg https://c/t.jpg' ELSE 'https://www.bit.courts.go.jp/img/' || k || '.jpg' END AS images FROM rich_html"""),
 )
 def _images(s):
-    return extract.extract_details(rich(s)).select("page_id", "source", F.array_join("image_urls", " ").alias("images"))
+    return extract.extract_details(rich(s), "page_id", "source", "image_urls").select("page_id", "source", F.array_join("image_urls", " ").alias("images"))
 
 
 @query(
@@ -362,7 +361,7 @@ def _merged(s):
     over("search_html", sql="""SELECT source, count(*) AS n, count(DISTINCT page_id) AS addresses, CAST(sum(price_man) AS BIGINT) AS man FROM search_html GROUP BY source"""),
 )
 def _texts(s):
-    rows = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"))
+    rows = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"), "source", "title", "address", "price")
     return rows.groupBy("source").agg(
         F.count("title").alias("n"), F.countDistinct("address").alias("addresses"), F.sum((F.col("price") / 10_000).cast("bigint")).alias("man")
     )

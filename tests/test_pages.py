@@ -32,3 +32,48 @@ def test_pages_of_one_file_are_read_by_all_cores(spark):
     assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     got = {(r.page_id, r.pairs.get("価格")) for r in raw.collect()}
     assert got == {(i, f"{i}万円") for i in range(100)} | {(None, None)}
+
+
+DETAIL = (
+    '<html><head><title>t</title><script type="application/ld+json">{"offers":{"price":"5000000"},"address":"長野県松本市中央1","geo":{"latitude":"36.5","longitude":137.5},"image":["https://x/ld.jpg"]}</script></head>'
+    '<body><h1>物件 一</h1><p>令和6年(ケ)第1号</p><table><tr><th>価格</th><td>300万円</td></tr><tr><th>裁判所名</th><td>長野地裁</td></tr><tr><th>備考</th><td>再建築不可</td></tr><tr><th>階数</th><td>2階</td></tr></table>'
+    '<dl><dt>所在地</dt><dd>長野県松本市1</dd></dl><script>var m = {lat: 36.25, lng: 138.25}; if (a < b) {}</script><iframe src="https://maps.google.com/maps?q=36.75,138.5"></iframe><span data-lat="36.1" data-lng="138.1"></span>'
+    '<img src="https://img.suumo.jp/a.jpg"><img src="https://homes.co.jp/b.jpg"><img data-src="https://img.athome.co.jp/c.jpg"/><img src="/img/akiya.jpg"><div style="background-image: url(&quot;https://bg/1.png&quot;)"></div>'
+    '<a href="/x.pdf">書</a><p class="price">450万円</p></body></html>')
+
+
+def test_listings_of_some_columns_are_those_of_all(spark):
+    odd = [DETAIL, DETAIL.replace("<table>", "<table class=x y=1>"), DETAIL.replace("<dl>", "<!--x--><dl>"), DETAIL.replace("価格", "他"), "", None, "<p>", "<script>lat: 1.5, lng: 2.5"]
+    rows = [(i, s, f"https://p/kodate/{10000 + i}/", "detail", html) for s in extract.SOURCES for i, html in enumerate(odd)]
+    some = spark.createDataFrame(rows, "page_id long, source string, url string, kind string, html string")
+    key = ["page_id", "source"]
+    whole = {(r.page_id, r.source): r for r in extract.extract_details(some).collect()}
+    assert len(whole) == len(rows)
+    columns = [c for c in next(iter(whole.values())).asDict() if c not in key]
+    groups = [["title", "floors", "price"], ["image_urls", "latitude"], ["address", "prefecture", "floor_plan", "rebuild_possible"]]
+    for names in groups:
+        for r in extract.extract_details(some, *key, *names).collect():
+            assert [r[c] for c in names] == [whole[r.page_id, r.source][c] for c in names], (r.page_id, r.source, names)
+    assert set(extract.NEEDS) <= {*key, *columns}
+    # only what the columns need is read: coordinates and images need no tree
+    assert all(set(extract.detail_fields(s, ["latitude", "image_urls"])) <= pages.FLAT for s in extract.SOURCES)
+
+
+def test_single_elements_are_found_without_the_tree():
+    rnd = random.Random(7)
+    flat = set(pages.FLAT)
+    texts = ["".join(rnd.choice([*PIECES, DETAIL]) for _ in range(rnd.randint(0, 12))) for _ in range(600)]
+    for text in texts:
+        for source in extract.SOURCES:
+            spec = pages.SPECS[source]
+            quick = pages._material(pages.tree(text, True), source, spec, False, flat)
+            assert quick == pages._material(pages.tree(text), source, spec, False, flat), text
+
+
+def test_an_element_is_looked_for_once_a_page(monkeypatch):
+    calls, fits = [], pages._those_that_fit
+    monkeypatch.setattr(pages, "_those_that_fit", lambda nodes, step: calls.append(step) or fits(nodes, step))
+    card = '<div class="property-card"><a href="/kodate/12345/">x</a><span class="kakaku">5万円</span></div>'
+    found = list(pages._rows(1, "athome", "u", "search", card * 50, {"link", "prices", "addresses"}))
+    assert [r["prices"] for r in found] == [["5万円"]] * 50 and found[49]["link"] == "/kodate/12345/"
+    assert len(calls) < 30
