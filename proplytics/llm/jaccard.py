@@ -289,8 +289,8 @@ def _heads(words: int, percent: int, order):
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, in eight bits a key up to ``FILTER_BITS``: what the filter lets through too much is joined out later."""
-    bits = max(1 << 15, min(FILTER_BITS, 1 << (8 * keys.count()).bit_length()))
+    """A bit for each key, in 64 bits a key up to ``FILTER_BITS``: what the filter lets through too much is shuffled and joined out later."""
+    bits = max(1 << 15, min(FILTER_BITS, 1 << (64 * keys.count()).bit_length()))
     place = F.pmod("key", F.lit(bits)) + 1
     maps = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()
     out = np.zeros(bits // 8, np.uint8)
@@ -350,18 +350,26 @@ def _windows(weighed: DataFrame, limit: int, percent: int, steps: int = 4) -> Da
     return cut.select(F.when(F.col("window").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", "window")).alias("grp"), "cls", "w")
 
 
-def _joined(families: DataFrame, texts: DataFrame, limit: int, percent: int, words: int) -> DataFrame:
-    """Links that join what hangs together in each family (grp, cls); ``texts`` is (cls, n, text).
+def _joined(families: DataFrame, reps: DataFrame, rows: DataFrame, limit: int, percent: int, words: int) -> DataFrame:
+    """Links that join what hangs together in each family (grp, cls); ``reps`` is (cls, row_key, n), ``rows`` (row_key, text).
+
+    The places of a class, its chunks, are known before its text is looked up, so a text is shuffled once to be found and once to be compared.
 
     A family of more than ``limit`` tokens is cut into windows of sizes, and a window that is still larger is dealt over chunks of about ``limit`` tokens.
     After the chunks, the classes outside the largest component of a window are probes: blocks of them meet every chunk of it, and pairs within a
     component are passed over.
     """
-    weighed = written(_windows(families.join(texts.select("cls", F.col("n").alias("w")), "cls"), limit, percent))
+    weighed = written(_windows(families.join(reps.select("cls", F.col("n").alias("w")), "cls"), limit, percent))
     families = weighed.drop("w")
     extent = written(weighed.groupBy("grp").agg(F.ceil(F.sum("w") / F.lit(limit)).cast("int").alias("chunks")))
     members = written(families.join(extent, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
-    links = written(members.join(texts, "cls").groupBy("grp", "chunk").applyInPandas(_compare(percent, words), "a long, b long"))
+    places = written(reps.join(members.groupBy("cls").agg(F.collect_list(F.struct("grp", "chunk")).alias("places")), "cls").select("cls", "row_key", "places"))
+    # the text of one row a class; equal rows are folded where the join has put them
+    found = _among(rows, places).join(places, "row_key").groupBy("row_key", "cls").agg(F.first("text").alias("text"), F.first("places").alias("places"))
+    found = written(found.select("cls", "text", "places"))
+    texts = found.select("cls", "text")
+    placed = found.select("cls", "text", F.inline("places"))
+    links = written(placed.groupBy("grp", "chunk").applyInPandas(_compare(percent, words), "a long, b long"))
     if not extent.where("chunks > 1").limit(1).count():
         return links
     label = components(links).withColumnRenamed("node", "cls")
@@ -411,10 +419,8 @@ def _classed(docs: DataFrame, words: int, percent: int, chunk: int, doc_id: str,
     least = written(heads.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).where("b < c").select("key", "b"))
     family = components(heads.join(least, "key").select(F.col("cls").alias("a"), "b").distinct())
     family = written(family.select(F.col("component").alias("grp"), F.col("node").alias("cls")))
-    # the text of one row a class; equal rows are folded before they meet
     reps = written(classes.join(family, "cls", "left_semi").select("cls", "row_key", "n"))
-    texts = _among(rows.select("row_key", "text"), reps).join(reps, "row_key").groupBy("cls", "n").agg(F.first("text").alias("text"))
-    links = _joined(family, written(texts), chunk, percent, words)
+    links = _joined(family, reps, rows.select("row_key", "text"), chunk, percent, words)
     label = components(links).withColumnsRenamed({"node": "cls"})
     named = classes.join(label, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from proplytics.llm import jaccard
 from tests.llm.support import documents, edge_rows
 
@@ -206,3 +208,10 @@ def test_one_of_each(spark):
 def test_no_rows(spark):
     assert jaccard.similar_documents(documents(spark, [])).collect() == []
     assert jaccard.one_of_each(documents(spark, [])).collect() == []
+
+
+def test_filter_lets_few_other_rows_through(spark):
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(4000, 44000).select(F.lit("t").alias("text"), F.xxhash64("id").alias("row_key"))
+    kept = jaccard._among(others.unionByName(keys.select(F.lit("t").alias("text"), F.col("key").alias("row_key"))), keys.withColumnRenamed("key", "row_key")).count()
+    assert 4000 <= kept < 4000 + 40000 * 0.03
