@@ -1,5 +1,6 @@
 """Pages read as plain markup against the standard parser, and how they are dealt out."""
 
+import gc
 import random
 
 from proplytics.operators import extract
@@ -77,3 +78,33 @@ def test_an_element_is_looked_for_once_a_page(monkeypatch):
     found = list(pages._rows(1, "athome", "u", "search", card * 50, {"link", "prices", "addresses"}))
     assert [r["prices"] for r in found] == [["5万円"]] * 50 and found[49]["link"] == "/kodate/12345/"
     assert len(calls) < 30
+
+
+def test_single_elements_of_a_simple_page_need_no_look_at_each_tag(monkeypatch):
+    flat, simple = set(pages.FLAT), DETAIL.replace("a < b", "a <= b").replace("</body>", "<!-- c --><IMG SRC='/img/photo.jpg'><input name=\"gyosei_cd[]\" value='2'></body>")
+    whole = {s: pages._material(pages.tree(simple), s, pages.SPECS[s], False, flat) for s in extract.SOURCES}
+    monkeypatch.setattr(pages, "_plain_tree", lambda html, flat=False: 1 / 0)
+    assert {s: pages._material(pages.tree(simple, True), s, pages.SPECS[s], False, flat) for s in extract.SOURCES} == whole
+    assert whole["suumo"]["inputs"] == ["2"] and len(whole["bit"]["images"]) == 5
+
+
+def test_selectors_that_a_page_cannot_fit_are_not_looked_for(monkeypatch):
+    calls, looks = [], pages.Page.that_may_fit
+    monkeypatch.setattr(pages.Page, "that_may_fit", lambda page, step: calls.append(step) or looks(page, step))
+    card = '<div class="property-card"><a href="/kodate/12345/">x</a><span class="%s">5万円</span></div>'
+    fields = {"link", "titles", "prices", "addresses"}
+    plain = [list(pages._rows(1, "athome", "u", "search", card % "kakaku", fields)), len(calls)]
+    calls.clear()
+    escaped = [list(pages._rows(1, "athome", "u", "search", card % "kak&#97;ku", fields)), len(calls)]
+    assert plain[0] == escaped[0] and plain[0][0]["prices"] == ["5万円"]
+    assert plain[1] < escaped[1] / 2
+
+
+def test_elements_do_not_wait_for_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        list(pages._rows(1, "suumo", "u", "detail", DETAIL, {"pairs", "titles"}))
+        assert not [o for o in gc.get_objects() if isinstance(o, pages.Node)]
+    finally:
+        gc.enable()
