@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proplytics.operators import extract
 from proplytics.plans.registry import query
 from proplytics.plans.twins import dim, over
+from proplytics.session import materialise
 from proplytics.sources.dimensions import dimension
 from proplytics.sources.pages import raw_material
 
@@ -203,10 +204,11 @@ def _step(s):
 )
 def _prefer(s):
     """Detail rows replace the card wherever the crawl reached them (here: orders with a returned line)."""
-    cards = extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"))
+    # cards are needed twice and pages take long to read; of either page only what is summed is made
+    cards = materialise(extract.extract_cards(s.search_html.select("page_id", "source", "url", "kind", "html"), "page_id", "source", "source_url", "price"))
     reached = s.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("page_id")).distinct()
     known = cards.select("page_id", "source_url")
-    read = extract.extract_details(details(s)).drop("source_url").join(reached, "page_id").join(known, "page_id")
+    read = extract.extract_details(details(s), "page_id", "source", "price").join(reached, "page_id").join(known, "page_id")
     rows = extract.prefer_details(cards, read)
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("from_detail").alias("from_detail"), F.sum((F.col("price") / 10_000).cast("bigint")).alias("man")
